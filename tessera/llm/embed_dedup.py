@@ -69,9 +69,28 @@ def _cover(points: np.ndarray, radius: float) -> np.ndarray:
 
 
 class Tree:
-    """Points in an order in which every node's members are consecutive; nodes level by level."""
+    """Points in an order in which every node's members are consecutive; nodes level by level.
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, weights: np.ndarray):
+    ``bounds`` holds, for each level, where its nodes begin, and the number of points at the end.
+    """
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, weights: np.ndarray, bounds: list[np.ndarray]):
+        self.points, self.ids, self.weights, self.bounds = points, ids, weights, bounds
+        self.levels = []
+        for cuts in bounds:
+            starts, ends = cuts[:-1], cuts[1:]
+            centres = points[starts]
+            owner = np.repeat(np.arange(len(starts)), ends - starts)
+            cosine = np.ones(len(points))
+            for a in range(0, len(owner), 8192):
+                cosine[a : a + 8192] = np.einsum("ij,ij->i", points[a : a + 8192], centres[owner[a : a + 8192]])
+            radii = np.sqrt(np.maximum(0, 2 - 2 * np.minimum.reduceat(cosine, starts))) if len(starts) else np.zeros(0)
+            radii[ends - starts == 1] = 0
+            self.levels.append((starts, ends, centres, radii))
+
+    @staticmethod
+    def order(points: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """An order of the points and the bounds of the levels: each node's cover refines its parent's."""
         order, bounds = np.arange(len(points)), [np.array([0, len(points)])]
         for radius in RADII:
             cuts, pieces = [0], []
@@ -88,18 +107,12 @@ class Tree:
                 cuts.append(b)
             order = np.concatenate(pieces) if pieces else order
             bounds.append(np.array(cuts))
-        self.points, self.ids, self.weights = points[order], ids[order], weights[order]
-        self.levels = []
-        for cuts in bounds[1:]:
-            starts, ends = cuts[:-1], cuts[1:]
-            centres = self.points[starts].copy()
-            spread = np.ones(len(self.points))
-            owner = np.repeat(np.arange(len(starts)), ends - starts)
-            for a in range(0, len(owner), 8192):
-                spread[a : a + 8192] = np.einsum("ij,ij->i", self.points[a : a + 8192], centres[owner[a : a + 8192]])
-            radii = np.sqrt(np.maximum(0, 2 - 2 * np.minimum.reduceat(spread, starts))) if len(starts) else np.zeros(0)
-            radii[ends - starts == 1] = 0
-            self.levels.append((starts, ends, centres, radii))
+        return order, bounds[1:]
+
+    @classmethod
+    def build(cls, points: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> Tree:
+        order, bounds = cls.order(points)
+        return cls(points[order], ids[order], weights[order], bounds)
 
 
 def _labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +126,18 @@ def _labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
         left, right = new_left, new_right
 
 
+def _by_radius(in_a: np.ndarray, radius_a: np.ndarray, in_b: np.ndarray, radius_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tiles of two node lists whose nodes have about equal radii, so that one bound prunes a whole tile well."""
+    edges = np.array([0.0, *sorted(RADII)])
+    group_a, group_b = np.searchsorted(edges, radius_a), np.searchsorted(edges, radius_b)
+    for g in np.unique(group_a):
+        rows = in_a[group_a == g]
+        for h in np.unique(group_b):
+            cols = in_b[group_b == h]
+            for at in range(0, len(rows), 2048):
+                yield rows[at : at + 2048], cols
+
+
 def dual_traversal(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """(links of each id, spanning edges) over all pairs between two trees, or within one."""
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
@@ -123,19 +148,19 @@ def dual_traversal(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -
         for i, n in zip(ids[more > 0].tolist(), more[more > 0].tolist()):
             links[i] = links.get(i, 0) + n
 
-    def compare(x: slice, y: slice) -> None:
-        own = same and x == y
+    def compare(x: slice, y: np.ndarray, own: bool) -> None:
+        """Cosines of a's points x with b's points y; ``own``: the same points, each with all others."""
         for at in range(x.start, x.stop, 2048):
             rows = slice(at, min(at + 2048, x.stop))
             linked = a.points[rows] @ b.points[y].T >= threshold
             if own:
-                linked[np.arange(rows.stop - rows.start), np.arange(rows.start, rows.stop) - y.start] = False
+                linked[np.arange(rows.stop - rows.start), np.arange(rows.start, rows.stop) - x.start] = False
             i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
             if not len(i):
                 continue
             linked = linked[np.ix_(i, j)]
-            ids_a, ids_b = a.ids[rows][i], b.ids[y][j]
-            count(ids_a, linked @ b.weights[y][j])
+            ids_a, ids_b = a.ids[rows][i], b.ids[y[j]]
+            count(ids_a, linked @ b.weights[y[j]])
             if not own:
                 count(ids_b, a.weights[rows][i] @ linked)
             left, right = _labels(linked, ids_a, ids_b)
@@ -151,29 +176,37 @@ def dual_traversal(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -
     def walk(level: int, in_a: np.ndarray, in_b: np.ndarray, mirrored: bool) -> None:
         """Pairs of the given nodes of a level; ``mirrored``: the same nodes twice, each pair once."""
         (start_a, end_a, centre_a, radius_a), (start_b, end_b, centre_b, radius_b) = a.levels[level], b.levels[level]
-        for at in range(0, len(in_a), 2048):
-            rows = in_a[at : at + 2048]
-            # a node pair survives if its centres are within reach and both radii; in cosines, one product
-            far = radius_a[rows][:, None] + radius_b[in_b][None, :] + (reach + _SLACK)
-            cosine = centre_a[rows] @ centre_b[in_b].T
-            near = cosine >= 1 - far * far / 2
+        for rows, cols in _by_radius(in_a, radius_a[in_a], in_b, radius_b[in_b]):
+            # a node pair survives if its centres are within reach and both radii: first by the widest radii of all
+            cosine = centre_a[rows] @ centre_b[cols].T
+            widest = radius_a[rows].max() + radius_b[cols].max() + reach + _SLACK
+            some, other = np.nonzero(cosine >= 1 - widest * widest / 2)
+            far = radius_a[rows[some]] + radius_b[cols[other]] + (reach + _SLACK)
+            near = cosine[some, other] >= 1 - far * far / 2
             if mirrored:
-                near &= np.arange(at, at + len(rows))[:, None] <= np.arange(len(in_b))[None, :]
-            for i, j in zip(*np.nonzero(near)):
-                p, q = rows[i], in_b[j]
-                x, y = slice(int(start_a[p]), int(end_a[p])), slice(int(start_b[q]), int(end_b[q]))
-                own = same and p == q
-                n = (x.stop - x.start) * (y.stop - y.start)
-                apart = math.sqrt(max(0.0, 2 - 2 * float(cosine[i, j])))
-                if own and n == 1:
-                    continue
-                if not own and apart + radius_a[p] + radius_b[q] <= reach - _SLACK:
+                near &= rows[some] <= cols[other]
+            some, other = some[near], other[near]
+            p, q = rows[some], cols[other]
+            size = (end_a - start_a)[p] * (end_b - start_b)[q]
+            apart = np.sqrt(np.maximum(0, 2 - 2 * cosine[some, other]))
+            self_pair = (p == q) & same
+            whole = ~self_pair & (size > 64) & (apart + radius_a[p] + radius_b[q] <= reach - _SLACK)
+            deep = ~whole & (size > DIRECT) & (level + 1 < len(a.levels))
+            for k in np.flatnonzero(whole | deep | self_pair):
+                x, y = slice(int(start_a[p[k]]), int(end_a[p[k]])), slice(int(start_b[q[k]]), int(end_b[q[k]]))
+                if whole[k]:
                     accept(x, y)
-                elif n <= DIRECT or level + 1 == len(a.levels):
-                    compare(x, y)
-                else:
+                elif deep[k]:
                     below_a, below_b = a.levels[level + 1][0], b.levels[level + 1][0]
-                    walk(level + 1, np.arange(*np.searchsorted(below_a, [x.start, x.stop])), np.arange(*np.searchsorted(below_b, [y.start, y.stop])), own)
+                    walk(level + 1, np.arange(*np.searchsorted(below_a, [x.start, x.stop])), np.arange(*np.searchsorted(below_b, [y.start, y.stop])), bool(self_pair[k]))
+                elif size[k] > 1:
+                    compare(x, np.arange(y.start, y.stop), True)
+            rest = np.flatnonzero(~(whole | deep | self_pair))
+            starts = np.flatnonzero(np.append(True, some[rest][1:] != some[rest][:-1])) if len(rest) else rest
+            for first, last in zip(starts, [*starts[1:], len(rest)]):
+                k = rest[first:last]
+                x = slice(int(start_a[p[k[0]]]), int(end_a[p[k[0]]]))
+                compare(x, np.concatenate([np.arange(s, e) for s, e in zip(start_b[q[k]], end_b[q[k]])]), False)
 
     if len(a.ids) and len(b.ids):
         walk(0, np.arange(len(a.levels[0][0])), np.arange(len(b.levels[0][0])), same)
@@ -197,7 +230,9 @@ def _pairs(width: int, threshold: float):
                 trees = []
                 for side in ("a", "b")[: 1 if row["i"] == row["j"] else 2]:
                     points = _normal(np.frombuffer(row[f"{side}_vectors"], row[f"{side}_kind"]).astype(np.float64).reshape(-1, width))
-                    trees.append(Tree(points, np.frombuffer(row[f"{side}_ids"], np.int64), np.frombuffer(row[f"{side}_weights"], np.int64)))
+                    cuts = np.frombuffer(row[f"{side}_cuts"], "<i4").astype(np.int64)
+                    bounds = np.split(cuts, np.flatnonzero(cuts == len(points))[:-1] + 1)
+                    trees.append(Tree(points, np.frombuffer(row[f"{side}_ids"], np.int64), np.frombuffer(row[f"{side}_weights"], np.int64), bounds))
                 links, edges = dual_traversal(trees[0], trees[-1], len(trees) == 1, threshold)
                 a, b = [*links, *(p for p, _ in edges)], [None] * len(links) + [q for _, q in edges]
                 n = [*links.values(), *[0] * len(edges)]
@@ -223,7 +258,7 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, id_c
     n = classes.count()
 
     # the tree's top: pivots from a bounded sample in hash order, which only decides who shares a block
-    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * n / block)))
+    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(n / block)))
     sample = classes.orderBy("class").limit(wanted).select("vector").toArrow()
     pivots = _normal(_unit(sample["vector"], width))
 
@@ -238,17 +273,20 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, id_c
     sizes = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # at most MOST_PIVOTS rows
     blocked = dealt.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
 
+    parts = ("vectors", "ids", "weights", "cuts")
+
     def build(key: tuple, table: pa.Table) -> pa.Table:
         raw = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(table.num_rows, width)
         points = _normal(raw.astype(np.float64))
         centre = _normal(points.sum(0, keepdims=True) + 1e-300)[0]
         spread = math.sqrt(max(0.0, 2 - 2 * float((points @ centre).min()))) + _SLACK
-        columns = [key[0], key[1], pa.array([centre.tolist()]), pa.array([spread]), pa.array([raw.tobytes()]), pa.array([table["class"].to_numpy().tobytes()]), pa.array([table["weight"].to_numpy().tobytes()])]
-        columns = [pa.array([c.as_py()], pa.int32()) if isinstance(c, pa.Scalar) else c for c in columns]
-        return pa.table(columns, names=["pivot", "part", "centre", "spread", "vectors", "ids", "weights"])
+        order, bounds = Tree.order(points)
+        rest = [raw[order], table["class"].to_numpy()[order], table["weight"].to_numpy()[order], np.concatenate(bounds).astype("<i4")]
+        columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([centre.tolist()]), pa.array([spread]), *(pa.array([x.tobytes()]) for x in rest)]
+        return pa.table(columns, names=["pivot", "part", "centre", "spread", *parts])
 
-    built = blocked.groupBy("pivot", "part").applyInArrow(build, "pivot int, part int, centre array<double>, spread double, vectors binary, ids binary, weights binary")
-    built = scratch.save(built.select((F.col("pivot") * F.lit(1 << 32).cast("bigint") + F.col("part")).alias("block"), "centre", "spread", "vectors", "ids", "weights"), "blocks")
+    built = blocked.groupBy("pivot", "part").applyInArrow(build, "pivot int, part int, centre array<double>, spread double, vectors binary, ids binary, weights binary, cuts binary")
+    built = scratch.save(built.select((F.col("pivot") * F.lit(1 << 32).cast("bigint") + F.col("part")).alias("block"), "centre", "spread", *parts), "blocks")
 
     # block pairs in grid order: each block asks for itself and those after it; pruned by the covering radii
     heads = built.select("block", "centre", "spread")
@@ -262,7 +300,7 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, id_c
     kept = asks.join(others, "j").where((F.col("i") == F.col("j")) | (apart <= F.col("sa") + F.col("sb") + F.lit(reach + _SLACK))).select("i", "j", "a", "b")
 
     def side(name: str) -> DataFrame:
-        return built.select(F.col("block").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("vectors", "ids", "weights")), F.lit(kind).alias(f"{name}_kind"))
+        return built.select(F.col("block").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in parts), F.lit(kind).alias(f"{name}_kind"))
 
     met = kept.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
     met = met.repartition(max(1, min(total * (total + 1) // 2, 20_000)))  # a pair is a task's worth of work

@@ -67,3 +67,9 @@ class Scratch:
             delete(self.spark, self.root)
         except Exception:  # noqa: BLE001  the session may have ended first; its folder is its own
             pass
+
+
+def planned_bytes(df: DataFrame) -> int | None:
+    """The planner's estimate of a frame's bytes, from file sizes; None where it has no useful one."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else None

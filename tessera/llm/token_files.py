@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .scratch import Scratch, delete
+from .scratch import Scratch, delete, planned_bytes
 
 END_ID = 1
 #: Estimated bytes of input for each shard.
@@ -208,8 +208,8 @@ def _write(root: str, vocabulary: str, end_id: int):
 def _shards(docs: DataFrame) -> int:
     """A number of shards from the planner's estimate of the input; the session's setting where that is no help."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, math.ceil(size / SHARD_BYTES)) if size < 1 << 50 else least
+    size = planned_bytes(docs)
+    return least if size is None else max(least, math.ceil(size / SHARD_BYTES))
 
 
 def write_tokens(docs: DataFrame, root: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:

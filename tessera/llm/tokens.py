@@ -1,23 +1,29 @@
-"""Whole-text encoding with a public vocabulary file, one call of the library per distinct word.
+"""Whole-text encoding with a public vocabulary file, one call of the library per many new words.
 
 The vocabulary's normaliser and pre-tokeniser never join characters across a space, tab, line
 feed or carriage return, so a text's ids are the ids of its pieces between those four
-characters, in order. Corpora repeat their words, so each worker keeps the bytes of the ids of
-the words it has met; the memory is bounded by ``CACHE_WORDS`` entries of at most
-``CACHE_CHARS`` characters, and pieces beyond that are simply encoded each time.
+characters, in order. Within a piece, letters never join with ASCII punctuation around them
+(apostrophes, which may start a contraction, are left alone), so a piece such as ``(Word).`` is
+the ids of ``(``, ``word`` and ``).``. Corpora repeat their words: each worker keeps the bytes of
+the ids of the pieces and words it has met, and encodes new words many at a time, joined by
+spaces; the id that ends a word tells them apart again. The memory is bounded by
+``CACHE_WORDS`` entries of at most ``CACHE_CHARS`` characters; beyond that, pieces are simply
+encoded again.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
 #: Entries and word length that a worker remembers; a bound on memory, without effect on results.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 CACHE_CHARS = 48
 
-_SPACES = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
+#: ASCII punctuation but for the apostrophe.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -37,29 +43,78 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
+        self.letters: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.wordy = any(t.isalpha() for t in self.special)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in done]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, encoded as one text where the vocabulary marks the ends of words."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return self._each(words)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, long ones apart so that they are not remembered."""
+        known, letters = self.known, self.letters
+        if len(letters) > CACHE_WORDS:
+            letters.clear()
+        plain, lower, other = [], [], []
+        mixed, before, core, after = [], [], [], []
+        for piece in missing:
+            word = piece.strip(_MARKS)
+            if word.isalpha() and len(piece) <= CACHE_CHARS and (word.isascii() or max(word) < "\u0130" or unicodedata.normalize("NFC", word).lower().isalpha()):
+                low = word.lower() if word.isascii() or max(word) < "\u0130" else word  # beyond, lower case may depend on more than the letter
+                if len(word) == len(piece):
+                    if not self.wordy or piece not in self.special:
+                        plain.append(piece)
+                        lower.append(low)
+                        continue
+                else:
+                    at = piece.index(word)
+                    if not any(t in piece for t in self.special):
+                        mixed.append(piece)
+                        before.append(piece[:at])
+                        core.append(low)
+                        after.append(piece[at + len(word) :])
+                        continue
+            other.append(piece)
+        words = list({*lower, *core}.difference(letters))
+        for a in range(0, len(words), 5_000):
+            part = words[a : a + 5_000]
+            letters.update(zip(part, self._joined(part)))
+        marks = list({*before, *after}.difference(letters, ("",)))
+        letters.update(zip(marks, self._each(marks)))
+        letters[""] = b""
+        get = letters.__getitem__
+        known.update(zip(plain, map(get, lower)))
+        known.update(zip(mixed, map(b"".join, zip(map(get, before), map(get, core), map(get, after)))))
+        extra: dict[str, bytes] = {}
+        for piece, ids in zip(other, self._each(other)):
+            (known if len(piece) <= CACHE_CHARS else extra)[piece] = ids
+        return extra
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null is the empty text."""
-        split = [(t or "").translate(_SPACES).split(" ") for t in texts]
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        missing = set()
+        missing: set[str] = set()
         for words in split:
             missing.update(words)
-        missing = [w for w in missing if w not in known]
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for word, ids in zip(part, self._encode(part)):
-                (known if len(word) <= CACHE_CHARS else extra)[word] = ids
+        extra = self._learn([w for w in missing if w not in known])
         if extra:
-            get = {w: ids for w, ids in extra.items()}.get
-            return [b"".join([known[w] if w in known else get(w) for w in words]) for words in split]
+            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
