@@ -10,12 +10,13 @@ anything longer moves. Pairs that pass are confirmed on their full sets, read fr
 At a similarity of 0.8 a pair misses all bands with probability (1 - 0.8^4)^32 < 1e-7, and the
 sketch filter (``MOST_BITS``, an estimate of about 0.5) with probability below 1e-5.
 
-Links and skew: equal sets are collapsed into one class first. Then each class is confirmed against
-its best pivot, where the pivots of a bucket are its smallest and largest id, found by a
-pre-aggregated minimum and maximum; that joins almost every group with one pair a member. Only
-buckets that still hold several components are joined with themselves, and only pairs between
-different components that pass the sketch leave that join; none is dropped. A group of copies thus
-costs rows in proportion to its size, and no link between different components is lost.
+Links and skew: equal sets are collapsed into one class first, pre-aggregated. Within each bucket the
+sketches are compared, and of the pairs that pass only a spanning forest is written: at most one row a
+member, however large a group of copies is. Its components hold every possible link; each one's
+texts are read once, and all its pairs are decided exactly, by counting common shingles over an
+inverted index. Again only a spanning forest of the links leaves the task. Buckets and groups beyond
+a block's size are cut into blocks, and each pair of blocks is a task of its own, so a hot group is
+spread and none is cut short; no link between different components is lost.
 
 Defined results: a null or wordless text has the empty set, 0 shingles, and links with nothing; a
 text with fewer words than a shingle is one shingle of all of them. A doc_id names a document: rows
@@ -26,7 +27,6 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +44,12 @@ SKETCH_BITS = 256
 #: Largest XOR population count of a pair that is still confirmed.
 MOST_BITS = 81
 PERCENT = 80
-#: Up to this many asked ids (8 bytes each) a broadcast list picks the texts to confirm.
+#: Up to this many ids (8 bytes each, counted first) a broadcast list picks rows.
 BROADCAST_IDS = 2_000_000
-_CACHE_WORDS = 1_000_000
+#: Rows of a block of a bucket, and documents of a block of a group: a group has about SPREAD blocks within the bounds.
+BUCKET_BLOCK = 2_048
+SPREAD, LEAST_BLOCK, MOST_BLOCK = 16, 128, 4_096
+_CACHE_WORDS = 500_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _random = np.random.default_rng(20_240_229)
@@ -146,47 +149,192 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(_sign(size), _SIGNATURE)
 
 
-def _similar(x: str, y: str, percent: int) -> Column:
-    """Whether two rows, with columns prefixed x and y, may be similar: set sizes exactly, sketch with a margin."""
-    bits = sum((F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in _WORDS), F.lit(0))
-    low, high = F.least(f"{x}n_shingles", f"{y}n_shingles"), F.greatest(f"{x}n_shingles", f"{y}n_shingles")
-    return (100 * low >= percent * high) & (bits <= MOST_BITS)
+def _block_pairs(rows: DataFrame, key: str, of: str, parts: Column) -> DataFrame:
+    """Rows dealt to cells: every two blocks of a key meet in one cell, and each block meets itself.
 
+    Adds cell, a struct of the key and the two blocks, and side, which of them the row is in.
+    """
+    placed = rows.withColumn("block", F.pmod(F.xxhash64(of), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+    cell = F.struct(F.col(key).alias("key"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return placed.withColumn("cell", cell).withColumn("side", (F.col("block") > F.col("other")).cast("int")).drop("block", "other")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal leading ``columns``, from batches in that order; a run is never cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(batch.column(i)) for i in range(columns)]
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        if held:
+            last = held[-1]
+            change[0] = any(last.column(i)[last.num_rows - 1].as_py() != k[0] for i, k in enumerate(keys))
+        starts = np.flatnonzero(change)
+        if not len(starts):
+            held.append(batch)
+            continue
+        if starts[-1] or held:
+            ready = [*held, batch.slice(0, starts[-1])]
+            yield pa.Table.from_batches([b for b in ready if b.num_rows])
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _least_labels(linked: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The least label of each component of a symmetric link matrix."""
+    while True:
+        lower = np.minimum(labels, np.where(linked, labels[None, :], np.iinfo(np.int64).max).min(1))
+        if (lower == labels).all():
+            return labels
+        labels = lower
+
+
+class _Forest:
+    """Union-find over ids; ``join`` tells whether it joined two trees."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.parent[max(x, y)] = min(x, y)
+        return True
+
+
+def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(-1, dtype=np.int64)
+
+
+def _sketched(percent: int):
+    """Spanning edges of the pairs of each cell whose set sizes and sketches allow the similarity."""
 
-def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, tuple[str, np.ndarray]] = OrderedDict()
+        forest = _Forest()
+        for table in _runs(batches, 3):
+            cells = np.stack([table[i].to_numpy() for i in range(3)], 1)
+            side, rep, n = (table[i].to_numpy() for i in (3, 4, 5))
+            sketch = np.stack([table[i].to_numpy() for i in range(6, 10)], 1)
+            starts = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1)))
+            ends = np.append(starts[1:], len(rep))
+            size = np.repeat(ends - starts, ends - starts)
+            cross = np.repeat(cells[starts, 1] != cells[starts, 2], ends - starts)
+            run_of = np.repeat(np.arange(len(starts)), ends - starts)
+            joined: list[tuple[int, int]] = []
+
+            def passing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = (rep[i] != rep[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (~cross[i] | (side[i] != side[j]))
+                ok[ok] = _bits(sketch[i[ok]], sketch[j[ok]]) <= MOST_BITS
+                return ok
+
+            few = np.flatnonzero(size <= 32)
+            for d in range(1, int(size[few].max(initial=0))):
+                i = few[few + d < len(rep)]
+                i = i[run_of[i] == run_of[i + d]]
+                i = i[passing(i, i + d)]
+                joined.extend((p, q) for p, q in zip(rep[i].tolist(), rep[i + d].tolist()) if forest.join(p, q))
+            for a, b in zip(starts[ends - starts > 32], ends[ends - starts > 32]):
+                tree = np.array([forest.root(r) for r in rep[a:b].tolist()])
+                for i in range(a, b - 1):
+                    j = np.flatnonzero(tree[i + 1 - a :] != tree[i - a]) + i + 1
+                    j = j[passing(np.full(len(j), i), j)]
+                    for _, first in zip(*np.unique(tree[j - a], return_index=True)):
+                        p, q = int(rep[i]), int(rep[j[first]])
+                        if forest.join(p, q):
+                            joined.append((p, q))
+                    if len(j):
+                        tree[np.isin(tree, np.append(tree[j - a], tree[i - a]))] = forest.root(int(rep[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in joined], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        def of(doc: int, text: str) -> np.ndarray:
-            known = recent.get(doc)
-            if known is None or known[0] != text:
-                recent[doc] = known = (text, shingles(text, size))
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return known[1]
+    return run
 
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            text_a, text_b = batch.column(2), batch.column(3)
-            linked = []
-            for i, (p, q) in enumerate(zip(a, b)):
-                x, y = of(p, text_a[i].as_py()), of(q, text_b[i].as_py())
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+def _common(sets: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the given rows: how many shingles it shares with every set, over an inverted index."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    posting = owner[np.argsort(term, kind="stable")]
+    count = np.bincount(term)
+    first = np.cumsum(count) - count
+    at = np.cumsum([0, *map(len, sets)])
+    for i in rows:
+        mine = term[at[i] : at[i + 1]]
+        sizes = count[mine]
+        places = np.arange(sizes.sum()) + np.repeat(first[mine] - (np.cumsum(sizes) - sizes), sizes)
+        yield i, np.bincount(posting[places], minlength=len(sets))
+
+
+def links_of(reps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets, of both sides of a cell if it is of two blocks."""
+    n = np.array([len(s) for s in sets])
+    linked = np.zeros((len(sets), len(sets)), bool)
+    for i, both in _common(sets, np.flatnonzero(sides == 0) if cross else np.arange(len(sets))):
+        linked[i] = 100 * both >= percent * (n[i] + n - both)
+        if cross:
+            linked[i] &= sides == 1
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    labels = _least_labels(linked, np.arange(len(sets)))
+    return [(int(reps[i]), int(reps[root])) for i, root in enumerate(labels) if root != i and reps[i] != reps[root]]
+
+
+def _confirmed(size: int, percent: int):
+    """Spanning edges of the exact links of each cell, from the texts of its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 3):
+            cells = np.stack([table[i].to_numpy() for i in range(3)], 1)
+            starts = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1)))
+            found: list[tuple[int, int]] = []
+            for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
+                part = table.slice(a, b - a)
+                if b - a > 1:
+                    sets = [shingles(t, size) for t in part[5].to_pylist()]
+                    found += links_of(part[4].to_numpy(), sets, part[3].to_numpy(), cells[a, 1] != cells[a, 2], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar; ``pairs`` must be a saved table."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-    if 2 * pairs.count() <= BROADCAST_IDS:
+def _by_cell(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a cell next to each other, in one task: (key, low, high, side, columns)."""
+    flat = rows.select(F.col("cell.key").alias("key"), F.col("cell.low").alias("low"), F.col("cell.high").alias("high"), "side", *columns)
+    return flat.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side")
+
+
+def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest, per task, of all pairs that share a bucket and whose sketches pass."""
+    members = nodes.select("rep", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    rows = members.join(shared, "bucket")
+    cells = _block_pairs(rows, "bucket", "rep", F.ceil(F.col("many") / BUCKET_BLOCK)).select("rep", "cell", "side")
+    cells = cells.join(nodes.select("rep", "n_shingles", *_WORDS), "rep")
+    return _by_cell(cells, "rep", "n_shingles", *_WORDS).mapInArrow(_sketched(percent), "a bigint, b bigint")
+
+
+def confirmed_edges(groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest, per cell, of the exact links within each group; ``groups`` is (node, component), saved."""
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
+    block = F.least(F.greatest(F.ceil(F.col("many") / SPREAD), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+    cells = _block_pairs(groups.join(sizes, "component"), "component", "node", F.ceil(F.col("many") / block)).select("node", "cell", "side")
+    asked = groups.select(F.col("node").alias("asked"))
+    if groups.count() <= BROADCAST_IDS:
         asked = F.broadcast(asked)
-    texts = docs.join(asked, docs["doc_id"] == asked["asked"], "left_semi")
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a bigint, b bigint")
+    # one text a node, even where rows repeat a doc_id
+    texts = docs.join(asked, docs["doc_id"] == asked["asked"], "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return _by_cell(cells.join(texts, cells["node"] == texts["doc_id"]), "node", "text").mapInArrow(_confirmed(size, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -195,39 +343,15 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = P
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.save(signatures(docs, shingle_words), "signed")
 
-    # classes of equal sets
     first = [F.first(c).alias(c) for c in ("n_shingles", "bands", *_WORDS)]
     classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *first)
     classes = scratch.save(classes, "classes")
     nodes = classes.where("rep is not null")
 
-    # buckets with more than one class, and each class's pivots
-    members = nodes.select("rep", F.explode("bands").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    shared = scratch.save(members.join(pivots, "bucket"), "shared")
-    asked = shared.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("low", "high"))).alias("b")).where("a <> b").distinct()
-
-    def side(x: str) -> DataFrame:
-        return nodes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n_shingles", *_WORDS)))
-
-    stars = asked.join(side("a"), "a").join(side("b"), "b").where(_similar("a_", "b_", percent))
-    bits = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in _WORDS), F.lit(0))
-    stars = stars.groupBy("a").agg(F.min(F.struct(bits.alias("bits"), F.col("b"))).alias("best")).select("a", F.col("best.b").alias("b"))
-    stars = scratch.save(stars, "stars")
-    links = scratch.save(confirm(stars, docs, shingle_words, percent), "star-links")
-    labels = scratch.save(components(links, scratch, "cc-stars"), "star-labels")
-
-    # what shares a bucket and is still apart: every pair between different components that passes the sketch
-    labelled = shared.join(labels, shared["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    apart = labelled.join(split, "bucket").join(nodes.select("rep", "n_shingles", *_WORDS), "rep")
-    apart = scratch.save(apart, "apart")
-    x = apart.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("rep", "label", "n_shingles", *_WORDS)))
-    y = apart.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("rep", "label", "n_shingles", *_WORDS)))
-    more = x.join(y, (x["bucket"] == y["bucket"]) & (x["x_rep"] < y["y_rep"]) & (x["x_label"] != y["y_label"]) & _similar("x_", "y_", percent))
-    more = scratch.save(more.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "more")
-    links = links.unionAll(confirm(more, docs, shingle_words, percent))
-    labels = components(links, scratch, "cc")
+    candidates = scratch.save(candidate_edges(nodes, percent), "candidates")
+    groups = scratch.save(components(candidates, scratch, "cc-candidates"), "groups")
+    links = scratch.save(confirmed_edges(groups, docs, shingle_words, percent), "links")
+    labels = components(links, scratch, "cc-links")
 
     named = nodes.select("h1", "h2", "rep").join(labels, nodes["rep"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     named = scratch.save(named, "named")
