@@ -35,7 +35,7 @@ def linear_score(vector: Column, weights: list[float], bias: float = 0.0, sigmoi
 
 def last_token_index(ids: Column, pad: int) -> Column:
     """The place before the first padding, from 0; the last place where there is none."""
-    return F.pmod(F.array_position(ids, pad) - 2, F.size(ids)).cast("int")
+    return F.pmod(F.greatest(F.array_position(ids, pad), F.lit(1)) - 2, F.size(ids)).cast("int")
 
 
 def last_index_clamped(ids: Column, pad: int, length: int) -> Column:

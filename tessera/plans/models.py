@@ -47,7 +47,7 @@ def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PADDED = "list_concat(ids[1:12], list_transform(range(greatest(12 - len(ids), 0)), lambda i: 0))"
 
 
-@query("m02_last_token", v.with_views("ids", f"WITH p AS (SELECT conv_id, turn, {_PADDED} AS x FROM ids) SELECT conv_id, turn, (((coalesce(list_position(x, 0), 0) - 2) % len(x) + len(x)) % len(x))::INT AS pos FROM p"))
+@query("m02_last_token", v.with_views("ids", f"WITH p AS (SELECT conv_id, turn, {_PADDED} AS x FROM ids) SELECT conv_id, turn, (((greatest(coalesce(list_position(x, 0), 1), 1) - 2) % len(x) + len(x)) % len(x))::INT AS pos FROM p"))
 def m02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("conv_id", "turn", mm.last_token_index(mm.pad_or_cut(F.col("ids"), 12, 0), 0).alias("pos"))
 

@@ -107,7 +107,6 @@ def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ACTION = r"regexp_extract(action, '\[(.*?)\]', 1)"
-_KEY = F.regexp_extract("action", r"\[(.*?)\]", 1)
 # the third level's nodes move up to the root, so that trees have several root children
 _BUSHY = "SELECT tree_id, node_id, CASE WHEN depth IN (2, 3) THEN 1::BIGINT ELSE parent_id END AS parent_id, node_id AS child_idx, CASE WHEN node_id > 1 THEN event_type || '[' || (prop_k % 4) || ']' ELSE 'root' END AS action FROM (SELECT t.*, s.event_type, s.prop_k FROM trees t JOIN steps s ON s.user_id = t.tree_id AND s.k = t.node_id)"
 
@@ -131,7 +130,7 @@ def _bushy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.merge_expert_branches(_bushy(spark, sf_dir), _KEY).select("tree_id", "node_id", "parent_id", "action")
+    return tr.merge_expert_branches(_bushy(spark, sf_dir), F.regexp_extract("action", r"\[(.*?)\]", 1)).select("tree_id", "node_id", "parent_id", "action")
 
 
 @query(
