@@ -63,7 +63,7 @@ def test_page_stream_equals_batch(spark, tmp_path):
 def test_windowed_counts_drop_late_rows(spark, tmp_path):
     source = tmp_path / "ev"
     source.mkdir()
-    batches = [[("2024-01-01T00:10:00", "view", 1.0)], [("2024-01-01T03:00:00", "view", 2.0)], [("2024-01-01T00:20:00", "view", 9.0), ("2024-01-01T06:00:00", "view", 3.0)]]
+    batches = [[("2024-01-01T00:10:00", "view", 1.0)], [("2024-01-01T03:00:00", "view", 2.0)], [("2024-01-01T03:05:00", "view", 4.0)], [("2024-01-01T00:20:00", "view", 9.0), ("2024-01-01T06:00:00", "view", 3.0)]]
     for i, rows in enumerate(batches):
         (source / f"{i}.json").write_text("\n".join(json.dumps({"ts": t, "event_type": e, "value": x}) for t, e, x in rows))
         os.utime(source / f"{i}.json", (1_000 + i, 1_000 + i))  # files are read in this order
