@@ -254,12 +254,12 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, id_c
     padded = F.concat("embedding", F.array_repeat(F.lit(0).cast(dict(rows.dtypes)["embedding"][6:-1]), F.lit(width) - F.size("embedding")))
     rows = rows.withColumn("vector", F.when(fit, padded))
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
-    classes = scratch.save(classes.select(F.xxhash64("vector").alias("class"), "vector", "least", "weight"), "classes")
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("class"), "vector", "least", "weight"), "classes")  # ids hold once saved
     n = classes.count()
 
     # the tree's top: pivots from a bounded sample in hash order, which only decides who shares a block
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(n / block)))
-    sample = classes.orderBy("class").limit(wanted).select("vector").toArrow()
+    sample = classes.orderBy(F.xxhash64("vector"), "class").limit(wanted).select("vector").toArrow()
     pivots = _normal(_unit(sample["vector"], width))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,7 @@
 
 Model: every block element and every run of text is a node with a hidden label, content or not.
 Parent-child potentials connect a node to its element, unary potentials hold what is seen at the
-node: tag, words of class, id and role, share of linked text, length, closing punctuation. Both are
-estimated from labelled pages. Sum-product message passing, once upward and once downward, gives
+node: tag, words of class, id and role, share of linked text, copyright sign. Both are estimated from labelled pages. Sum-product message passing, once upward and once downward, gives
 each run's exact marginal; runs at 0.5 or more are the main text.
 
 The labelled pages are (html, list of content blocks). ``labelled_pages`` writes them from a seed: a
@@ -168,33 +167,31 @@ def _attribute_words(rest: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
-def _bucket(n: int) -> int:
-    return 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 8 else 3 if n <= 20 else 4 if n <= 60 else 5
-
-
 def observations(page: Page) -> list[tuple]:
     """What is seen at each node, as a tuple of features."""
     n = len(page.parent)
-    size, linked, runs = [len(t) for t in page.text], list(page.linked), [int(t == "#text") for t in page.tag]
+    size, linked = [len(t) for t in page.text], list(page.linked)
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
         size[p] += size[i]
         linked[p] += linked[i]
-        runs[p] += runs[i]
     seen = []
     for i in range(n):
         share = 0 if not linked[i] else 1 if 3 * linked[i] < size[i] else 2 if 10 * linked[i] < 9 * size[i] else 3
         if page.tag[i] == "#text":
-            text = page.text[i]
-            seen.append((("linked", share), ("length", _bucket(text.count(" ") + 1)), ("sign", "©" in text), ("end", text[-1] in ".!?…\"”»。")))
+            seen.append((("linked", share), ("sign", "©" in page.text[i])))
         else:
             tag = page.tag[i]
-            seen.append((("tag", (tag, share, bool(page.words[i]))), ("runs", _bucket(runs[i])), *(("word", w) for w in page.words[i])))
+            seen.append((("tag", (tag, share, bool(page.words[i]))), *(("word", w) for w in page.words[i])))
     return seen
 
 
-#: Largest log-odds of a feature: structure may decide alone, the look of a text may not.
-_STRENGTH = {"tag": 4.0, "word": 5.0, "runs": 0.5, "linked": 2.0, "length": 0.5, "sign": 1.0, "end": 0.3}
+#: Largest log-odds of a feature. Lengths and punctuation are no features: a page of many short blocks would outvote its structure.
+_STRENGTH = {"tag": 6.0, "word": 6.0, "linked": 1.0, "sign": 1.0}
+#: Paragraphs, items, cells, headings and runs come in numbers: they may only speak against content, and only clearly.
+_INNER_STRENGTH, _CLEAR = 1.0, 0.75
+#: Least probability that an inner element or run differs from its parent.
+_FLOOR = {"text": 0.001, "inner": 0.1, "box": 0.0}
 
 
 class Model:
@@ -207,11 +204,20 @@ class Model:
     def _odds(self, seen: tuple) -> float:
         found = self._known.get(seen)
         if found is None:
-            found = sum(self.unary.get(f, 0.0) for f in seen)
+            found = sum(self._word(f[1]) if f[0] == "word" else self.unary.get(f, 0.0) for f in seen)
             if len(self._known) < 50_000:
                 self._known[seen] = found
         return found
 
+    def _word(self, word: str) -> float:
+        """The log-odds of a class word; of an unknown one those of the longest known word that begins or ends it."""
+        known = self.unary.get(("word", word))
+        for n in range(len(word) - 1, 3, -1):
+            if known is not None:
+                return known
+            known = self.unary.get(("word", word[:n]), self.unary.get(("word", word[-n:])))
+        return known or 0.0
+
     def marginals(self, page: Page) -> list[float]:
         """Log-odds of content at every node, by one upward and one downward sweep."""
         exp, log = math.exp, math.log
@@ -269,8 +275,14 @@ def train(pages: Iterable[tuple[str, list[str]]], smoothing: float = 0.5) -> Mod
     for f in {*counts[0], *counts[1]}:
         a, b = ((counts[c][f] + smoothing) / (groups[c][f[0]] + smoothing * values[f[0]]) for c in (1, 0))
         most = _STRENGTH[f[0]]
-        unary[f] = max(-most, min(most, math.log(a / b)))
-    tables = {k: tuple((t / t.sum(1, keepdims=True)).ravel().tolist()) for k, t in kinds.items()}
+        value = max(-most, min(most, math.log(a / b)))
+        if f[0] in ("linked", "sign") or (f[0] == "tag" and _edge(f[1][0]) == "inner"):
+            value = max(-_INNER_STRENGTH, value) if value <= -_CLEAR else 0.0
+        unary[f] = value
+    tables = {}
+    for kind, t in kinds.items():
+        stay = np.clip(np.diag(t) / t.sum(1), 0, 1 - _FLOOR[kind])
+        tables[kind] = (float(stay[0]), float(1 - stay[0]), float(1 - stay[1]), float(stay[1]))
     return Model(unary, tables, 0.0)
 
 

@@ -8,7 +8,7 @@ similarity precisely, so a pair that shares a band is compared by four machine w
 anything longer moves. Pairs that pass are confirmed on their full sets, read from the texts.
 
 At a similarity of 0.8 a pair misses all bands with probability (1 - 0.8^4)^32 < 1e-7, and the
-sketch filter (``MOST_BITS``, an estimate of about 0.5) with probability below 1e-5.
+sketch filter (``MOST_BITS``, an estimate of 0.56) with probability of about 1e-5.
 
 Links and skew: equal sets are collapsed into one class first, pre-aggregated. Within each bucket the
 sketches are compared, and of the pairs that pass only a spanning forest is written: at most one row a
@@ -37,19 +37,19 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .tokens import small_slices
+from .tokens import slices
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
 #: Largest XOR population count of a pair that is still confirmed.
-MOST_BITS = 81
+MOST_BITS = 75
 PERCENT = 80
 #: Up to this many ids (8 bytes each, counted first) a broadcast list picks rows.
 BROADCAST_IDS = 2_000_000
 #: Rows of a block of a bucket, and documents of a block of a group: a group has about SPREAD blocks within the bounds.
 BUCKET_BLOCK = 2_048
-SPREAD, LEAST_BLOCK, MOST_BLOCK = 16, 128, 4_096
-_CACHE_WORDS = 500_000
+SPREAD, LEAST_BLOCK, MOST_BLOCK = 16, 128, 1_024
+_CACHE_WORDS = 300_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _random = np.random.default_rng(20_240_229)
@@ -128,9 +128,9 @@ _WORDS = ("s0", "s1", "s2", "s3")
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in small_slices(texts, 2000):
-                sets = [shingles(t, size) for t in texts[a:b]]
+            ids = batch.column(0)
+            for a, b, texts in slices(batch.column(1), 2_000):
+                sets = [shingles(t, size) for t in texts]
                 samples = np.array([minhash(s) for s in sets])
                 whole = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 names = np.array([[w & 0xFFFFFFFFFFFFFFFF, w >> 64] for w in whole], np.uint64).view(np.int64)
@@ -184,15 +184,6 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _least_labels(linked: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The least label of each component of a symmetric link matrix."""
-    while True:
-        lower = np.minimum(labels, np.where(linked, labels[None, :], np.iinfo(np.int64).max).min(1))
-        if (lower == labels).all():
-            return labels
-        labels = lower
-
-
 class _Forest:
     """Union-find over ids; ``join`` tells whether it joined two trees."""
 
@@ -279,15 +270,15 @@ def _common(sets: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[int, np.
 def links_of(reps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets, of both sides of a cell if it is of two blocks."""
     n = np.array([len(s) for s in sets])
-    linked = np.zeros((len(sets), len(sets)), bool)
+    tree = np.arange(len(sets))
     for i, both in _common(sets, np.flatnonzero(sides == 0) if cross else np.arange(len(sets))):
-        linked[i] = 100 * both >= percent * (n[i] + n - both)
+        linked = 100 * both >= percent * (n[i] + n - both)
         if cross:
-            linked[i] &= sides == 1
-    linked |= linked.T
-    np.fill_diagonal(linked, False)
-    labels = _least_labels(linked, np.arange(len(sets)))
-    return [(int(reps[i]), int(reps[root])) for i, root in enumerate(labels) if root != i and reps[i] != reps[root]]
+            linked &= sides == 1
+        joined = np.unique(np.append(tree[linked], tree[i]))
+        if len(joined) > 1:
+            tree[np.isin(tree, joined)] = joined[0]
+    return [(int(reps[i]), int(reps[root])) for i, root in enumerate(tree) if root != i and reps[i] != reps[root]]
 
 
 def _confirmed(size: int, percent: int):

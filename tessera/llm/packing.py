@@ -80,10 +80,10 @@ def _cut(vocabulary: str, end_id: int, most: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.small_slices(texts):
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in tokens.slices(batch.column(1)):
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc, payload in zip(ids[a:b], encode(texts[a:b])):
+                for doc, payload in zip(ids[a:b], encode(texts)):
                     payload += end
                     for piece, at in enumerate(range(0, len(payload), 4 * most)):
                         part = payload[at : at + 4 * most]

@@ -183,10 +183,10 @@ def _write(root: str, vocabulary: str, end_id: int):
         fs.create_dir(path, recursive=True)
         out, keys, lengths = None, [], []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.small_slices(texts):
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in tokens.slices(batch.column(1)):
                 out = out or fs.open_output_stream(f"{path}/{stem}.ids")
-                payloads = encoder.encode(texts[a:b])
+                payloads = encoder.encode(texts)
                 if width == 2:
                     payloads = [np.frombuffer(p, "<u4").astype("<u2").tobytes() for p in payloads]
                 for payload in payloads:

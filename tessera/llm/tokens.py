@@ -6,9 +6,9 @@ characters, in order. Within a piece, letters never join with ASCII punctuation
 (apostrophes, which may start a contraction, are left alone), so a piece such as ``(Word).`` is
 the ids of ``(``, ``word`` and ``).``. Corpora repeat their words: each worker keeps the bytes of
 the ids of the pieces and words it has met, and encodes new words many at a time, joined by
-spaces; the id that ends a word tells them apart again. The memory is bounded by
-``CACHE_WORDS`` entries of at most ``CACHE_CHARS`` characters; beyond that, pieces are simply
-encoded again.
+spaces; the id that ends a word tells them apart again. The memory is bounded by twice
+``CACHE_WORDS`` entries of at most ``CACHE_CHARS`` bytes, some forty bytes each; beyond that,
+pieces are simply encoded again.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries and word length that a worker remembers; a bound on memory, without effect on results.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_500_000
 CACHE_CHARS = 48
 
 #: ASCII punctuation but for the apostrophe.
@@ -36,6 +36,23 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Table:
+    """Words and the bytes of their ids in two Arrow arrays: a word costs its letters, its ids and two offsets."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def find(self, words: pa.Array) -> pa.Array:
+        """The place of each word, null where the table hasn't got it."""
+        return pc.index_in(words, value_set=self.words)
+
+    def add(self, words: pa.Array, ids: pa.Array) -> None:
+        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+
+
 class Encoder:
     """Text to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -44,11 +61,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
+        self.pieces, self.letters = _Table(), _Table()
         vocab = self.tokenizer.get_vocab()
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.wordy = any(t.isalpha() for t in self.special)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
@@ -65,67 +80,65 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces, long ones apart so that they are not remembered."""
-        known, letters = self.known, self.letters
-        if len(letters) > CACHE_WORDS:
-            letters.clear()
-        plain, lower, other = [], [], []
-        mixed, before, core, after = [], [], [], []
+    def _of_letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different words of letters only."""
+        if len(self.letters.words) > CACHE_WORDS:
+            self.letters.clear()
+        asked = pa.array(words, pa.large_string())
+        at = self.letters.find(asked)
+        known = asked.filter(at.is_valid()).to_pylist()
+        found = dict(zip(known, self.letters.ids.take(at.drop_null()).to_pylist()))
+        new = asked.filter(at.is_null()).to_pylist()
+        ids = [x for a in range(0, len(new), 5_000) for x in self._joined(new[a : a + 5_000])]
+        self.letters.add(pa.array(new, pa.large_string()), pa.array(ids, pa.large_binary()))
+        found.update(zip(new, ids))
+        return found
+
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        """Ids of new pieces: a word of letters, perhaps between punctuation marks, by its word; others whole."""
+        low: list[str | None] = []
+        shape: list[tuple[str, str] | None] = []
         for piece in missing:
             word = piece.strip(_MARKS)
-            if word.isalpha() and len(piece) <= CACHE_CHARS and (word.isascii() or max(word) < "\u0130" or unicodedata.normalize("NFC", word).lower().isalpha()):
-                low = word.lower() if word.isascii() or max(word) < "\u0130" else word  # beyond, lower case may depend on more than the letter
+            plain = word.isascii() or (word != "" and max(word) < "\u0130")  # beyond, lower case may depend on more than the letter
+            if word.isalpha() and (plain or unicodedata.normalize("NFC", word).lower().isalpha()) and not (self.special and any(t in piece for t in self.special)):
+                low.append(word.lower() if plain else word)
                 if len(word) == len(piece):
-                    if not self.wordy or piece not in self.special:
-                        plain.append(piece)
-                        lower.append(low)
-                        continue
+                    shape.append(None)
                 else:
                     at = piece.index(word)
-                    if not any(t in piece for t in self.special):
-                        mixed.append(piece)
-                        before.append(piece[:at])
-                        core.append(low)
-                        after.append(piece[at + len(word) :])
-                        continue
-            other.append(piece)
-        words = list({*lower, *core}.difference(letters))
-        for a in range(0, len(words), 5_000):
-            part = words[a : a + 5_000]
-            letters.update(zip(part, self._joined(part)))
-        marks = list({*before, *after}.difference(letters, ("",)))
-        letters.update(zip(marks, self._each(marks)))
-        letters[""] = b""
-        get = letters.__getitem__
-        known.update(zip(plain, map(get, lower)))
-        known.update(zip(mixed, map(b"".join, zip(map(get, before), map(get, core), map(get, after)))))
-        extra: dict[str, bytes] = {}
-        for piece, ids in zip(other, self._each(other)):
-            (known if len(piece) <= CACHE_CHARS else extra)[piece] = ids
-        return extra
+                    shape.append((piece[:at], piece[at + len(word) :]))
+            else:
+                low.append(None)
+                shape.append(None)
+        words = self._of_letters(list({w for w in low if w is not None}))
+        marks = list({m for s in shape if s is not None for m in s if m})
+        around = dict(zip(marks, self._each(marks))) | {"": b""}
+        whole = iter(self._each([p for p, w in zip(missing, low) if w is None]))
+        return [next(whole) if w is None else words[w] if s is None else around[s[0]] + words[w] + around[s[1]] for w, s in zip(low, shape)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null is the empty text.
 
-        Arrow splits the texts and numbers their different pieces, so Python sees each piece once a call.
+        Arrow splits the texts and numbers their different pieces, so Python sees each new piece once.
         """
         column = pc.fill_null(pa.array(texts, pa.large_string()), "")
         for space in "\n\t\r":
             column = pc.replace_substring(column, space, " ")
         split = pc.split_pattern(column, " ")
         numbered = split.flatten().dictionary_encode()
-        pieces = numbered.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        found = list(map(known.get, pieces))
-        missing = [w for w, ids in zip(pieces, found) if ids is None]
-        if missing:
-            extra = self._learn(missing)
-            learnt = iter([extra[w] if w in extra else known[w] for w in missing] if extra else map(known.__getitem__, missing))
-            found = [next(learnt) if ids is None else ids for ids in found]
-        joined = pa.array(found, pa.large_binary()).take(numbered.indices)
+        if len(self.pieces.words) > CACHE_WORDS:
+            self.pieces.clear()
+        at = self.pieces.find(numbered.dictionary)
+        places, ids = at.to_numpy(zero_copy_only=False), self.pieces.ids
+        if at.null_count:
+            new = numbered.dictionary.filter(at.is_null())
+            learnt = pa.array(self._learn(new.to_pylist()), pa.large_binary())
+            places = np.where(np.isnan(places), len(ids) + np.cumsum(np.isnan(places)) - 1, places)
+            ids = pa.concat_arrays([ids, learnt])
+            short = pc.less_equal(pc.binary_length(new), CACHE_CHARS)
+            self.pieces.add(new.filter(short), learnt.filter(short))
+        joined = ids.take(pa.array(places.astype(np.int64))).take(numbered.indices)
         _, offsets, data = joined.buffers()
         raw = data.to_pybytes() if data is not None else b""
         bounds = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(texts) + 1)
@@ -139,13 +152,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def small_slices(texts, rows: int = 4_096, chars: int = 12_000_000):
-    """Ranges (from, to) over a list of texts with at most ``rows`` rows and about ``chars`` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if i + 1 - start >= rows or size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array, rows: int = 4_096, size: int = 8_000_000):
+    """(from, to, texts) over a column of texts: at most ``rows`` rows and about ``size`` bytes at a time."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        before = int(upto[start - 1]) if start else 0
+        end = min(start + rows, max(start + 1, int(np.searchsorted(upto, before + size, side="right"))))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end

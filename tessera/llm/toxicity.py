@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .near_dup import _mix, shingles
 from .scratch import Scratch
+from .tokens import slices
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -50,7 +51,7 @@ WINDOW = 6
 ONE_EDIT, TWO_EDITS = 5, 10
 #: How much of a hit quotation marks on both sides, or a reporting word before it, make a quotation.
 MARKED, REPORTED = 0.85, 0.6
-_TOKENS = 400_000
+_TOKENS = 250_000
 
 _OPEN, _CLOSE = "\"'“„«‘‹`", "\"'”“»’›`"
 REPORTING = frozenset(
@@ -415,12 +416,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return Model(entries, lists[0] | lists[1], weights, bias)
 
 
+def _scored(model: Model, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(model.scores(some) for _, _, some in slices(texts))])
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.scores(batch.column(1).to_pylist())
+            scores = _scored(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
@@ -433,7 +438,6 @@ def reject(docs: DataFrame, model: Model, *, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(model.scores(pc.cast(batch.column(at), pa.string()).to_pylist()) < threshold)
-            yield batch.filter(keep)
+            yield batch.filter(pa.array(_scored(model, pc.cast(batch.column(at), pa.string())) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

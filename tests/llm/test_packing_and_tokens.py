@@ -35,6 +35,7 @@ def test_encoder_special_tokens_and_bounds(encode):
     for t in ("<|endoftext|>x <|startoftext|>", "it's 's 'tis", "x" * 500 + " y"):
         assert ENCODER.encode([t]) == [np.array(encode(t), "<u4").tobytes()]
     small = tokens.Encoder(tokens.vocabulary())
+    assert small.encode([]) == [] and small.encode([None, ""]) == [b"", b""]
     old, tokens.CACHE_WORDS = tokens.CACHE_WORDS, 3
     try:
         for t in ("a b c d e f g", "a b h i j", "a b c"):

@@ -231,11 +231,18 @@ def test_extract(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
+def test_unknown_class_words_are_read_by_their_parts():
+    model = html_extract.default_model()
+    page = "<body><div class='{}'><p>Buy this now, it is cheap.</p></div><article><p>Some text that matters.</p></article></body>"
+    for word in ("sidebarleft", "commentlist", "advertbox", "newsletters", "mynotice"):
+        assert model.blocks(page.format(word)) == ["Some text that matters."], word
+
+
 def test_marginals_are_exact():
     model = html_extract.default_model()
     page = html_extract.Page("<body><div class='nav'><a href=x>a</a></div><p>one two three</p></body>")
     n = len(page.parent)
-    unary = [sum(model.unary.get(f, 0.0) for f in s) for s in html_extract.observations(page)]
+    unary = [model._odds(s) for s in html_extract.observations(page)]
     weights = np.zeros(n), np.zeros(n)
     for code in range(1 << n):
         x = [(code >> i) & 1 for i in range(n)]

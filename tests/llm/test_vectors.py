@@ -42,7 +42,9 @@ def test_search(spark, monkeypatch, cells):
 
 
 def test_search_with_large_numbers_and_few_rows(spark):
-    rows = [(0, [3e7, -3e7]), (50, [1e9, 1e9]), (51, [-2e9, 5.0])]
+    rows = [(0, [5e6, -5e6]), (50, [4e6, 3.0]), (51, [-5e6, 5.0])]  # beyond doubles
+    assert sorted(map(tuple, topk.search(table(spark, rows)).collect())) == brute_topk([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
+    rows = [(0, [1e8, 0.0]), (50, [0.0, 1e8]), (51, [0.0, 0.0])]  # sums that could pass 64 bits
     assert sorted(map(tuple, topk.search(table(spark, rows)).collect())) == brute_topk([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
     assert topk.search(table(spark, [])).collect() == []
     assert topk.search(table(spark, [(0, [1.0])])).collect() == []
