@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 from .topk import usable
+from .workers import tidy
 
 THRESHOLD = 0.95
 BLOCK = 4_096
@@ -224,6 +225,7 @@ def _normal(m: np.ndarray) -> np.ndarray:
 
 
 def _pairs(width: int, threshold: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -262,6 +264,7 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, id_c
     sample = classes.orderBy(F.xxhash64("vector"), "class").limit(wanted).select("vector").toArrow()
     pivots = _normal(_unit(sample["vector"], width))
 
+    @tidy
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = _normal(_unit(batch.column(1), width))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import tidy
+
 PAGES = 1500
 SEED = 7
 
@@ -418,6 +420,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """Per page: page_id, url, text and n_chars, the text's code points."""
     model = model or default_model()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):

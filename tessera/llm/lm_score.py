@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .near_dup import _LOWER, _mix, _words
 from .scratch import planned_bytes
+from .workers import release
 
 ORDER = 2
 BACKOFF = 0.4
@@ -81,6 +82,7 @@ def score(docs: DataFrame, *, order: int = ORDER, backoff: float = BACKOFF, id_c
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         _, grams, sizes = _ngrams(table["text"].to_pylist(), order)
         keys, counts = _counted(grams)
+        release()
         cuts = np.concatenate([[0], np.searchsorted(keys, _bounds(ranges), side="right")])
         parts = list(zip(cuts[:-1], cuts[1:]))
         return pa.table(
@@ -133,6 +135,7 @@ def score(docs: DataFrame, *, order: int = ORDER, backoff: float = BACKOFF, id_c
                     seen = np.log(np.maximum(count, 1) / np.maximum(before, 1))
                     logs = np.where(there, np.where(count > 0, seen, math.log(backoff) + logs), logs)
                 context = count
+        release()
         sums = np.bincount(doc, weights=logs, minlength=len(sizes)) if len(doc) else np.zeros(len(sizes))
         return pa.table(
             {

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 from .tokens import slices
+from .workers import PASSING, tidy
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
@@ -68,6 +69,7 @@ class _Words(dict):
 
 
 _words = _Words()
+PASSING.append(_words)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -126,6 +128,7 @@ _WORDS = ("s0", "s1", "s2", "s3")
 
 
 def _sign(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -212,6 +215,7 @@ def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _sketched(percent: int):
     """Spanning edges of the pairs of each cell whose set sizes and sketches allow the similarity."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         for table in _runs(batches, 3):
@@ -284,6 +288,7 @@ def links_of(reps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, cross:
 def _confirmed(size: int, percent: int):
     """Spanning edges of the exact links of each cell, from the texts of its documents."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 3):
             cells = np.stack([table[i].to_numpy() for i in range(3)], 1)

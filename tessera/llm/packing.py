@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .scratch import Scratch
+from .workers import tidy
 
 MAX_LENGTH = 2048
 END_ID = 0
@@ -77,6 +78,7 @@ class OpenBins:
 def _cut(vocabulary: str, end_id: int, most: int, keep_ids: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
         for batch in batches:
@@ -104,6 +106,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
 
 
 def _fit(capacity: int, open_bins: int, fields: list[str]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40

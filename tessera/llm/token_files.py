@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .scratch import Scratch, delete, planned_bytes
+from .workers import tidy
 
 END_ID = 1
 #: Estimated bytes of input for each shard.
@@ -173,6 +174,7 @@ def _open(uri: str):
 
 
 def _write(root: str, vocabulary: str, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(vocabulary)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -245,6 +247,7 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
 def _read(root: str, with_ids: bool):
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fs, path = _open(root)
@@ -295,6 +298,7 @@ def fetch(spark: SparkSession, root: str, keys: DataFrame, *, id_col: str = "doc
     asked = keys.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     met = asked.join(F.broadcast(manifest), (F.col("doc_id") >= F.col("first_doc")) & (F.col("doc_id") <= F.col("last_doc")))  # one row a shard
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stem, index, payload = None, None, None
         for batch in batches:

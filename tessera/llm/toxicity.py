@@ -2,16 +2,17 @@
 
 Fit, on a bounded sample of labelled rows (``SAMPLE_ROWS``, in hash order, ids only are sorted):
 words and word beginnings are counted by label, documents that are copies of each other counting
-as one; those that are more frequent in toxic documents than chance allows are candidates; a greedy
-cover keeps the few that explain toxic documents which nothing chosen before explains. A logistic
-regression over the hit counts calibrates the score. Counting runs on the executors; the driver
-gets the candidates and the sample's hit counts only, which the sample bounds.
+as one; those that are more frequent in toxic documents than chance allows among so many are the
+lexicon, a beginning in place of its words where it stands for several. A logistic regression over
+the hit counts calibrates the score. Counting runs on the executors; the driver gets the frequent
+terms and the sample's hit counts only, which the sample bounds.
 
 Scoring, one scan without a shuffle, whole texts: the lexicon is a trie, and the automaton of all
 words within one or two edits of an entry is intersected with it, state by state as tokens need
 them (Schulz and Mihov, "Fast String Correction with Levenshtein Automata", 2002), so a token is
 rejected after its first few letters. Entries that are word beginnings match any ending and no
-edit. A near miss that occurs in clean labelled documents is an ordinary word and not a hit. A hit's
+edit. A near miss that occurs in clean labelled documents is an ordinary word and not a hit, and an
+entry that has such neighbours is matched exactly only. A hit's
 window decides how much of it is quotation: quotation marks on both sides within ``WINDOW`` words,
 or a word that reports speech before it. The quoted share of a hit counts on its own, with a small
 prior weight; the rest counts as abuse.
@@ -39,10 +40,13 @@ from pyspark.sql import functions as F
 from .near_dup import _mix, shingles
 from .scratch import Scratch
 from .tokens import slices
+from .workers import tidy
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
-#: Entries in a lexicon, at most; candidates by significance that the greedy cover looks at.
+#: Share of a term's documents that must be toxic.
+LEAST_SHARE = 0.93
+#: Entries in a lexicon and candidates by significance, at most.
 MOST_ENTRIES = 2_000
 MOST_CANDIDATES = 20_000
 PREFIXES = range(4, 8)
@@ -265,40 +269,36 @@ def held_out(doc_id: Column) -> Column:
 
 def _choose(found: dict[str, tuple[int, int]], tried: int, base: float) -> list[str]:
     """Terms more frequent in toxic documents than chance allows among ``tried`` terms, most significant first."""
-    bar = math.log(max(1, tried)) + 1
+    bar = math.log(max(1, tried))
     out = []
     for term, (t, n) in found.items():
         share = t / n
-        if share > max(0.6, 2 * base) or share == 1:
+        if share >= max(LEAST_SHARE, base):
             gain = t * math.log(share / base) + ((n - t) * math.log((1 - share) / (1 - base)) if n > t else 0)
             if gain >= bar:
                 out.append((gain, term))
     return [t for _, t in sorted(out, key=lambda x: (-x[0], x[1]))[:MOST_CANDIDATES]]
 
 
-def _cover(candidates: list[str], holders: dict[str, list[tuple[int, bool]]], weight: dict[int, float], base: float) -> list[str]:
-    """Greedy: the term that explains most toxic documents not yet explained, less ten for each clean one it hits."""
-    toxic_of = {t: [d for d, bad in holders[t] if bad] for t in candidates}
-    cost = {t: 10 * sum(weight[d] for d, bad in holders[t] if not bad) for t in candidates}
-    need = max(2.0, math.log(max(2, len(candidates))) / -math.log(min(0.9, base)))
-    explained: set[int] = set()
-    chosen: list[str] = []
-    left = {t: sum(weight[d] for d in toxic_of[t]) - cost[t] for t in candidates}
-    while left and len(chosen) < MOST_ENTRIES:
-        # gains only fall, so a lazily refreshed maximum is the true one
-        term = max(left, key=lambda t: (left[t], not t.endswith("*"), -len(t), t))
-        gain = sum(weight[d] for d in toxic_of[term] if d not in explained) - cost[term]
-        if gain < left[term] - 1e-9:
-            left[term] = gain
-            if gain < need:
-                del left[term]
-            continue
-        if gain < need:
-            break
-        chosen.append(term)
-        explained.update(toxic_of[term])
-        del left[term]
-    return chosen
+def _lexicon(candidates: list[str], found: dict[str, tuple[int, int]]) -> list[str]:
+    """Words, and word beginnings that stand for more than their most frequent word alone.
+
+    Among beginnings of equal reach the longest is taken; a word that a taken beginning covers is left out.
+    """
+    words = {t for t in candidates if not t.endswith("*")}
+    most: dict[str, int] = {}
+    for w in words:
+        for n in PREFIXES:
+            most[w[:n]] = max(most.get(w[:n], 0), found[w][0])
+    stems: list[str] = []
+    for stem in sorted((t[:-1] for t in candidates if t.endswith("*")), key=lambda t: (-found[f"{t}*"][0], -len(t), t)):
+        reach = found[f"{stem}*"][0]
+        related = [s for s in stems if s.startswith(stem) or stem.startswith(s)]
+        if reach >= 1.2 * most.get(stem, 0) and reach >= most.get(stem, 0) + 3 and not related:
+            stems.append(stem)
+    covered = tuple(stems)
+    chosen = [f"{s}*" for s in stems] + sorted(w for w in words if not w.startswith(covered) or not covered)
+    return sorted(chosen, key=lambda t: -found[t][0])[:MOST_ENTRIES]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, scratch: Scratch | None = None) -> Model:
@@ -311,6 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), F.col("doc") == F.col("tox_id"))  # at most sample_rows ids
     sample = scratch.save(sample.select(F.col("doc").cast("string").alias("doc"), "text", F.col("tox_label").alias("label")), "sample")
 
+    @tidy
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Three MinHash samples of a document's three-word shingles: copies share all, near copies most."""
         for batch in batches:
@@ -328,20 +329,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return Model({}, frozenset(), PRIOR, 0.0, 0.0)
     if not 0 < toxic < len(label):
         return Model({}, frozenset(), PRIOR, 0.0, (toxic + 0.5) / (len(label) + 1))
-    # a group of copies counts as one document: by the median size of a document's three groups
+    # one document speaks for a group of copies: the first in at least two of its three groups
     groups: list[dict[tuple, list[str]]] = [defaultdict(list) for _ in range(3)]
     for row in sorted(zip(printed["doc"], printed["label"], printed["p0"], printed["p1"], printed["p2"])):
         for group, p in zip(groups, row[2:]):
             group[(p, row[1])].append(row[0])
-    weight_of, voices = {}, set()
+    voices = set()
     for doc, bad, *own in zip(printed["doc"], printed["label"], printed["p0"], printed["p1"], printed["p2"]):
         mine = [group[(p, bad)] for group, p in zip(groups, own)]
-        weight_of[doc] = 1 / sorted(map(len, mine))[1]
         if sum(m[0] == doc for m in mine) >= 2:
             voices.add(doc)
     if not voices:
         voices = set(label)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_, bad = Counter(), Counter()
         for batch in batches:
@@ -358,26 +359,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     base = min(0.9, max(0.001, voiced_toxic / len(voices)))
     counted = sample.mapInArrow(count, "term string, bad bigint, n bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     counted = scratch.save(counted, "terms")
-    frequent = counted.where((F.col("bad") >= 3) & (F.col("bad") >= F.lit(max(0.5, base)) * F.col("n")))
+    frequent = counted.where((F.col("bad") >= 3) & (F.col("bad") >= F.lit(0.5) * F.col("n")))
     found = {t: (b, m) for t, b, m in frequent.collect()}  # terms of the sample's toxic documents
     candidates = _choose(found, counted.where("n >= 3").count(), base)
-    wanted = frozenset(candidates)
-
-    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, docs_ = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t in _terms(_words(text)) & wanted:
-                    terms.append(t)
-                    docs_.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(docs_, pa.string())], names=["term", "doc"])
-
-    held: dict[str, list[tuple[int, bool]]] = defaultdict(list)
-    numbers = {d: i for i, d in enumerate(label)}
-    for term, doc in sample.mapInArrow(holders, "term string, doc string").toLocalIterator():
-        held[term].append((numbers[doc], label[doc] == 1))
-    weight = {numbers[d]: w for d, w in weight_of.items()}
-    chosen = _cover([t for t in candidates if t in held], held, weight, base)
+    chosen = _lexicon(candidates, found)
     entries: dict[str, tuple[int, bool]] = {}
     for term in chosen:
         word, open_ = term.rstrip("*"), term.endswith("*")
@@ -385,6 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         entries[word] = (edits, open_ or entries.get(word, (0, False))[1])
 
     # near misses in clean documents are ordinary words; the regression sees half of the sample with the other half's list
+    @tidy
     def misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(entries, frozenset())
         for batch in batches:
@@ -402,7 +388,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for word, half in sample.mapInArrow(misses, "word string, half int").distinct().toLocalIterator():
         ordinary[half].add(word)
     lists = {h: frozenset(ws) for h, ws in ordinary.items()}
-
+    # an entry with ordinary words around it is matched exactly only: its next near miss would be one more of them
+    for word, (edits, open_) in list(entries.items()):
+        if edits:
+            near = Automaton({word: (edits, False)})
+            if any(near.edits(w) is not None for w in lists[0] | lists[1]):
+                entries[word] = (0, open_)
+
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = {h: Matcher(entries, lists[1 - h]) for h in (0, 1)}
         for batch in batches:
@@ -423,6 +416,7 @@ def _scored(model: Model, texts: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = _scored(model, batch.column(1))
@@ -436,6 +430,7 @@ def reject(docs: DataFrame, model: Model, *, text_col: str = "text", threshold:
     """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_scored(model, pc.cast(batch.column(at), pa.string())) < threshold))
