@@ -50,14 +50,14 @@ def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.build(rows, tree_id="tree_id", parent="parent_id", order=["event_id"]).drop("event_id")
 
 
-@query("t04_q_backup", _tree_sql("SELECT tree_id, node_id, round(q_value, 6) AS q_value FROM b"))
+@query("t04_q_backup", _tree_sql("SELECT tree_id, node_id, round(q_value, 9) AS q_value FROM b"))
 def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.q_backup(v.trees(spark, sf_dir), max_depth=_DEEP).withColumn("q_value", F.round("q_value", 6))
+    return tr.q_backup(v.trees(spark, sf_dir), max_depth=_DEEP).withColumn("q_value", F.round("q_value", 9))
 
 
-@query("t05_mean_leaf_reward", _tree_sql("SELECT tree_id, node_id, round(mean_reward, 6) AS mean_reward FROM b"))
+@query("t05_mean_leaf_reward", _tree_sql("SELECT tree_id, node_id, round(mean_reward, 9) AS mean_reward FROM b"))
 def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.mean_leaf_reward(v.trees(spark, sf_dir), max_depth=_DEEP).withColumn("mean_reward", F.round("mean_reward", 6))
+    return tr.mean_leaf_reward(v.trees(spark, sf_dir), max_depth=_DEEP).withColumn("mean_reward", F.round("mean_reward", 9))
 
 
 _PSEUDO = """,
@@ -68,15 +68,15 @@ x AS (SELECT *, power(0.9, dist) * (CASE WHEN 5 - depth > 1 THEN r * (1 - power(
 """
 
 
-@query("t06_pseudo_depth_backup", _tree_sql(_PSEUDO + "SELECT tree_id, node_id, round(max(acc), 6) AS q_value FROM x GROUP BY 1, 2"))
+@query("t06_pseudo_depth_backup", _tree_sql(_PSEUDO + "SELECT tree_id, node_id, round(max(acc), 9) AS q_value FROM x GROUP BY 1, 2"))
 def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.pseudo_depth_backup(v.trees(spark, sf_dir), max_depth=_DEEP).withColumn("q_value", F.round("q_value", 6))
+    return tr.pseudo_depth_backup(v.trees(spark, sf_dir), max_depth=_DEEP).withColumn("q_value", F.round("q_value", 9))
 
 
-@query("t07_reward_labels", _tree_sql("SELECT tree_id, node_id, round(mean_reward, 6) AS label FROM b JOIN trees t USING (tree_id, node_id) WHERE t.parent_id IS NOT NULL"))
+@query("t07_reward_labels", _tree_sql("SELECT tree_id, node_id, round(mean_reward, 9) AS label FROM b JOIN trees t USING (tree_id, node_id) WHERE t.parent_id IS NOT NULL"))
 def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = v.trees(spark, sf_dir)
-    return tr.flatten(edges, tr.mean_leaf_reward(edges, max_depth=_DEEP), "mean_reward").select("tree_id", "node_id", F.round("label", 6).alias("label"))
+    return tr.flatten(edges, tr.mean_leaf_reward(edges, max_depth=_DEEP), "mean_reward").select("tree_id", "node_id", F.round("label", 9).alias("label"))
 
 
 @query(
@@ -84,20 +84,20 @@ def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
     _tree_sql(
         """, p AS (SELECT u.tree_id, u.node_id, string_agg(t.action, '|' ORDER BY u.dist DESC) AS actions, count(*) AS n FROM up u JOIN trees t ON t.tree_id = u.tree_id AND t.node_id = u.ancestor_id
              WHERE t.parent_id IS NOT NULL GROUP BY 1, 2)
-        SELECT p.tree_id, p.node_id, p.actions, p.n::INT AS n, round(b.q_value, 6) AS label FROM p JOIN b USING (tree_id, node_id)"""
+        SELECT p.tree_id, p.node_id, p.actions, p.n::INT AS n, round(b.q_value, 9) AS label FROM p JOIN b USING (tree_id, node_id)"""
     ),
 )
 def t08(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = v.trees(spark, sf_dir)
     labels = tr.flatten(edges, tr.q_backup(edges, max_depth=_DEEP))
     rows = tr.conversations(edges, max_depth=_DEEP).join(labels, tr.KEYS)
-    return rows.select("tree_id", "node_id", F.array_join("actions", "|").alias("actions"), F.size("actions").alias("n"), F.round("label", 6).alias("label"))
+    return rows.select("tree_id", "node_id", F.array_join("actions", "|").alias("actions"), F.size("actions").alias("n"), F.round("label", 9).alias("label"))
 
 
-@query("t09_min_max", _tree_sql(", m AS (SELECT *, min(q_value) OVER (PARTITION BY tree_id) AS lo, max(q_value) OVER (PARTITION BY tree_id) AS hi FROM b) SELECT tree_id, node_id, round(CASE WHEN hi = lo THEN 0.0 ELSE (q_value - lo) / (hi - lo) END, 6) AS label FROM m"))
+@query("t09_min_max", _tree_sql(", m AS (SELECT *, min(q_value) OVER (PARTITION BY tree_id) AS lo, max(q_value) OVER (PARTITION BY tree_id) AS hi FROM b) SELECT tree_id, node_id, round(CASE WHEN hi = lo THEN 0.0 ELSE (q_value - lo) / (hi - lo) END, 9) AS label FROM m"))
 def t09(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = tr.q_backup(v.trees(spark, sf_dir), max_depth=_DEEP).withColumnRenamed("q_value", "label")
-    return tr.min_max(q).withColumn("label", F.round("label", 6))
+    return tr.min_max(q).withColumn("label", F.round("label", 9))
 
 
 @query("t10_cap_per_tree", v.with_views("steps trees", "SELECT tree_id, node_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY md5(CAST(event_id AS VARCHAR) || '#0'), event_id) AS rn FROM trees) WHERE rn <= 40"))
@@ -146,11 +146,11 @@ def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.dedup_siblings(_bushy(spark, sf_dir), F.col("action"), max_depth=_DEEP).select("tree_id", "node_id", "action")
 
 
-@query("t13_node_statistics", _tree_sql("SELECT tree_id, round(avg(reward), 6) AS avg_reward, min(reward) AS min_reward, max(reward) AS max_reward, round(avg(q_value), 6) AS avg_q_value, round(min(q_value), 6) AS min_q_value, round(max(q_value), 6) AS max_q_value FROM trees JOIN b USING (tree_id, node_id) GROUP BY tree_id"))
+@query("t13_node_statistics", _tree_sql("SELECT tree_id, round(avg(reward), 9) AS avg_reward, min(reward) AS min_reward, max(reward) AS max_reward, round(avg(q_value), 4) AS avg_q_value, round(min(q_value), 9) AS min_q_value, round(max(q_value), 9) AS max_q_value FROM trees JOIN b USING (tree_id, node_id) GROUP BY tree_id"))
 def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = v.trees(spark, sf_dir)
     stats = tr.node_statistics(edges.join(tr.q_backup(edges, max_depth=_DEEP), tr.KEYS), ["reward", "q_value"])
-    return stats.withColumns({c: F.round(c, 6) for c in ("avg_reward", "avg_q_value", "min_q_value", "max_q_value")})
+    return stats.withColumns({c: F.round(c, 4 if c == "avg_q_value" else 9) for c in ("avg_reward", "avg_q_value", "min_q_value", "max_q_value")})
 
 
 _BEST = "SELECT user_id, chunk, min_by(reward, attempt) AS first, max(reward) AS best, avg(reward) AS mean, count(*) AS attempts FROM episodes GROUP BY user_id, chunk"
@@ -185,12 +185,12 @@ def t17(spark: SparkSession, sf_dir: str) -> DataFrame:
     _tree_sql(
         """, s AS (SELECT u.tree_id, u.node_id AS leaf_id, sum(b.q_value) AS total, count(*) AS length FROM leaves l JOIN up u USING (tree_id, node_id) JOIN b ON b.tree_id = u.tree_id AND b.node_id = u.ancestor_id GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY round(total, 9) DESC, leaf_id) AS rank FROM s)
-        SELECT tree_id, leaf_id, round(total, 6) AS total_q, length, rank::INT AS rank FROM r WHERE rank <= 3"""
+        SELECT tree_id, leaf_id, round(total, 9) AS total_q, length, rank::INT AS rank FROM r WHERE rank <= 3"""
     ),
 )
 def t18(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = v.trees(spark, sf_dir)
-    return tr.top_paths(edges, tr.q_backup(edges, max_depth=_DEEP), max_depth=_DEEP).withColumn("total_q", F.round("total_q", 6))
+    return tr.top_paths(edges, tr.q_backup(edges, max_depth=_DEEP), max_depth=_DEEP).withColumn("total_q", F.round("total_q", 9))
 
 
 _SCORED = "c AS (SELECT *, CASE WHEN finished THEN env_reward ELSE q_value END AS score FROM candidates)"
