@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries and word length that a worker remembers; a bound on memory, without effect on results.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 CACHE_CHARS = 48
 
 #: ASCII punctuation but for the apostrophe.
@@ -126,7 +126,9 @@ class Encoder:
         for space in "\n\t\r":
             column = pc.replace_substring(column, space, " ")
         split = pc.split_pattern(column, " ")
-        numbered = split.flatten().dictionary_encode()
+        del column
+        starts, numbered = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        del split
         if len(self.pieces.words) > CACHE_WORDS:
             self.pieces.clear()
         at = self.pieces.find(numbered.dictionary)
@@ -141,7 +143,7 @@ class Encoder:
         joined = ids.take(pa.array(places.astype(np.int64))).take(numbered.indices)
         _, offsets, data = joined.buffers()
         raw = data.to_pybytes() if data is not None else b""
-        bounds = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(texts) + 1)
+        bounds = np.frombuffer(offsets, np.int64)[starts].tolist() if len(joined) else [0] * (len(texts) + 1)
         return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
@@ -152,7 +154,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(column: pa.Array, rows: int = 4_096, size: int = 8_000_000):
+def slices(column: pa.Array, rows: int = 4_096, size: int = 6_000_000):
     """(from, to, texts) over a column of texts: at most ``rows`` rows and about ``size`` bytes at a time."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
