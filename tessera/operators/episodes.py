@@ -21,6 +21,12 @@ def summary(episodes: DataFrame) -> DataFrame:
     return episodes.agg((F.sum("reward") / F.count(F.lit(1))).alias("average_reward"), F.avg(F.coalesce(F.col("success"), F.lit(False)).cast("int")).alias("success_rate"))
 
 
+def solved_average(episodes: DataFrame) -> DataFrame:
+    """The sum of rewards over the number of solved episodes; null if none is solved."""
+    solved = F.count_if(F.coalesce(F.col("success"), F.lit(False)))
+    return episodes.agg(F.count(F.lit(1)).alias("n"), solved.alias("solved"), F.try_divide(F.sum("reward"), solved).alias("average"))
+
+
 def success_counts(episodes: DataFrame, task: list[str]) -> DataFrame:
     """Successful attempts, tasks with more than one success, tasks whose first attempt succeeded."""
     won = (F.coalesce(F.col("reward"), F.lit(0.0)) == 1.0).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import episodes as ep
 from ..operators import sessions as ss
 from ..sources import views as v
 from .reference import REGISTRY
@@ -94,3 +95,8 @@ def w43_subgoals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w46(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.md5(F.concat(F.col("event_id").cast("string"), F.lit("#46"))), F.col("event_id")]
     return ss.random_policy(v.candidates(spark, sf_dir), ["user_id", "state_id"], order).select("user_id", "state_id", "action")
+
+
+@query("w45_solved_average", v.with_views("steps episodes", "SELECT count(*) AS n, count(*) FILTER (success) AS solved, round(sum(reward) / count(*) FILTER (success), 6) AS average FROM episodes"))
+def w45(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ep.solved_average(v.episodes(spark, sf_dir)).withColumn("average", F.round("average", 6))

@@ -57,6 +57,13 @@ def write_json_lines(rows: DataFrame, path: str, by: list[str] | None = None, mo
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
+def write_index_documents(documents: DataFrame, path: str, order: str, limits: tuple[int | None, ...] = (100, 1_000, 100_000, None)) -> None:
+    """JSON lines of (id, contents, ...) for indexing, one folder per limit: the first so many in catalogue order, or all."""
+    for limit in limits:
+        some = documents if limit is None else documents.where(F.col(order) <= limit)
+        write_json_lines(some.drop(order), f"{path}/{'all' if limit is None else limit}")
+
+
 def write_json_arrays(rows: DataFrame, path: str, order: list[str], per_file: int = 1_000) -> None:
     """Files that each hold one JSON array of about ``per_file`` rows, rows of a file in order."""
     files = max(1, -(-rows.count() // per_file))

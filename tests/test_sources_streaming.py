@@ -30,6 +30,13 @@ def test_results_and_index(spark, tmp_path):
     assert [tuple(r) for r in records.read_index(spark, str(tmp_path / "b.json")).collect()] == [(0, None, 4), (1, None, 5)]
 
 
+def test_index_documents(spark, tmp_path):
+    rows = spark.createDataFrame([(i, str(i), f"text {i}") for i in range(1, 151)], "ord int, id string, contents string")
+    records.write_index_documents(rows, str(tmp_path / "docs"), "ord", limits=(100, None))
+    sizes = [records.read_json_lines(spark, str(tmp_path / "docs" / n), "id string, contents string").count() for n in ("100", "all")]
+    assert sizes == [100, 150]
+
+
 def test_ranked_attributes_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("mugs", "blue", 0.5), ("mugs", "steel", 0.25), ("beds", "king size", 1.0)], "category string, attribute string, score double")
     records.write_ranked_attributes(rows, str(tmp_path / "y"))
