@@ -3,7 +3,9 @@
 Method: bounded-space online best-fit. A packing task keeps at most ``open_bins`` open bins,
 indexed by a bitset over free space (bit f is set when some open bin has f free places). The
 best bin for a piece of length n is the lowest set bit at or above n, found with two integer
-operations. When a new bin would exceed the bound, the fullest open bin closes first.
+operations. When a new bin would exceed the bound, the fullest open bin closes first. A task's
+pieces arrive longest first, which leaves about 0.1 % of the places empty, against 1 % in order of
+doc_id; an open bin is one number, so the bound can be wide.
 
 Plan: one scan turns each whole text into pieces (id, place and checksum, no ids), which are
 saved; that table is about forty bytes a piece. The pieces are then dealt, without a key and so
@@ -33,7 +35,7 @@ from .workers import tidy
 
 MAX_LENGTH = 2048
 END_ID = 0
-OPEN_BINS = 1024
+OPEN_BINS = 16_384
 PIECES_PER_TASK = 50_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -123,7 +125,7 @@ def _fit(capacity: int, open_bins: int, fields: list[str]):
 def pack(cut: DataFrame, *, max_length: int = MAX_LENGTH, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """``cut`` with sequence_id and offset; ``cut`` must be a saved table, since it is counted first."""
     tasks = max(1, math.ceil(cut.count() / pieces_per_task))
-    dealt = cut.repartition(tasks).sortWithinPartitions("doc_id", "piece", "ids_crc32")
+    dealt = cut.repartition(tasks).sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(_fit(max_length, open_bins, cut.columns), f"{', '.join(f'{n} {t}' for n, t in cut.dtypes)}, sequence_id bigint, offset bigint")
 
 
