@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .workers import trim
+
 #: Entries and word length that a worker remembers; a bound on memory, without effect on results.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 CACHE_CHARS = 48
 
 #: ASCII punctuation but for the apostrophe.
@@ -154,12 +156,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(column: pa.Array, rows: int = 4_096, size: int = 6_000_000):
-    """(from, to, texts) over a column of texts: at most ``rows`` rows and about ``size`` bytes at a time."""
+def slices(column: pa.Array, rows: int = 4_096, size: int = 3_000_000):
+    """(from, to, texts) over a column of texts: at most ``rows`` rows and about ``size`` bytes at a time.
+
+    What a slice took is given back before the next.
+    """
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(column):
         before = int(upto[start - 1]) if start else 0
         end = min(start + rows, max(start + 1, int(np.searchsorted(upto, before + size, side="right"))))
         yield start, end, column.slice(start, end - start).to_pylist()
+        trim()
         start = end

@@ -12,10 +12,8 @@ import pyarrow as pa
 PASSING: list[dict] = []
 
 
-def release() -> None:
-    """Empties the passing caches and returns free memory to the system, as far as its allocators can."""
-    for cache in PASSING:
-        cache.clear()
+def trim() -> None:
+    """Returns free memory to the system, as far as the allocators can."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -23,6 +21,13 @@ def release() -> None:
         pass
 
 
+def release() -> None:
+    """Empties the passing caches and trims."""
+    for cache in PASSING:
+        cache.clear()
+    trim()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A partition function that releases memory when its partition ends."""
 
