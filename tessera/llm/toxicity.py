@@ -309,7 +309,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     marked = marked.groupBy("tox_id").agg(F.max("tox_label").alias("tox_label")).orderBy(F.xxhash64("tox_id"), "tox_id").limit(sample_rows)
     marked = scratch.save(marked, "marked")
     sample = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), F.col("doc") == F.col("tox_id"))  # at most sample_rows ids
-    sample = scratch.save(sample.select(F.col("doc").cast("string").alias("doc"), "text", F.col("tox_label").alias("label")), "sample")
+    # one row an id, so that repeated rows cannot outgrow the bound
+    sample = sample.groupBy("doc").agg(F.max("text").alias("text"), F.max("tox_label").alias("label"))
+    sample = scratch.save(sample.select(F.col("doc").cast("string").alias("doc"), "text", "label"), "sample")
 
     @tidy
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from conftest import DATA
 from test_pii import plain_spans
 from test_text import brute_groups
 
-from tessera.llm import mixing, near_dup, toxicity
+from tessera.llm import mixing, toxicity
 
 
 def test_stages(spark):
@@ -44,4 +44,3 @@ def test_stages(spark):
     again = corpus_pipeline.run(spark, DATA)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, again.select(*key).collect())) == sorted(map(tuple, after.select(*key).collect()))
-    assert near_dup is not None
