@@ -3,8 +3,11 @@
 Fit, on a bounded sample of labelled rows (``SAMPLE_ROWS``, in hash order, ids only are sorted):
 words and word beginnings are counted by label, documents that are copies of each other counting
 as one; those that are more frequent in toxic documents than chance allows among so many are the
-lexicon, a beginning in place of its words where it stands for several. A logistic regression over
-the hit counts calibrates the score. Counting runs on the executors; the driver gets the frequent
+lexicon, a beginning in place of its words where it stands for several. What chance allows follows
+from the toxic share among documents of like vocabulary (``_groups``), so that a language with more
+or fewer toxic documents than others has its own measure. Terms that clean documents also use at
+times are weak: they count by weight and by their density only. A logistic regression over the hit
+counts calibrates the score. Counting runs on the executors; the driver gets the frequent
 terms and the sample's hit counts only, which the sample bounds.
 
 Scoring, one scan without a shuffle, whole texts: the lexicon is a trie, and the automaton of all
@@ -37,15 +40,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .near_dup import _mix, shingles
+from .near_dup import _LOWER, _mix, shingles
+from .near_dup import _words as _hashes
 from .scratch import Scratch
 from .tokens import slices
 from .workers import tidy
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
-#: Share of a term's documents that must be toxic.
+#: Share of a term's documents that must be toxic; from WEAK_SHARE on, and for some multiple of what is due, a term is weak.
 LEAST_SHARE = 0.93
+WEAK_SHARE, WEAK_TIMES = 0.25, 2.5
+#: Groups of like vocabulary, at most, and buckets of words that tell them apart.
+GROUPS, BUCKETS = 8, 64
 #: Entries in a lexicon and candidates by significance, at most.
 MOST_ENTRIES = 2_000
 MOST_CANDIDATES = 20_000
@@ -155,13 +162,13 @@ class Automaton:
 
 
 class Matcher(dict):
-    """Raw token to 0 (none), 1 (an entry) or 2 (an entry but for edits or lookalike letters); remembers tokens."""
+    """Raw token to 0 (none), 1 (an entry), 2 (an entry but for edits or lookalike letters) or 2 and a weak term's weight; remembers tokens."""
 
-    def __init__(self, entries: dict[str, tuple[int, bool]], ordinary: frozenset[str]):
+    def __init__(self, entries: dict[str, tuple[int, bool]], ordinary: frozenset[str], weak: dict[str, float] | None = None):
         super().__init__()
-        self.automaton, self.ordinary = Automaton(entries), ordinary
+        self.automaton, self.ordinary, self.weak = Automaton(entries), ordinary, weak or {}
 
-    def kind(self, raw: str) -> tuple[int, str]:
+    def kind(self, raw: str) -> tuple[float, str]:
         word = _EDGE.sub("", raw.lower())
         if not word or len(word) > 64:
             return 0, word
@@ -171,10 +178,11 @@ class Matcher(dict):
             if len(shown) >= 4 and not shown.isdigit() and self.automaton.edits(shown) == 0:
                 edits, word = 1, shown if shown != word else word
         if edits is None or (edits and word in self.ordinary):
-            return 0, word
+            weight = max((self.weak.get(t, 0.0) for t in (word, *(f"{word[:n]}*" for n in PREFIXES))), default=0.0) if self.weak else 0.0
+            return (2 + weight if weight else 0), word
         return (2 if edits else 1), word
 
-    def __missing__(self, raw: str) -> int:
+    def __missing__(self, raw: str) -> float:
         found = self.kind(raw)[0]
         if len(raw) <= 64:
             if len(self) > _TOKENS:
@@ -192,32 +200,36 @@ def quotation(tokens: list[str], at: int) -> float:
     return 1 - (1 - MARKED * marked) * (1 - REPORTED * reported)
 
 
-FEATURES = 4
+FEATURES = 5
 
 
 def features(matcher: Matcher, text: str | None) -> list[float]:
-    """Logarithms of 1 plus: exact abusive hits, misspelt abusive hits, quoted hits; and of the words a hit shares."""
+    """Logarithms of 1 plus: exact abusive hits, misspelt abusive hits, quoted hits; the share of hits in the words; the density of weak terms."""
     tokens = (text or "").split()
     kinds = [matcher[t] for t in tokens] if len(matcher) == 0 else list(map(matcher.__getitem__, tokens))
-    exact = near = quoted = 0.0
+    exact = near = quoted = weak = 0.0
     if any(kinds):
         for at, kind in enumerate(kinds):
             if kind:
                 q = quotation(tokens, at)
+                if kind > 2:
+                    weak += (kind - 2) * (1 - q)
+                    continue
                 quoted += q
                 exact, near = (exact + 1 - q, near) if kind == 1 else (exact, near + 1 - q)
     hits = exact + near
-    return [math.log1p(exact), math.log1p(near), math.log1p(quoted), hits / (hits + 0.002 * len(tokens)) if hits else 0.0]
+    return [math.log1p(exact), math.log1p(near), math.log1p(quoted), hits / (hits + 0.002 * len(tokens)) if hits else 0.0, min(4.0, weak / (3 + 0.01 * len(tokens)))]
 
 
 #: Prior weights of the features, towards which the regression shrinks.
-PRIOR = np.array([3.0, 1.5, 0.2, 1.0])
+PRIOR = np.array([3.0, 1.5, 0.2, 1.0, 3.0])
 
 
 class Model:
     """A fitted lexicon and its regression; ``constant`` is the score of all where there was nothing to fit."""
 
-    def __init__(self, entries: dict[str, tuple[int, bool]], ordinary: frozenset[str], weights: np.ndarray, bias: float, constant: float | None = None):
+    def __init__(self, entries: dict[str, tuple[int, bool]], ordinary: frozenset[str], weights: np.ndarray, bias: float, constant: float | None = None, weak: dict[str, float] | None = None):
+        self.weak = weak or {}
         self.entries, self.ordinary, self.weights, self.bias, self.constant = entries, ordinary, weights, bias, constant
         self._matcher: Matcher | None = None
 
@@ -227,7 +239,7 @@ class Model:
     @property
     def matcher(self) -> Matcher:
         if self._matcher is None:
-            self._matcher = Matcher(self.entries, self.ordinary)
+            self._matcher = Matcher(self.entries, self.ordinary, self.weak)
         return self._matcher
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -267,38 +279,65 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def _choose(found: dict[str, tuple[int, int]], tried: int, base: float) -> list[str]:
-    """Terms more frequent in toxic documents than chance allows among ``tried`` terms, most significant first."""
+def _buckets(text: str | None) -> np.ndarray:
+    """Square roots of the numbers of words in each bucket of word hashes."""
+    words = np.array([_hashes[w] for w in (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()], np.uint64)
+    return np.sqrt(np.bincount((_mix(words) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)).astype(np.float32)
+
+
+def _groups(vectors: np.ndarray) -> np.ndarray:
+    """Groups of like vocabulary by spherical k-means over bucketed word counts, from seeds far apart."""
+    seeds = [int(np.argmax(vectors @ vectors.mean(0)))]
+    near = vectors @ vectors[seeds[0]]
+    while len(seeds) < GROUPS and near.min() < 0.8:
+        seeds.append(int(np.argmin(near)))
+        near = np.maximum(near, vectors @ vectors[seeds[-1]])
+    middle = vectors[seeds]
+    for _ in range(20):
+        group = np.argmax(vectors @ middle.T, axis=1)
+        sums = np.stack([vectors[group == g].sum(0) for g in range(len(seeds))])
+        middle = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))
+    return group
+
+
+def _choose(found: dict[str, tuple[int, int, float]], tried: int) -> list[tuple[float, str]]:
+    """Terms more frequent in toxic documents than chance allows among ``tried`` terms, most significant first.
+
+    Of a term: its toxic documents, all its documents, and the toxic share that their groups make likely.
+    """
     bar = math.log(max(1, tried))
     out = []
-    for term, (t, n) in found.items():
+    for term, (t, n, base) in found.items():
         share = t / n
-        if share >= max(LEAST_SHARE, base):
+        if share >= min(max(LEAST_SHARE, base), max(WEAK_SHARE, WEAK_TIMES * base)):
             gain = t * math.log(share / base) + ((n - t) * math.log((1 - share) / (1 - base)) if n > t else 0)
             if gain >= bar:
                 out.append((gain, term))
-    return [t for _, t in sorted(out, key=lambda x: (-x[0], x[1]))[:MOST_CANDIDATES]]
+    return sorted(out, key=lambda x: (-x[0], x[1]))[:MOST_CANDIDATES]
 
 
-def _lexicon(candidates: list[str], found: dict[str, tuple[int, int]]) -> list[str]:
-    """Words, and word beginnings that stand for more than their most frequent word alone.
+def _lexicon(candidates: list[tuple[float, str]], found: dict[str, tuple[int, int, float]]) -> tuple[list[str], dict[str, float]]:
+    """Entries and weak terms with their weights: words, and word beginnings that stand for more than their most frequent word alone.
 
-    Among beginnings of equal reach the longest is taken; a word that a taken beginning covers is left out.
+    Among beginnings the most significant is taken, and of equals the longest; a term that a taken beginning covers is left out.
     """
-    words = {t for t in candidates if not t.endswith("*")}
+    words = {t for _, t in candidates if not t.endswith("*")}
     most: dict[str, int] = {}
     for w in words:
         for n in PREFIXES:
             most[w[:n]] = max(most.get(w[:n], 0), found[w][0])
     stems: list[str] = []
-    for stem in sorted((t[:-1] for t in candidates if t.endswith("*")), key=lambda t: (-found[f"{t}*"][0], -len(t), t)):
+    for _, stem in sorted(((gain, t[:-1]) for gain, t in candidates if t.endswith("*")), key=lambda x: (-round(x[0], 6), -len(x[1]), x[1])):
         reach = found[f"{stem}*"][0]
         related = [s for s in stems if s.startswith(stem) or stem.startswith(s)]
         if reach >= 1.2 * most.get(stem, 0) and reach >= most.get(stem, 0) + 3 and not related:
             stems.append(stem)
     covered = tuple(stems)
     chosen = [f"{s}*" for s in stems] + sorted(w for w in words if not w.startswith(covered) or not covered)
-    return sorted(chosen, key=lambda t: -found[t][0])[:MOST_ENTRIES]
+    chosen = sorted(chosen, key=lambda t: -found[t][0])[:MOST_ENTRIES]
+    odds = lambda p: math.log(p / (1 - p))
+    weak = {t: odds(found[t][0] / found[t][1]) - odds(found[t][2]) for t in chosen if found[t][0] < LEAST_SHARE * found[t][1]}
+    return [t for t in chosen if t not in weak], weak
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, scratch: Scratch | None = None) -> Model:
@@ -315,15 +354,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     @tidy
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Three MinHash samples of a document's three-word shingles: copies share all, near copies most."""
+        """Three MinHash samples of a document's three-word shingles: copies share all, near copies most; and its words by bucket."""
         for batch in batches:
-            least = []
+            least, buckets = [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, 3)
+                buckets.append(_buckets(text))
                 least.append([int(_mix(found + np.uint64(seed)).min() >> np.uint64(1)) if len(found) else seed for seed in range(3)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[i] for x in least], pa.int64()) for i in range(3))], names=["doc", "label", "p0", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[i] for x in least], pa.int64()) for i in range(3)), pa.array(buckets, pa.list_(pa.float32()))], names=["doc", "label", "p0", "p1", "p2", "buckets"])
 
-    printed = sample.mapInArrow(prints, "doc string, label int, p0 bigint, p1 bigint, p2 bigint").toArrow().to_pydict()  # sample_rows short rows
+    printed = sample.mapInArrow(prints, "doc string, label int, p0 bigint, p1 bigint, p2 bigint, buckets array<float>").toArrow().to_pydict()  # sample_rows short rows
     n = len(printed["doc"])
     label = dict(zip(printed["doc"], printed["label"]))
     toxic = sum(1 for v in label.values() if v == 1)
@@ -343,28 +383,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             voices.add(doc)
     if not voices:
         voices = set(label)
+    base = min(0.9, max(0.001, sum(1 for d in voices if label[d] == 1) / len(voices)))
+    # the toxic share among documents of like vocabulary, in millionths and drawn to that of all
+    speakers = sorted((doc, own) for doc, own in zip(printed["doc"], printed["buckets"]) if doc in voices)
+    vectors = np.array([own for _, own in speakers], float)
+    vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
+    group, bad_voice = _groups(vectors), np.array([label[doc] == 1 for doc, _ in speakers], float)
+    sizes = np.bincount(group)
+    shares = np.clip((np.bincount(group, bad_voice) + 20 * base) / (sizes + 20), 0.001, max(0.5, base))
+    due = {doc: round(1e6 * shares[g]) for (doc, _), g in zip(speakers, group.tolist())}
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_, bad = Counter(), Counter()
+        all_, bad, likely = Counter(), Counter(), Counter()
         for batch in batches:
             for doc, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if doc in voices:
+                if doc in due:
                     terms = _terms(_words(text))
                     all_.update(terms)
+                    for t in terms:
+                        likely[t] += due[doc]
                     if mark == 1:
                         bad.update(terms)
         terms = list(all_)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([bad[t] for t in terms], pa.int64()), pa.array([all_[t] for t in terms], pa.int64())], names=["term", "bad", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([bad[t] for t in terms], pa.int64()), pa.array([all_[t] for t in terms], pa.int64()), pa.array([likely[t] for t in terms], pa.int64())], names=["term", "bad", "n", "likely"])
 
-    voiced_toxic = sum(1 for d in voices if label[d] == 1)
-    base = min(0.9, max(0.001, voiced_toxic / len(voices)))
-    counted = sample.mapInArrow(count, "term string, bad bigint, n bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count, "term string, bad bigint, n bigint, likely bigint").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("bad", "n", "likely")))
     counted = scratch.save(counted, "terms")
-    frequent = counted.where((F.col("bad") >= 3) & (F.col("bad") >= F.lit(0.5) * F.col("n")))
-    found = {t: (b, m) for t, b, m in frequent.collect()}  # terms of the sample's toxic documents
-    candidates = _choose(found, counted.where("n >= 3").count(), base)
-    chosen = _lexicon(candidates, found)
+    frequent = counted.where((F.col("bad") >= 3) & (F.col("bad") >= F.lit(WEAK_SHARE) * F.col("n")) & (F.col("bad") * F.lit(1e6) > F.col("likely")))
+    found = {t: (b, m, x / (1e6 * m)) for t, b, m, x in frequent.collect()}  # terms of the sample's toxic documents
+    candidates = _choose(found, counted.where("n >= 3").count())
+    chosen, weak = _lexicon(candidates, found)
     entries: dict[str, tuple[int, bool]] = {}
     for term in chosen:
         word, open_ = term.rstrip("*"), term.endswith("*")
@@ -399,7 +448,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = {h: Matcher(entries, lists[1 - h]) for h in (0, 1)}
+        matchers = {h: Matcher(entries, lists[1 - h], weak) for h in (0, 1)}
         for batch in batches:
             rows = [features(matchers[xxhash.xxh3_64_intdigest(doc.encode()) & 1], text) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
@@ -408,7 +457,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = np.array(seen["x"].to_pylist(), float).reshape(-1, FEATURES)
     weights, bias = _regression(rows, np.array(seen["label"].to_pylist(), float) == 1)
     scratch.drop("marked", "sample", "terms")
-    return Model(entries, lists[0] | lists[1], weights, bias)
+    return Model(entries, lists[0] | lists[1], weights, bias, weak=weak)
 
 
 def _scored(model: Model, texts: pa.Array) -> np.ndarray:

@@ -174,6 +174,27 @@ def test_toxicity(spark):
     assert rejected == {r.doc_id for r in got if r.predicted}
 
 
+def test_toxicity_of_a_language_with_few_labels(spark):
+    rng = random.Random(7)
+    tongues = ["ba ke li mo nu ra se ti vo zu".split(), "ça dé fu gi ho jy pœ qa wü xi".split()]
+    rows, labels, kinds = [], [], {}
+    for i in range(1200):
+        few = i % 6 == 0
+        words = ["".join(rng.choice(tongues[few]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(30, 120))]
+        bad = i % 12 == 0 and rng.random() < 0.4 if few else rng.random() < 0.15
+        for _ in range(rng.randint(3, 5) if bad else few and rng.random() < 0.2):  # clean documents have one at times
+            words[rng.randrange(len(words))] = f"dourme{rng.choice(tongues[1])}{rng.choice(tongues[1])}" if few else "grumblor"
+        rows.append((2000 + i, " ".join(words), "en", "s0", None))
+        labels.append((2000 + i, int(bad)))
+        kinds[2000 + i] = few, bad
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, marks)
+    got = [(*kinds[r.doc_id], r.predicted) for r in toxicity.score(docs, model).collect() if r.doc_id in kinds and r.held_out]
+    caught = [p for few, bad, p in got if few and bad]
+    assert len(caught) >= 5 and np.mean(caught) >= 0.8
+    assert np.mean([p for _, bad, p in got if not bad]) < 0.02
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = labelled(spark, 60)
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
