@@ -14,9 +14,9 @@ Scoring, one scan without a shuffle, whole texts: the lexicon is a trie, and the
 words within one or two edits of an entry is intersected with it, state by state as tokens need
 them (Schulz and Mihov, "Fast String Correction with Levenshtein Automata", 2002), so a token is
 rejected after its first few letters. Entries that are word beginnings match any ending and no
-edit. A near miss that occurs in clean labelled documents is an ordinary word and not a hit, and an
-entry that has such neighbours is matched exactly only. A hit's
-window decides how much of it is quotation: quotation marks on both sides within ``WINDOW`` words,
+edit. A near miss that occurs in clean labelled documents is an ordinary word and not a hit; an entry
+loses an edit only where near misses met in a single clean document are many beside its toxic
+documents, because that many more are to be expected (Good and Turing). A hit's window decides how much of it is quotation: quotation marks on both sides within ``WINDOW`` words,
 or a word that reports speech before it. The quoted share of a hit counts on its own, with a small
 prior weight; the rest counts as abuse.
 
@@ -62,6 +62,8 @@ WINDOW = 6
 ONE_EDIT, TWO_EDITS = 5, 10
 #: How much of a hit quotation marks on both sides, or a reporting word before it, make a quotation.
 MARKED, REPORTED = 0.85, 0.6
+#: Near misses met in a single clean document that an entry may have for each of its toxic documents.
+SINGLES = 0.05
 _TOKENS = 250_000
 
 _OPEN, _CLOSE = "\"'“„«‘‹`", "\"'”“»’›`"
@@ -340,6 +342,22 @@ def _lexicon(candidates: list[tuple[float, str]], found: dict[str, tuple[int, in
     return [t for t in chosen if t not in weak], weak
 
 
+def _allowances(entries: dict[str, tuple[int, bool]], clean: dict[str, int], toxic: dict[str, int]) -> dict[str, tuple[int, bool]]:
+    """Entries with as many edits as the near misses in clean documents leave them.
+
+    ``clean`` has the clean documents of each near miss, ``toxic`` the toxic documents of each entry.
+    """
+    out = {}
+    for word, (edits, open_) in entries.items():
+        if edits:
+            near = Automaton({word: (edits, False)})
+            singles = [near.edits(w) for w, n in clean.items() if n <= 1]
+            while edits and sum(1 for e in singles if e and e <= edits) > SINGLES * toxic[word]:
+                edits -= 1
+        out[word] = (edits, open_)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, scratch: Scratch | None = None) -> Model:
     """A model from at most ``sample_rows`` labelled documents outside the held-out quarter."""
     spark = docs.sparkSession
@@ -425,7 +443,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(entries, frozenset())
         for batch in batches:
-            words, halves = [], []
+            words, halves, voiced = [], [], []
             for doc, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if mark != 1:
                     for token in set((text or "").split()):
@@ -433,18 +451,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                         if kind == 2:
                             words.append(word)
                             halves.append(xxhash.xxh3_64_intdigest(doc.encode()) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(halves, pa.int32())], names=["word", "half"])
+                            voiced.append(int(doc in due))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(halves, pa.int32()), pa.array(voiced, pa.int64())], names=["word", "half", "n"])
 
     ordinary: dict[int, set[str]] = {0: set(), 1: set()}
-    for word, half in sample.mapInArrow(misses, "word string, half int").distinct().toLocalIterator():
+    clean: Counter[str] = Counter()
+    for word, half, n in sample.mapInArrow(misses, "word string, half int, n bigint").groupBy("word", "half").agg(F.sum("n")).toLocalIterator():
         ordinary[half].add(word)
+        clean[word] += n
     lists = {h: frozenset(ws) for h, ws in ordinary.items()}
-    # an entry with ordinary words around it is matched exactly only: its next near miss would be one more of them
-    for word, (edits, open_) in list(entries.items()):
-        if edits:
-            near = Automaton({word: (edits, False)})
-            if any(near.edits(w) is not None for w in lists[0] | lists[1]):
-                entries[word] = (0, open_)
+    entries = _allowances(entries, clean, {w: found[w][0] for w, (edits, _) in entries.items() if edits})
 
     @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,6 +195,26 @@ def test_toxicity_of_a_language_with_few_labels(spark):
     assert np.mean([p for _, bad, p in got if not bad]) < 0.02
 
 
+def test_one_ordinary_neighbour_leaves_an_entry_its_edits(spark):
+    docs, labels, texts = labelled(spark)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    clean = [d for d in sorted(texts) if truth.get(d) == 0 and __import__("zlib").crc32(str(d).encode()) % 4 != 2][:3]
+    rows = [(r.doc_id, (r.text or "") + (" rumblor" if r.doc_id in clean else "")) for r in docs.select("doc_id", "text").collect()]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert model.entries["grumblor"][0] == 1 and "rumblor" in model.ordinary
+    score = lambda t: float(model.scores([t])[0])
+    assert score("ba keli mora grumblr") > 0.3 > score("ba keli mora rumblor")
+
+
+def test_allowances_follow_the_neighbours():
+    entries = {"disgusting": (2, False), "moron": (1, False), "scum": (0, True)}
+    toxic = {"disgusting": 60, "moron": 60}
+    assert toxicity._allowances(entries, {"oron": 40, "boron": 9}, toxic) == entries
+    far = {f"disgus{a}{b}ng": 1 for a, b in ("ab", "cd", "ef", "gh")}
+    assert toxicity._allowances(entries, far, toxic) == entries | {"disgusting": (1, False)}
+    assert toxicity._allowances(entries, {f"{c}oron": 1 for c in "abcd"}, toxic) == entries | {"moron": (0, False)}
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = labelled(spark, 60)
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
