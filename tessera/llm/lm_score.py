@@ -12,7 +12,8 @@ the partition adds the counts of all blocks and answers each block, where the to
 to the documents' n-grams and summed per document. An n-gram that is in every document so costs one
 entry a block, not one a document: counts are pre-aggregated before they move and no hash range is
 hot. A task holds one block (``BLOCK_BYTES`` of input) or one range of hashes. The texts are
-exchanged once; both passes over them read the same exchange.
+exchanged once; both passes over them read the same exchange. What is exchanged is compressed without
+loss: texts one by one, sorted hashes as differences, and of totals only what other blocks add.
 
 Words are runs of anything but space and the control characters 9 to 13, A to Z in lower case.
 
@@ -24,28 +25,30 @@ document every word is unknown. Null doc_ids are scored like any. Other columns
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import _LOWER, _mix, _words
 from .scratch import planned_bytes
-from .workers import release
+from .workers import release, tidy
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS = 64
 
 
-def _ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def _ngrams(texts: list[str | bytes | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(document of each word, hashes of the n-grams of each order that end there, words per document).
 
     Where a document has too few words before a place, the hash of that order is 0 and not counted.
     """
-    split = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
+    split = [(t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")).translate(_LOWER).split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     total = int(sizes.sum())
     look = _words.__getitem__
@@ -66,6 +69,24 @@ def _counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(joined[joined != 0], return_counts=True)
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed as planes of bytes of equal weight."""
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), asbytes=True) if len(values) else b""
+
+
+def _unpack(raw: bytes, n: int, kind: str) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, n * width), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(raw, size, asbytes=True) if size else b"" for raw, size in zip(table["text"].to_pylist(), table["size"].to_pylist())]
+
+
 def _bounds(ranges: int) -> np.ndarray:
     """Last hash of each range of hashes."""
     return np.array([((r + 1) << 64) // ranges - 1 for r in range(ranges)], np.uint64)
@@ -79,8 +100,18 @@ def score(docs: DataFrame, *, order: int = ORDER, backoff: float = BACKOFF, id_c
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
+    @tidy
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            texts = pc.cast(batch.column(1), pa.binary()).to_pylist()
+            squeezed = pa.array([codec.compress(t, asbytes=True) if t else None for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), squeezed, pa.array([len(t or b"") for t in texts], pa.int64()), batch.column(2)], names=["doc_id", "text", "size", "block"])
+
+    rows = rows.mapInArrow(squeeze, "doc_id bigint, text binary, size bigint, block int")
+
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        _, grams, sizes = _ngrams(table["text"].to_pylist(), order)
+        _, grams, sizes = _ngrams(_texts(table), order)
         keys, counts = _counted(grams)
         release()
         cuts = np.concatenate([[0], np.searchsorted(keys, _bounds(ranges), side="right")])
@@ -90,33 +121,36 @@ def score(docs: DataFrame, *, order: int = ORDER, backoff: float = BACKOFF, id_c
                 "block": pa.array([key[0].as_py()] * ranges, pa.int32()),
                 "part": pa.array(range(ranges), pa.int32()),
                 "words": pa.array([int(sizes.sum())] * ranges, pa.int64()),
-                "keys": pa.array([keys[a:b].tobytes() for a, b in parts], pa.binary()),
-                "counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()),
+                "n": pa.array([int(b - a) for a, b in parts], pa.int64()),
+                "keys": pa.array([_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()),
+                "counts": pa.array([_pack(counts[a:b].astype("<u4")) for a, b in parts], pa.binary()),
             }
         )
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]])
+        sizes = table["n"].to_pylist()
+        keys = [np.cumsum(_unpack(x.as_py(), n, "<u8"), dtype=np.uint64) for x, n in zip(table["keys"], sizes)]
+        counts = np.concatenate([_unpack(x.as_py(), n, "<u4") for x, n in zip(table["counts"], sizes)])
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(which, weights=counts, minlength=1).astype(np.int64)[which]  # exact below 2**53
+        totals = np.bincount(which, weights=counts, minlength=1).astype(np.int64)[which] - counts  # exact below 2**53
         totals = totals.astype("<u4" if not len(totals) or totals.max() < 1 << 32 else "<u8")
-        cuts = np.cumsum([0, *map(len, keys)])
+        cuts = np.cumsum([0, *sizes])
         return pa.table(
             {
                 "block": table["block"],
                 "part": table["part"],
                 "corpus": pa.array([int(sum(table["words"].to_pylist()))] * table.num_rows, pa.int64()),
                 "width": pa.array([totals.itemsize] * table.num_rows, pa.int32()),
-                "totals": pa.array([totals[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                "n": table["n"],
+                "totals": pa.array([_pack(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
             }
         )
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        doc, grams, sizes = _ngrams(table["text"].to_pylist(), order)
-        keys, _ = _counted(grams)
-        parts = sorted(zip(answers["part"].to_pylist(), answers["width"].to_pylist(), answers["totals"].to_pylist()))
-        totals = np.concatenate([np.frombuffer(raw, f"<u{width}").astype(np.int64) for _, width, raw in parts] or [np.zeros(0, np.int64)])
+        doc, grams, sizes = _ngrams(_texts(table), order)
+        keys, totals = _counted(grams)
+        parts = sorted(zip(*(answers[c].to_pylist() for c in ("part", "width", "n", "totals"))))
+        totals = totals + np.concatenate([_unpack(raw, n, f"<u{width}").astype(np.int64) for _, width, n, raw in parts] or [np.zeros(0, np.int64)])
         others = (answers["corpus"][0].as_py() if answers.num_rows else 0) - sizes  # words of all other documents
         logs = np.zeros(len(doc))
         if len(doc):
@@ -146,8 +180,8 @@ def score(docs: DataFrame, *, order: int = ORDER, backoff: float = BACKOFF, id_c
             }
         )
 
-    asked = rows.groupBy("block").applyInArrow(ask, "block int, part int, words bigint, keys binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "block int, part int, corpus bigint, width int, totals binary")
+    asked = rows.groupBy("block").applyInArrow(ask, "block int, part int, words bigint, n bigint, keys binary, counts binary")
+    answered = asked.groupBy("part").applyInArrow(answer, "block int, part int, corpus bigint, width int, n bigint, totals binary")
     return rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_tokens bigint, log_prob double, score double")
 
 

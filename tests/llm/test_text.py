@@ -130,6 +130,27 @@ def test_scores(spark, order):
     assert all((r.score is None) == (r.n_tokens == 0) for r in both)
 
 
+def test_the_registered_order_is_three(spark):
+    import __spark_entry__ as entry
+    from conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    got = entry.queries()["op9_lm_scoring_order3"](spark, DATA).collect()
+    want = Counter((d.doc_id, n) for d, (n, _) in zip(docs, brute_scores([d.text for d in docs], 3)))
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == want
+    a = sorted((r.doc_id, r.log_prob) for r in got)
+    b = sorted((d.doc_id, p) for d, (_, p) in zip(docs, brute_scores([d.text for d in docs], 3)))
+    assert np.allclose([x for _, x in a], [x for _, x in b], rtol=0, atol=2e-6)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(4)
+    for kind in ("<u4", "<u8"):
+        for n in (0, 1, 5, 5000):
+            values = rng.integers(0, np.iinfo(kind).max, n, dtype=kind)
+            assert (lm_score._unpack(lm_score._pack(values), n, kind) == values).all()
+
+
 def test_scores_of_nothing_and_of_one(spark):
     assert lm_score.score(empty_documents(spark)).collect() == []
     one = empty_documents(spark).unionAll(documents(spark).where("doc_id = 24"))
