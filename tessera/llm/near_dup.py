@@ -133,7 +133,7 @@ def _sign(size: int):
         for batch in batches:
             ids = batch.column(0)
             for a, b, texts in slices(batch.column(1), 2_000):
-                sets = [shingles(t, size) for t in texts]
+                sets = [shingles(t, size) for t in texts.to_pylist()]
                 samples = np.array([minhash(s) for s in sets])
                 whole = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 names = np.array([[w & 0xFFFFFFFFFFFFFFFF, w >> 64] for w in whole], np.uint64).view(np.int64)

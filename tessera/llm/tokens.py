@@ -5,16 +5,16 @@ feed or carriage return, so a text's ids are the ids of its pieces between those
 characters, in order. Within a piece, letters never join with ASCII punctuation around them
 (apostrophes, which may start a contraction, are left alone), so a piece such as ``(Word).`` is
 the ids of ``(``, ``word`` and ``).``. Corpora repeat their words: each worker keeps the bytes of
-the ids of the pieces and words it has met, and encodes new words many at a time, joined by
-spaces; the id that ends a word tells them apart again. The memory is bounded by twice
-``CACHE_WORDS`` entries of at most ``CACHE_CHARS`` bytes, some forty bytes each; beyond that,
-pieces are simply encoded again.
+the ids of the lower-case words it has met, and of pieces that are no such words, and encodes new
+words many at a time, joined by spaces; the id that ends a word tells them apart again. The memory
+is bounded by twice ``CACHE_WORDS`` entries of at most ``CACHE_CHARS`` bytes, some forty bytes each;
+beyond that, they are simply encoded again.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,9 @@ from .workers import trim
 CACHE_WORDS = 800_000
 CACHE_CHARS = 48
 
-#: ASCII punctuation but for the apostrophe.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word of letters whose lower case depends on the letter alone, between ASCII punctuation but for the apostrophe.
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+_SHAPE = f"^(?P<before>{_MARKS})(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)(?P<after>{_MARKS})$"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -47,12 +48,27 @@ class _Table:
     def clear(self) -> None:
         self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
-    def find(self, words: pa.Array) -> pa.Array:
-        """The place of each word, null where the table hasn't got it."""
-        return pc.index_in(words, value_set=self.words)
+    def ids_of(self, asked: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """The ids of different words; those that the table hasn't got are learnt, and kept if they are short."""
+        if len(self.words) > CACHE_WORDS:
+            self.clear()
+        at = pc.index_in(asked, value_set=self.words)
+        if not at.null_count:
+            return self.ids.take(at)
+        new = asked.filter(at.is_null())
+        learnt = learn(new)
+        places, missing = at.fill_null(0).to_numpy().astype(np.int64), at.is_null().to_numpy(zero_copy_only=False)
+        places[missing] = len(self.ids) + np.arange(len(new))
+        found = pa.concat_arrays([self.ids, learnt]).take(pa.array(places))
+        short = pc.less_equal(pc.binary_length(new), CACHE_CHARS)
+        self.words, self.ids = pa.concat_arrays([self.words, new.filter(short)]), pa.concat_arrays([self.ids, learnt.filter(short)])
+        return found
+
 
-    def add(self, words: pa.Array, ids: pa.Array) -> None:
-        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+def _binary(ends: np.ndarray, data: bytes) -> pa.Array:
+    """Binary values that follow each other in ``data`` and end at the given places."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
 class Encoder:
@@ -63,86 +79,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces, self.letters = _Table(), _Table()
+        self.words, self.others = _Table(), _Table()
         vocab = self.tokenizer.get_vocab()
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in done]
+    def _each(self, words: pa.Array) -> pa.Array:
+        ids = [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return _binary(4 * np.cumsum([len(x) for x in ids], dtype=np.int64), b"".join(x.tobytes() for x in ids))
 
-    def _joined(self, words: list[str]) -> list[bytes]:
+    def _joined(self, words: pa.Array) -> pa.Array:
         """Ids of words of letters only, encoded as one text where the vocabulary marks the ends of words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(cuts) != len(words) or cuts[-1] != len(ids):
-            return self._each(words)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
-
-    def _of_letters(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of different words of letters only."""
-        if len(self.letters.words) > CACHE_WORDS:
-            self.letters.clear()
-        asked = pa.array(words, pa.large_string())
-        at = self.letters.find(asked)
-        known = asked.filter(at.is_valid()).to_pylist()
-        found = dict(zip(known, self.letters.ids.take(at.drop_null()).to_pylist()))
-        new = asked.filter(at.is_null()).to_pylist()
-        ids = [x for a in range(0, len(new), 5_000) for x in self._joined(new[a : a + 5_000])]
-        self.letters.add(pa.array(new, pa.large_string()), pa.array(ids, pa.large_binary()))
-        found.update(zip(new, ids))
-        return found
-
-    def _learn(self, missing: list[str]) -> list[bytes]:
-        """Ids of new pieces: a word of letters, perhaps between punctuation marks, by its word; others whole."""
-        low: list[str | None] = []
-        shape: list[tuple[str, str] | None] = []
-        for piece in missing:
-            word = piece.strip(_MARKS)
-            plain = word.isascii() or (word != "" and max(word) < "\u0130")  # beyond, lower case may depend on more than the letter
-            if word.isalpha() and (plain or unicodedata.normalize("NFC", word).lower().isalpha()) and not (self.special and any(t in piece for t in self.special)):
-                low.append(word.lower() if plain else word)
-                if len(word) == len(piece):
-                    shape.append(None)
-                else:
-                    at = piece.index(word)
-                    shape.append((piece[:at], piece[at + len(word) :]))
-            else:
-                low.append(None)
-                shape.append(None)
-        words = self._of_letters(list({w for w in low if w is not None}))
-        marks = list({m for s in shape if s is not None for m in s if m})
-        around = dict(zip(marks, self._each(marks))) | {"": b""}
-        whole = iter(self._each([p for p, w in zip(missing, low) if w is None]))
-        return [next(whole) if w is None else words[w] if s is None else around[s[0]] + words[w] + around[s[1]] for w, s in zip(low, shape)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        parts = []
+        for at in range(0, len(words), 5_000):
+            some = words.slice(at, 5_000)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some.to_pylist())], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            parts.append(self._each(some) if len(ends) != len(some) or ends[-1] != len(ids) else _binary(4 * ends, ids.tobytes()))
+        return pa.concat_arrays(parts)
+
+    def _ids(self, asked: pa.Array) -> pa.Array:
+        """Ids of different pieces: a word of letters, perhaps between punctuation marks, by its word; others whole."""
+        shape = pc.extract_regex(asked, _SHAPE)
+        plain = shape.is_valid()
+        for token in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(asked, token)))
+        around = shape.filter(plain)
+        del shape
+        low = pc.utf8_lower(around.field("word")).dictionary_encode()
+        words = self.words.ids_of(low.dictionary, self._joined).take(low.indices)
+        sides = []
+        for side in ("before", "after"):
+            marks = around.field(side).dictionary_encode()
+            sides.append(self._each(marks.dictionary).take(marks.indices))
+        joined = pc.binary_join_element_wise(sides[0], words, sides[1], pa.scalar(b"", pa.large_binary()))
+        others = self.others.ids_of(asked.filter(pc.invert(plain)), self._each)
+        known = plain.to_numpy(zero_copy_only=False)
+        back = np.where(known, np.cumsum(known) - 1, len(joined) + np.cumsum(~known) - 1)
+        return pa.concat_arrays([joined, others]).take(pa.array(back))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each whole text; null is the empty text.
 
-        Arrow splits the texts and numbers their different pieces, so Python sees each new piece once.
+        Arrow splits the texts and numbers their different pieces, so a piece is looked up once a call.
         """
-        column = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        column = pc.fill_null(pc.cast(texts, pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
         for space in "\n\t\r":
-            column = pc.replace_substring(column, space, " ")
+            if pc.any(pc.match_substring(column, space)).as_py():
+                column = pc.replace_substring(column, space, " ")
         split = pc.split_pattern(column, " ")
         del column
         starts, numbered = split.offsets.to_numpy(), split.flatten().dictionary_encode()
         del split
-        if len(self.pieces.words) > CACHE_WORDS:
-            self.pieces.clear()
-        at = self.pieces.find(numbered.dictionary)
-        places, ids = at.to_numpy(zero_copy_only=False), self.pieces.ids
-        if at.null_count:
-            new = numbered.dictionary.filter(at.is_null())
-            learnt = pa.array(self._learn(new.to_pylist()), pa.large_binary())
-            places = np.where(np.isnan(places), len(ids) + np.cumsum(np.isnan(places)) - 1, places)
-            ids = pa.concat_arrays([ids, learnt])
-            short = pc.less_equal(pc.binary_length(new), CACHE_CHARS)
-            self.pieces.add(new.filter(short), learnt.filter(short))
-        joined = ids.take(pa.array(places.astype(np.int64))).take(numbered.indices)
+        joined = self._ids(numbered.dictionary).take(numbered.indices)
         _, offsets, data = joined.buffers()
         raw = data.to_pybytes() if data is not None else b""
         bounds = np.frombuffer(offsets, np.int64)[starts].tolist() if len(joined) else [0] * (len(texts) + 1)
@@ -157,7 +147,7 @@ def encoder(path: str) -> Encoder:
 
 
 def slices(column: pa.Array, rows: int = 4_096, size: int = 6_000_000):
-    """(from, to, texts) over a column of texts: at most ``rows`` rows and about ``size`` bytes at a time.
+    """(from, to, part) over a column of texts: at most ``rows`` rows and about ``size`` bytes at a time.
 
     What a slice took is given back before the next.
     """
@@ -166,6 +156,6 @@ def slices(column: pa.Array, rows: int = 4_096, size: int = 6_000_000):
     while start < len(column):
         before = int(upto[start - 1]) if start else 0
         end = min(start + rows, max(start + 1, int(np.searchsorted(upto, before + size, side="right"))))
-        yield start, end, column.slice(start, end - start).to_pylist()
+        yield start, end, column.slice(start, end - start)
         trim()
         start = end

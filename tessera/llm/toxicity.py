@@ -477,7 +477,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def _scored(model: Model, texts: pa.Array) -> np.ndarray:
-    return np.concatenate([np.zeros(0), *(model.scores(some) for _, _, some in slices(texts))])
+    return np.concatenate([np.zeros(0), *(model.scores(some.to_pylist()) for _, _, some in slices(texts))])
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
