@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import _LOWER, _mix, _words
-from .scratch import planned_bytes
+from .scratch import input_bytes
 from .workers import release, tidy
 
 ORDER = 3
@@ -94,8 +94,7 @@ def _bounds(ranges: int) -> np.ndarray:
 
 def score(docs: DataFrame, *, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, log_prob (natural, summed) and score (log_prob per token)."""
-    size = planned_bytes(docs.select(text_col))
-    blocks = max(LEAST_BLOCKS, math.ceil((size or 0) / BLOCK_BYTES))
+    blocks = max(LEAST_BLOCKS, math.ceil(input_bytes(docs.select(F.col(text_col).cast("string").alias("text")), "text") / BLOCK_BYTES))
     ranges = blocks
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))

@@ -3,8 +3,9 @@
 Method: each document has a 48-bit hash of its doc_id. Word counts are summed by source and hash
 bucket; a running sum over a source's buckets finds the one bucket in which its budget ends. Only
 the rows of that boundary bucket are summed again, by the next bits of the hash, until it holds a
-single document. What remains is one threshold per source, so the selection is a filter: nothing
-is sorted, a larger budget always takes a superset, and reruns agree.
+single document. Where documents share a doc_id, or have none, a hash of the text decides among
+them, and among equal rows their place in the table. What remains is one threshold per source, so
+the selection is a filter: nothing is sorted, a larger budget always takes a superset, and reruns agree.
 
 A source's budget may exceed its size: then every document is taken ``q`` whole times and the
 threshold decides who is taken once more.
@@ -15,8 +16,9 @@ one row a source; they are broadcast up to ``BROADCAST_SOURCES`` sources (counte
 beyond that joined with salted keys.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
-null doc_id hashes as the empty text; rows with one doc_id are taken or left together. Sources
-of size 0 have target 0. An empty table gives an empty result.
+null doc_id hashes as the empty text. Of rows with one doc_id or none, some may be taken and others
+not. Sources of size 0 have target 0. An empty table gives an empty result. Further columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .scratch import Scratch
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BITS = 12
-LEVELS = 4
+#: The bits that each level sums by: of the doc_id's hash, then of the text's, then of the row's place.
+LEVELS = (("hash", 36), ("hash", 24), ("hash", 12), ("hash", 0), ("tie", 12), ("tie", 0), ("place", 12), ("place", 0))
 BROADCAST_SOURCES = 20_000
 SALTS = 64
 
@@ -64,59 +67,93 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return levelled.select("source", "source_size", F.least((cap * F.col("source_size")).cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
+def keys(doc_id: Column, text: Column) -> list[Column]:
+    """hash, tie and place: what a document is compared by with its source's threshold, in that order."""
+    low = F.lit((1 << 2 * BITS) - 1)
+    return [doc_hash(doc_id).alias("hash"), F.xxhash64(text).bitwiseAND(low).alias("tie"), F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(low).alias("place")]
+
+
+def _below(names: dict[str, Column], cut: dict[str, Column]) -> Column:
+    """Whether a document's keys come before the threshold's."""
+    last = (names["tie"] < cut["tie"]) | ((names["tie"] == cut["tie"]) & (names["place"] < cut["place"]))
+    return (names["hash"] < cut["hash"]) | ((names["hash"] == cut["hash"]) & last)
+
+
 def thresholds(sized: DataFrame, per_source: DataFrame, scratch: Scratch, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target, whole, cut): take ``whole`` copies of all, one more where hash < cut."""
+    """(source, source_size, target, whole, cut_hash, cut_tie, cut_place): take ``whole`` copies of all, one more of those before the cut."""
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("bigint")
     state = per_source.withColumn("whole", whole).withColumn(
         "rest", F.when(F.col("whole") < cap, F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))).otherwise(0.0)
     )
-    # prefix: the boundary bucket's bits so far; base: words below it; n, inside: its documents and words
-    state = scratch.save(state.withColumn("prefix", F.lit(0).cast("bigint")).withColumn("base", F.lit(0).cast("bigint")), "level-0")
+    # at_*: the boundary bucket's bits so far; base: words below it; words, docs: what it holds
+    zero = F.lit(0).cast("bigint")
+    state = scratch.save(state.select("*", *(zero.alias(f"at_{n}") for n in ("hash", "tie", "place")), zero.alias("base")), "level-0")
     running = Window.partitionBy("source").orderBy("bucket")
-    for level in range(1, LEVELS + 1):
-        shift = 48 - BITS * level
-        mark = state.select(F.col("source").alias("s"), F.col("prefix"), F.col("base"), F.col("rest"))
-        rows = sized.withColumn("bucket", F.shiftright("hash", shift))
+    for level, (name, shift) in enumerate(LEVELS, 1):
+        mark = state.select(F.col("source").alias("s"), "at_hash", "at_tie", "at_place", "base", "rest")
+        rows = sized.withColumn("bucket", F.shiftright(name, shift))
         histogram = rows
         if level > 1:  # the boundary bucket only
             near = F.broadcast(mark) if _few(state) else mark
-            histogram = rows.join(near, rows["source"].eqNullSafe(near["s"]) & (F.shiftright("bucket", BITS) == near["prefix"]))
+            inside = rows["source"].eqNullSafe(near["s"])
+            for done in dict.fromkeys(n for n, _ in LEVELS[: level - 1] if n != name):
+                inside &= F.col(done) == F.col(f"at_{done}")
+            if LEVELS[level - 2][0] == name:
+                inside &= F.shiftright("bucket", BITS) == F.col(f"at_{name}")
+            histogram = rows.join(near, inside)
         histogram = histogram.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
         summed = histogram.withColumn("upto", F.sum("words").over(running)).join(mark, F.col("source").eqNullSafe(F.col("s")))
         # the first bucket whose running sum reaches the rest of the budget
         first = F.min(F.when(F.col("base") + F.col("upto") >= F.col("rest"), F.struct("bucket", (F.col("base") + F.col("upto") - F.col("words")).alias("below"), "words", "docs")))
         found = summed.groupBy("source").agg(first.alias("b")).select(F.col("source").alias("s"), "b")
+        ends = {n: F.coalesce("b.bucket", zero) if n == name else F.col(f"at_{n}") for n in ("hash", "tie", "place")}
         state = state.join(found, state["source"].eqNullSafe(found["s"]), "left").select(
-            "source", "source_size", "target", "whole", "rest",
-            F.coalesce("b.bucket", F.lit(0)).alias("prefix"), F.coalesce("b.below", F.lit(0)).alias("base"),
-            F.coalesce("b.words", F.lit(0)).alias("inside"), F.coalesce("b.docs", F.lit(0)).alias("docs"),
-        )
+            "source", "source_size", "target", "whole", "rest", *(c.alias(f"at_{n}") for n, c in ends.items()),
+            F.coalesce("b.below", zero).alias("base"), F.coalesce("b.words", zero).alias("inside"), F.coalesce("b.docs", zero).alias("docs"),
+        )
         state = scratch.save(state, f"level-{level}")
+        scratch.drop(f"level-{level - 1}")
         if not state.where("docs > 1 and rest > 0").limit(1).count():
             break
     # the boundary bucket goes in where that ends nearer to the budget
     over = F.col("base") + F.col("inside") - F.col("rest") < F.col("rest") - F.col("base")
-    cut = F.shiftleft(F.col("prefix") + F.when((F.col("rest") > 0) & over, 1).otherwise(0), shift)
-    return state.select("source", "source_size", "target", "whole", cut.alias("cut"))
+    cut = F.shiftleft(F.col(f"at_{name}") + F.when((F.col("rest") > 0) & over, 1).otherwise(0), shift)
+    return state.select("source", "source_size", "target", "whole", *((cut if n == name else F.col(f"at_{n}")).alias(f"cut_{n}") for n in ("hash", "tie", "place")))
 
 
 def _few(per_source: DataFrame) -> bool:
     return per_source.count() <= BROADCAST_SOURCES
 
 
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    prefix = ""
+    while any(prefix + n in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def _with_source(rows: DataFrame, small: DataFrame, source: str, key: str) -> DataFrame:
-    """``rows`` with the columns of ``small`` for its source: broadcast within the checked bound, else salted."""
+    """``rows`` with the columns of ``small`` for its source: broadcast within the checked bound, else salted.
+
+    The first column of ``small`` is the source; it goes again, and no other column of the two has one name.
+    """
+    name = small.columns[0]
+    same = rows[f"`{source}`"].eqNullSafe(small[name])
     if _few(small):
-        return rows.join(F.broadcast(small), rows[source].eqNullSafe(small["mix_source"])).drop("mix_source")
-    small = small.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("mix_row_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    return salted.join(small, salted[source].eqNullSafe(small["mix_source"]) & (F.col("mix_row_salt") == F.col("mix_salt"))).drop("mix_source", "mix_salt", "mix_row_salt")
+        return rows.join(F.broadcast(small), same).drop(small[name])
+    salt, row_salt = _fresh(rows, "mix_salt", "mix_row_salt")
+    small = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn(row_salt, F.pmod(F.xxhash64(F.col(f"`{key}`"), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return salted.join(small, salted[f"`{source}`"].eqNullSafe(small[name]) & (F.col(row_salt) == F.col(salt))).drop(name, salt, row_salt)
 
 
 def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(sized documents, thresholds), both saved."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("hash"))
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    sized = docs.select(doc.alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"), *keys(doc, text))
     sized = scratch.save(sized, "sized")
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     return sized, scratch.save(thresholds(sized, per_source, scratch, cap), "thresholds")
@@ -125,19 +162,25 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
     sized, cuts = plan_mix(docs, **options)
-    small = cuts.withColumnRenamed("source", "mix_source")
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
-    return _with_source(sized, small, "source", "doc_id").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    joined = _with_source(sized, cuts.withColumnRenamed("source", "mix_source"), "source", "doc_id")
+    names = ("hash", "tie", "place")
+    more = _below({n: F.col(n) for n in names}, {n: F.col(f"cut_{n}") for n in names})
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.when(more, 1).otherwise(0))).alias("taken"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it. Texts are not shuffled."""
-    _, cuts = plan_mix(docs, id_col=id_col, source_col=source_col, **options)
-    small = cuts.select(F.col("source").alias("mix_source"), F.col("whole").alias("mix_whole"), F.col("cut").alias("mix_cut"))
-    rows = _with_source(docs, small, source_col, id_col)
-    copies = F.col("mix_whole") + F.when(doc_hash(F.col(id_col)) < F.col("mix_cut"), 1).otherwise(0)
-    rows = rows.withColumn("mix_copies", copies.cast("int")).where("mix_copies > 0")
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    scratch = options.pop("scratch", None) or Scratch(docs.sparkSession, "mixing")
+    _, cuts = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, scratch=scratch, **options)
+    scratch.drop("sized")
+    source, whole, hash_, tie, place, copies, copy = _fresh(docs, "mix_source", "mix_whole", "mix_hash", "mix_tie", "mix_place", "mix_copies", "mix_copy")
+    small = cuts.select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("cut_hash").alias(hash_), F.col("cut_tie").alias(tie), F.col("cut_place").alias(place))
+    own = dict(zip(("hash", "tie", "place"), keys(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))))
+    k_hash, k_tie, k_place = _fresh(docs, "mix_key_hash", "mix_key_tie", "mix_key_place")
+    keyed = docs.select("*", own["hash"].alias(k_hash), own["tie"].alias(k_tie), own["place"].alias(k_place))
+    more = _below({"hash": F.col(k_hash), "tie": F.col(k_tie), "place": F.col(k_place)}, {"hash": F.col(hash_), "tie": F.col(tie), "place": F.col(place)})
+    rows = _with_source(keyed, small, source_col, id_col).withColumn(copies, (F.col(whole) + F.when(more, 1).otherwise(0)).cast("int")).where(F.col(copies) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[f"`{c}`" for c in docs.columns])
 
 
 SQL = r"""

@@ -8,7 +8,7 @@ similarity precisely, so a pair that shares a band is compared by four machine w
 anything longer moves. Pairs that pass are confirmed on their full sets, read from the texts.
 
 At a similarity of 0.8 a pair misses all bands with probability (1 - 0.8^4)^32 < 1e-7, and the
-sketch filter (``MOST_BITS``, an estimate of 0.56) with probability of about 1e-5.
+sketch filter (``MOST_BITS``, an estimate of 0.49) with probability of about 1e-7.
 
 Links and skew: equal sets are collapsed into one class first, pre-aggregated. Within each bucket the
 sketches are compared, and of the pairs that pass only a spanning forest is written: at most one row a
@@ -43,7 +43,7 @@ from .workers import PASSING, tidy
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
 #: Largest XOR population count of a pair that is still confirmed.
-MOST_BITS = 75
+MOST_BITS = 81
 PERCENT = 80
 #: Up to this many ids (8 bytes each, counted first) a broadcast list picks rows.
 BROADCAST_IDS = 2_000_000

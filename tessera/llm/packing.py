@@ -9,7 +9,8 @@ doc_id; an open bin is one number, so the bound can be wide.
 
 Plan: one scan turns each whole text into pieces (id, place and checksum, no ids), which are
 saved; that table is about forty bytes a piece. The pieces are then dealt, without a key and so
-without skew, to one packing task for each ``pieces_per_task`` pieces. A task holds one batch and
+without skew, to one slice for each ``pieces_per_task`` pieces; a slice's number is a column and part of its
+sequences' ids, so it does not matter how slices meet in tasks. A task holds one batch and
 ``open_bins`` bins whatever the input's size. Texts are never shuffled.
 
 Defined results: a null text is empty, and an empty document is its end id alone. Repeated rows
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,23 +110,27 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
 def _fit(capacity: int, open_bins: int, fields: list[str]):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = OpenBins(capacity, open_bins)
-        base = TaskContext.get().partitionId() << 40
+        current, bins = None, OpenBins(capacity, open_bins)
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(fields.index("length")).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                names=[*fields, "sequence_id", "offset"],
-            )
+            ids, offsets = [], []
+            for part, length in zip(batch.column(0).to_pylist(), batch.column(fields.index("length") + 1).to_pylist()):
+                if part != current:
+                    current, bins = part, OpenBins(capacity, open_bins)
+                number, offset = bins.place(length)
+                ids.append((part << 40) + number)
+                offsets.append(offset)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], names=[*fields, "sequence_id", "offset"])
 
     return run
 
 
 def pack(cut: DataFrame, *, max_length: int = MAX_LENGTH, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """``cut`` with sequence_id and offset; ``cut`` must be a saved table, since it is counted first."""
-    tasks = max(1, math.ceil(cut.count() / pieces_per_task))
-    dealt = cut.repartition(tasks).sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(_fit(max_length, open_bins, cut.columns), f"{', '.join(f'{n} {t}' for n, t in cut.dtypes)}, sequence_id bigint, offset bigint")
+    parts = max(1, math.ceil(cut.count() / pieces_per_task))
+    columns = [f"`{c}`" for c in cut.columns]
+    numbered = cut.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("pack_slice"), *columns)
+    dealt = numbered.repartition(parts, "pack_slice").sortWithinPartitions("pack_slice", F.col("length").desc(), "doc_id", "piece", "ids_crc32")
+    return dealt.mapInArrow(_fit(max_length, open_bins, cut.columns), f"{', '.join(f'`{n}` {t}' for n, t in cut.dtypes)}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, *, scratch: Scratch | None = None, keep_ids: bool = False, **options) -> DataFrame:

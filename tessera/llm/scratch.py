@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -83,3 +84,9 @@ def planned_bytes(df: DataFrame) -> int | None:
     """The planner's estimate of a frame's bytes, from file sizes; None where it has no useful one."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 50 else None
+
+
+def input_bytes(df: DataFrame, text: str) -> int:
+    """About how many bytes a frame holds: the planner's estimate or, where it has none, the bytes of its texts by a scan."""
+    size = planned_bytes(df)
+    return size if size is not None else int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])

@@ -13,12 +13,13 @@ about 1.6 levels on average, however large the shard is. The sorted keys are sto
 scans only.
 
 Plan: one range exchange on doc_id (the order the format asks for), then encoding and writing in
-the same task. An attempt writes files under names of its own, and only rows of successful tasks
+the same task. Rows that share a doc_id, or have none, are told apart by how their texts begin and by
+hashes of text and place, so that many of them fill several shards. An attempt writes files under names of its own, and only rows of successful tasks
 reach the manifest, so lost executors and repeated attempts cannot damage a dataset; leftovers
 of failed attempts are deleted at commit. Files go through pyarrow's file systems, by URI.
 
 Defined results: a null text is empty and yields the end id alone; rows with one doc_id stay
-separate rows, in the order of their texts; null doc_ids come first and are reached by scans only.
+separate rows, in the order of their texts' beginnings; null doc_ids come first and are reached by scans only.
 An empty table gives an empty dataset. Other columns are ignored.
 """
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .scratch import Scratch, delete, planned_bytes
+from .scratch import Scratch, delete, input_bytes
 from .workers import tidy
 
 END_ID = 1
@@ -208,18 +209,19 @@ def _write(root: str, vocabulary: str, end_id: int):
 
 
 def _shards(docs: DataFrame) -> int:
-    """A number of shards from the planner's estimate of the input; the session's setting where that is no help."""
+    """A number of shards from the input's bytes: the planner's estimate or, without one, a scan."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = planned_bytes(docs)
-    return least if size is None else max(least, math.ceil(size / SHARD_BYTES))
+    return max(least, math.ceil(input_bytes(docs, "text") / SHARD_BYTES))
 
 
 def write_tokens(docs: DataFrame, root: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the dataset at ``root`` and returns its manifest, with each shard's first id as ``start``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(_shards(rows), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write(root, vocabulary or tokens.vocabulary(), end_id), "shard int, stem string, n_docs bigint, n_tokens bigint, first_doc bigint, last_doc bigint").write.mode("overwrite").parquet(f"{root}/manifest")
+    apart = rows.withColumn("head", F.left("text", F.lit(32))).withColumn("tie", F.xxhash64("text")).withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+    order = ["doc_id", "head", "tie", "place"]
+    ordered = apart.repartitionByRange(_shards(rows), *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(_write(root, vocabulary or tokens.vocabulary(), end_id), "shard int, stem string, n_docs bigint, n_tokens bigint, first_doc bigint, last_doc bigint").write.mode("overwrite").parquet(f"{root}/manifest")
     manifest = read_manifest(spark, root)
     _sweep(spark, root, {x["stem"] for x in manifest.select("stem").toLocalIterator()})
     return manifest
@@ -291,12 +293,22 @@ def read_tokens(spark: SparkSession, root: str, *, with_ids: bool = False) -> Da
 def fetch(spark: SparkSession, root: str, keys: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Keyed access: (doc_id, ids) for each row of each asked key that the dataset has.
 
-    Keys meet their shard by a join on the shards' ranges; a shard's task reads its index once
-    and then only the payload ranges of its keys.
+    The ids are cut into as many equal ranges as there are shards, so keys and shards meet by an
+    equality: a range's number. As shards are disjoint but for shared ends, they name at most about
+    three times as many ranges as there are shards. A shard's task reads its index once and then only
+    the payload ranges of its keys.
     """
-    manifest = read_manifest(spark, root).select("shard", "stem", "first_doc", "last_doc")
+    manifest = read_manifest(spark, root).select("shard", "stem", "first_doc", "last_doc").where("first_doc is not null")
+    shards, low, high = manifest.agg(F.count(F.lit(1)), F.min("first_doc"), F.max("last_doc")).first()
     asked = keys.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    met = asked.join(F.broadcast(manifest), (F.col("doc_id") >= F.col("first_doc")) & (F.col("doc_id") <= F.col("last_doc")))  # one row a shard
+    low, step = low or 0, max(1, ((high or 0) - (low or 0)) // max(1, shards) + 1)
+
+    def place(doc: str):
+        return F.floor((F.col(doc).cast("decimal(20,0)") - F.lit(low)) / F.lit(step)).cast("bigint")
+
+    covered = manifest.withColumn("range", F.explode(F.sequence(place("first_doc"), place("last_doc"))))
+    asked = asked.where(F.col("doc_id").between(low, high if high is not None else low)).withColumn("range", place("doc_id"))
+    met = asked.join(covered, "range").where((F.col("doc_id") >= F.col("first_doc")) & (F.col("doc_id") <= F.col("last_doc")))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

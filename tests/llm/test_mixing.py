@@ -59,6 +59,29 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
             assert times.get(doc, 0) == copies * rows[doc]
 
 
+def test_rows_without_or_with_one_id_come_near_too(spark):
+    rows = [(None, "w " * 4, "a") for _ in range(10)] + [(7, f"x{i} " * 3, "b") for i in range(20)] + [(100 + i, "y " * 5, "c") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix_report(docs).collect():
+        taken[r.source_size], target[r.source_size] = taken[r.source_size] + r.taken, r.target
+    assert all(abs(taken[s] - t) <= 2.5 + 1e-6 for s, t in target.items())
+    mixed = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        mixed[{"a": 40, "b": 60, "c": 150}[r.source]] += len(r.text.split())
+    assert mixed == taken
+
+
+def test_clashing_names(spark):
+    names = "mix_whole mix_cut mix_source mix_copies mix_copy mix_hash mix_salt _mix_source hash tie place cut_hash".split()
+    docs = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 4}", *range(len(names))) for i in range(50)], "doc_id bigint, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    plain = mixing.mix(docs.select("doc_id", "text", "source"))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.select("mix_whole", "mix_copies", "cut_hash").distinct().collect() == [(0, 3, 11)]
+    assert sorted(mixed.select("doc_id").collect()) == sorted(plain.select("doc_id").collect())
+    assert len(mixing.mix_report(docs).collect()) == 50
+
+
 def test_many_sources_take_the_salted_join(spark, monkeypatch):
     docs = documents(spark)
     broadcast = sorted(map(str, mixing.mix_report(docs).collect()))

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import packing, token_files, tokens
+from tessera.llm.scratch import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -141,3 +142,30 @@ def test_packing_is_tight():
     for n in lengths:
         bins.place(n)
     assert bins.made <= 1.01 * sum(lengths) / 2048
+
+
+def test_rows_that_share_an_id_fill_several_shards(spark, encode):
+    docs = spark.createDataFrame([(None if i % 3 else 7, "one two three") for i in range(400)], "doc_id bigint, text string")
+    scratch = Scratch(spark, "hot")
+    manifest = token_files.write_tokens(docs, scratch.path("d"))
+    assert manifest.count() >= 3
+    got = sorted((r.start, r.n_tokens) for r in token_files.read_tokens(spark, scratch.path("d")).collect())
+    assert got == [(4 * i, 4) for i in range(400)]
+    found = token_files.fetch(spark, scratch.path("d"), spark.createDataFrame([(7,), (8,), (None,)], "doc_id bigint")).collect()
+    assert [r.doc_id for r in found] == [7] * 134 and all(r.ids == [*encode("one two three"), 1] for r in found)
+
+
+def test_sequences_stay_sound_when_slices_meet_in_a_task(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 300)) for i in range(600)], "doc_id bigint, text string")
+    cut = Scratch(spark, "meet").save(packing.pieces(docs).drop("ids"), "pieces")
+    for rows in (packing.pack(cut, pieces_per_task=40), packing.pack(cut, pieces_per_task=40).coalesce(2)):
+        found = {}
+        for r in rows.collect():
+            found.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert sum(map(len, found.values())) == cut.count() and len(found) >= 10
+        for places in found.values():
+            ends = 0
+            for offset, length in sorted(places):
+                assert offset == ends
+                ends += length
+            assert ends <= 2048

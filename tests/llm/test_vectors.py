@@ -41,6 +41,25 @@ def test_search(spark, monkeypatch, cells):
     assert sorted(map(tuple, topk.search(table(spark, rows)).collect())) == brute_topk(rows)
 
 
+def test_search_with_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0])]
+    got = sorted(map(tuple, topk.search(table(spark, rows)).collect()))
+    assert got == [(50, 1, 7, 65536), (50, 1, 7, 65536), (50, 2, 7, 65536), (50, 2, 7, 65536), (50, 3, 50, 0), (50, 3, 50, 0)]
+
+
+def test_best_of_tiles_with_many_ties(monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 7)
+    monkeypatch.setattr(topk, "QUERY_TILE", 3)
+    rng = np.random.default_rng(5)
+    for kind in (1, 2**29):
+        rows, ids, number = rng.integers(-1, 2, (60, 2)) * kind, rng.permutation(60), np.arange(60) + 100
+        got = topk.best_of_tiles(number[:10], rows[:10], ids, number, rows, 5)
+        for q in range(10):
+            want = sorted((-int(sum(int(a) * int(b) for a, b in zip(rows[q], rows[j]))), int(ids[j])) for j in range(60) if j != q)[:5]
+            mine = got[0] == number[q]
+            assert mine.sum() == 5 and [(-s, i) for s, i in want] == sorted(zip(got[2][mine].tolist(), got[1][mine].tolist()), key=lambda x: (-x[0], x[1]))
+
+
 def test_search_with_large_numbers_and_few_rows(spark):
     rows = [(0, [5e6, -5e6]), (50, [4e6, 3.0]), (51, [-5e6, 5.0])]  # beyond doubles
     assert sorted(map(tuple, topk.search(table(spark, rows)).collect())) == brute_topk([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
