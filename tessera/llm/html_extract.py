@@ -1,6 +1,7 @@
 """Main text of web pages by a tree-structured graphical model of the DOM (operator 1).
 
-Model: every block element and every run of text is a node with a hidden label, content or not.
+Model: every block element, every inline element with a class, id or role, and every run of text is a
+node with a hidden label, content or not.
 Parent-child potentials connect a node to its element, unary potentials hold what is seen at the
 node: tag, words of class, id and role, share of linked text, copyright sign. Both are estimated from labelled pages. Sum-product message passing, once upward and once downward, gives
 each run's exact marginal; runs at 0.5 or more are the main text.
@@ -13,8 +14,9 @@ task holds one batch. The fitted potentials are a few hundred numbers.
 
 Defined results: a null or empty page has the empty text. Character references are decoded once; white
 space inside a block becomes one space; blocks are trimmed and joined by two line feeds; nothing is
-cut. Unclosed, misnested and truncated markup is read as a browser would in outline. Repeated rows
-give repeated results; other columns are ignored.
+cut. Unclosed, misnested and truncated markup is read as a browser would in outline; an unclosed
+button, drawing or other silent element hides no more than the text up to the next tag. Text of
+hidden elements is left out. Repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +47,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose text is never shown as part of a page's prose.
-_SILENT = frozenset("script style noscript template textarea title iframe object svg math select button canvas audio video noframes xmp".split())
+#: Elements whose contents are characters and not markup, shown only in the second list.
+_RAW = frozenset("script style textarea title iframe noframes".split())
+_PLAIN = frozenset(("xmp",))
+#: Elements whose text is never shown as part of a page's prose, but for unclosed ones.
+_SILENT = frozenset("noscript template object svg select option optgroup button canvas audio video".split())
+_SILENT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_SILENT))})\b[^>]*>", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key closes open elements of the value, up to the nearest one outside it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
@@ -62,6 +68,9 @@ class Page:
         self.words: list[tuple[str, ...]] = [()]
         self.text: list[str] = [""]
         self.linked: list[int] = [0]
+        #: The block that a run is part of: runs of one block are one piece of text.
+        self.block_of: list[int] = [-1]
+        self.block = 0
         self._read(html or "")
 
     def _add(self, parent: int, tag: str, words: tuple[str, ...], text: str = "", linked: int = 0) -> int:
@@ -70,28 +79,36 @@ class Page:
         self.words.append(words)
         self.text.append(text)
         self.linked.append(linked)
+        self.block_of.append(self.block)
         return len(self.parent) - 1
 
     def _read(self, html: str) -> None:
-        stack = [(0, "#root")]
+        stack = [(0, "#root", False)]  # node, name, whether its text is hidden
         run: list[str] = []
-        linked = anchors = hidden = 0
+        linked = anchors = 0
         in_head = False
+        closed_at: dict[int, int] | None = None
 
         def flush() -> None:
             nonlocal linked
             if run:
-                joined = " ".join("".join(run).split())
-                if joined:
-                    self._add(stack[-1][0], "#text", (), joined, min(linked, len(joined)))
+                joined = "".join(run)
+                if size := len(" ".join(joined.split())):
+                    self._add(stack[-1][0], "#text", (), joined, min(linked, size))
+                elif self.block_of[-1] == self.block and self.tag[-1] == "#text":
+                    self.text[-1] += " "
                 run.clear()
             linked = 0
 
+        def end_block() -> None:
+            flush()
+            self.block += 1
+
         at = 0
         while True:
             m = _TOKEN.search(html, at)
             piece = html[at : m.start()] if m else html[at:]
-            if piece and not in_head and not hidden:
+            if piece and not in_head and not stack[-1][2]:
                 if "&" in piece:
                     piece = unescape(piece)
                 run.append(piece)
@@ -102,13 +119,15 @@ class Page:
             at = m.end()
             name = m[2] or m[5]
             if name is None:
-                if m[0].startswith("<![CDATA["):
+                if m[0].startswith("<![CDATA[") and not in_head and not stack[-1][2]:
                     run.append(m[0][9:].removesuffix("]]>"))
                 continue
             name, closing, rest = name.lower(), bool(m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
-            if not closing and name in _SILENT:
+            if not closing and (name in _RAW or name in _PLAIN):
                 if not rest.endswith("/"):
                     end = _end_of(name).search(html, at)
+                    if name in _PLAIN and not in_head and not stack[-1][2]:
+                        run.append(html[at : end.start() if end else len(html)])
                     at = end.end() if end else len(html)
                 continue
             if name == "head":
@@ -117,39 +136,67 @@ class Page:
                 in_head = False
             if name == "a":
                 anchors = 0 if closing else 1
-            elif name == "br":
+            if name == "br":
                 run.append(" ")
+            elif name in _SILENT:
+                if not closing and not rest.endswith("/"):
+                    if closed_at is None:
+                        closed_at = _closed(html)
+                    following = closed_at.get(m.start()) or html.find("<", at)
+                    at = following if following >= 0 else len(html)
             elif name not in _BLOCKS:
-                continue
+                if closing:
+                    self._close(stack, name, flush)
+                elif rest and not rest.endswith("/") and name not in _VOID and (words := _attribute_words(rest)):
+                    flush()
+                    stack.append((self._add(stack[-1][0], name, words), name, stack[-1][2] or "#hidden" in words))
             elif closing:
-                flush()
-                if any(t == name for _, t in stack):
-                    while stack[-1][1] != name:
-                        hidden -= self._hides(stack.pop()[0], hidden)
-                    hidden -= self._hides(stack.pop()[0], hidden)
+                end_block()
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth][1] == name:
+                        del stack[depth:]
+                        break
                 anchors = 0
             else:
-                flush()
+                end_block()
                 anchors = 0
                 in_head = False
-                if stack[-1][1] == "p":
-                    stack.pop()
-                for closed in _CLOSES.get(name, ()):
+                for closed in ("p", *_CLOSES.get(name, ())):
                     for depth in range(len(stack) - 1, 0, -1):
                         if stack[depth][1] == closed:
-                            hidden -= sum(self._hides(n, hidden) for n, _ in stack[depth:])
                             del stack[depth:]
                             break
-                        if stack[depth][1] in _SCOPE:
+                        if stack[depth][1] in _SCOPE or (closed == "p" and stack[depth][1] in _BLOCKS):
                             break
-                node = self._add(stack[-1][0], name, _attribute_words(rest) if rest else ())
+                words = _attribute_words(rest) if rest else ()
+                node = self._add(stack[-1][0], name, words)
                 if name not in _VOID:
-                    stack.append((node, name))
-                    hidden += self._hides(node, 1)
+                    stack.append((node, name, stack[-1][2] or "#hidden" in words))
         flush()
 
-    def _hides(self, node: int, now: int) -> int:
-        return int(bool(now) and "#hidden" in self.words[node])
+    @staticmethod
+    def _close(stack: list[tuple[int, str, bool]], name: str, flush) -> None:
+        """Ends an inline element, unless a block has begun within it."""
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth][1] == name:
+                flush()
+                del stack[depth:]
+                return
+            if stack[depth][1] in _BLOCKS:
+                return
+
+
+def _closed(html: str) -> dict[int, int]:
+    """Where silent elements that end begin, and where they end."""
+    open_: dict[str, list[int]] = {}
+    found = {}
+    for m in _SILENT_TAG.finditer(html):
+        name = m[2].lower()
+        if not m[1]:
+            open_.setdefault(name, []).append(m.start())
+        elif open_.get(name):
+            found[open_[name].pop()] = m.end()
+    return found
 
 
 @lru_cache(maxsize=64)
@@ -172,13 +219,21 @@ def _attribute_words(rest: str) -> tuple[str, ...]:
 def observations(page: Page) -> list[tuple]:
     """What is seen at each node, as a tuple of features."""
     n = len(page.parent)
-    size, linked = [len(t) for t in page.text], list(page.linked)
+    size, linked = [len(" ".join(t.split())) for t in page.text], list(page.linked)
+    whole: dict[int, list[int]] = {}  # of each block: characters, linked ones
+    for block, tag, a, b in zip(page.block_of, page.tag, size, linked):
+        if tag == "#text":
+            sums = whole.setdefault(block, [0, 0])
+            sums[0] += a
+            sums[1] += b
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
         size[p] += size[i]
         linked[p] += linked[i]
     seen = []
     for i in range(n):
+        if page.tag[i] == "#text":
+            size[i], linked[i] = whole[page.block_of[i]]
         share = 0 if not linked[i] else 1 if 3 * linked[i] < size[i] else 2 if 10 * linked[i] < 9 * size[i] else 3
         if page.tag[i] == "#text":
             seen.append((("linked", share), ("sign", "©" in page.text[i])))
@@ -190,10 +245,10 @@ def observations(page: Page) -> list[tuple]:
 
 #: Largest log-odds of a feature. Lengths and punctuation are no features: a page of many short blocks would outvote its structure.
 _STRENGTH = {"tag": 6.0, "word": 6.0, "linked": 1.0, "sign": 1.0}
-#: Paragraphs, items, cells, headings and runs come in numbers: they may only speak against content, and only clearly.
+#: Paragraphs, items, cells, headings, inline elements and runs come in numbers: their tags may only speak against content, and only clearly.
 _INNER_STRENGTH, _CLEAR = 1.0, 0.75
-#: Least probability that an inner element or run differs from its parent.
-_FLOOR = {"text": 0.001, "inner": 0.1, "box": 0.0}
+#: Least probability that an inner element or run differs from its parent, where that is no content and where it is.
+_FLOOR = {"text": (0.001, 0.001), "inner": (0.1, 0.1), "inline": (0.01, 0.3), "box": (0.0, 0.0)}
 
 
 class Model:
@@ -242,18 +297,21 @@ class Model:
 
     def blocks(self, html: str | None) -> list[str]:
         page = Page(html)
-        odds = self.marginals(page)
-        return [t for t, tag, o in zip(page.text, page.tag, odds) if tag == "#text" and o >= 0]
+        kept: dict[int, list[str]] = {}
+        for text, tag, block, odds in zip(page.text, page.tag, page.block_of, self.marginals(page)):
+            if tag == "#text" and odds >= 0:
+                kept.setdefault(block, []).append(text)
+        return [" ".join("".join(parts).split()) for parts in kept.values()]
 
 
 def _edge(tag: str) -> str:
-    return "text" if tag == "#text" else "inner" if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "tbody", "pre") else "box"
+    return "text" if tag == "#text" else "inner" if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "tbody", "pre") else "inline" if tag not in _BLOCKS else "box"
 
 
 def train(pages: Iterable[tuple[str, list[str]]], smoothing: float = 0.5) -> Model:
     """Potentials from labelled pages: (html, the blocks of its main text in page order)."""
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    kinds: dict[str, np.ndarray] = {k: np.full((2, 2), smoothing) for k in ("text", "inner", "box")}
+    kinds: dict[str, np.ndarray] = {k: np.full((2, 2), smoothing) + (np.eye(2) * 10 if k == "inline" else 0) for k in ("text", "inner", "inline", "box")}
     groups: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for html, blocks in pages:
         page, wanted = Page(html), Counter(blocks)
@@ -261,7 +319,7 @@ def train(pages: Iterable[tuple[str, list[str]]], smoothing: float = 0.5) -> Mod
         good, all_ = [0] * n, [0] * n
         for i in range(n - 1, -1, -1):
             if page.tag[i] == "#text":
-                good[i], all_[i] = int(wanted[page.text[i]] > 0), 1
+                good[i], all_[i] = int(wanted[" ".join(page.text[i].split())] > 0), 1
             if i:
                 good[page.parent[i]] += good[i]
                 all_[page.parent[i]] += all_[i]
@@ -280,10 +338,12 @@ def train(pages: Iterable[tuple[str, list[str]]], smoothing: float = 0.5) -> Mod
         value = max(-most, min(most, math.log(a / b)))
         if f[0] in ("linked", "sign") or (f[0] == "tag" and _edge(f[1][0]) == "inner"):
             value = max(-_INNER_STRENGTH, value) if value <= -_CLEAR else 0.0
+        if f[0] == "tag" and _edge(f[1][0]) == "inline":  # only its words tell an inline element from its block
+            value = 0.0
         unary[f] = value
     tables = {}
     for kind, t in kinds.items():
-        stay = np.clip(np.diag(t) / t.sum(1), 0, 1 - _FLOOR[kind])
+        stay = np.clip(np.diag(t) / t.sum(1), 0, 1 - np.array(_FLOOR[kind]))
         tables[kind] = (float(stay[0]), float(1 - stay[0]), float(1 - stay[1]), float(stay[1]))
     return Model(unary, tables, 0.0)
 
@@ -368,7 +428,9 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
                 text = prose(90)
                 shown = said(text)
                 if rng.random() < 0.3:
-                    shown = rng.choice([f"<b>{shown}</b>", f"<b>{shown}<br>", f"<em>{shown}</em>", f"<span>{shown}</span>", f'<a href="/x">{shown}</a>'])
+                    shown = rng.choice([f"<b>{shown}</b>", f"<b>{shown}<br>", f"<em>{shown}</em>", f"<span>{shown}</span>", f'<a href="/x">{shown}</a>', f'<span class="{word()}">{shown}</span>', f'<{(k := rng.choice(["b", "span", "em"]))} id="{word()}">{shown}</{k}>'])
+                if rng.random() < 0.02:
+                    shown += f'<span{classed(_FURNITURE[rng.choice(["ad", "ad", "share", "notice"])], 1)}>{escape(prose(10))}</span>'
                 return f"<p>{shown}" + ("</p>" if rng.random() < 0.85 else "")
             if r < 0.76:
                 return f"<h{(k := rng.randint(2, 4))}>{said(prose(8))}</h{k}>"

@@ -1,5 +1,6 @@
 """Near-duplicates, language-model scores, toxicity and page text against plain versions."""
 
+import re
 import math
 import random
 from collections import Counter
@@ -8,6 +9,8 @@ import numpy as np
 import pytest
 from helpers import documents, empty_documents
 
+from html import unescape as html_unescape
+
 from tessera.llm import html_extract, lm_score, near_dup, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -314,3 +317,40 @@ def test_marginals_are_exact():
         for i in range(n):
             weights[x[i]][i] += w
     assert model.marginals(page) == pytest.approx(np.log(weights[1] / weights[0]).tolist(), abs=1e-6)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article><p>One.</p><button>Go<p>Two para.</p><p>Three.</p></article>", ["One.", "Two para.", "Three."]),
+        ("<article><p>One.</p><select><option>a<p>Two para.</p></article>", ["One.", "Two para."]),
+        ("<article><p>One.</p><svg><p>Two para.</p></article>", ["One.", "Two para."]),
+        ('<article><p>One <span class="ad sponsored">Buy our thing</span> end.</p><p>x</p></article>', ["One end.", "x"]),
+        ("<article><p><span hidden>secret</span>Two.</p></article>", ["Two."]),
+        ('<article><p>One <span class="hl">two</span> three, <a class="ref" href=x>link</a> and <b id=q>bold</b>.</p><button>Buy</button><p>After <math><mi>x</mi></math></p><xmp>a <b> c</xmp></article>', ["One two three, link and bold.", "After x", "a <b> c"]),
+        ("<article><p>One.<div>Two <button>z</button> b</div><object><object>n</object>inner</object>tail</article>", ["One.", "Two b", "tail"]),
+        ("<article><p>a <template>gone <p>b</template>c</p><canvas>no</canvas></article>", ["a c"]),
+    ],
+)
+def test_inline_hidden_and_unclosed_elements(html, want):
+    assert html_extract.default_model().blocks(f"<body><nav><a href=/>Home</a></nav>{html}<footer>&copy; x</footer></body>") == want
+
+
+def plain_page(html):
+    """The main text of a page of the tables: what stands in its one article, element by element."""
+    article = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", "", html)
+    found = re.search(r"(?is)<article\b[^>]*>(.*)</article>", article) or re.search(r"(?is)<article\b[^>]*>(.*?)(?:<footer|\Z)", article)
+    blocks = re.split(r"(?i)</?(?:p|h1|ul|li|div)\b[^>]*>", found[1]) if found else []
+    texts = (" ".join(html_unescape(re.sub(r"(?is)<br\b[^>]*>", " ", b)).split()) if "<" not in re.sub(r"(?is)<br\b[^>]*>", "", b) else " ".join(html_unescape(re.sub(r"(?s)<[^>]*>", "", re.sub(r"(?is)<br\b[^>]*>", " ", b))).split()) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_query_of_pages_against_a_plain_version(spark):
+    from conftest import DATA
+
+    from tessera.llm import queries
+
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op1_html_extraction(spark, DATA).collect()}
+    assert got.keys() == html.keys()
+    assert got == {p: (t := plain_page(h), len(t)) for p, h in html.items()}
