@@ -10,7 +10,9 @@ selected candidate never overlaps a base span, and of overlapping candidates the
 The trees are trained once per process on ``TRAINING_TEXTS`` written examples, whose features are
 computed by the very expressions that run on the corpus; the fitted trees are then one expression of
 nested conditions. So the corpus passes through built-in functions alone, in one scan, without a
-shuffle; a task holds one row's candidates.
+shuffle; a task holds one row's candidates. The work on a text grows with its length and its hits:
+running sums and maxima go block by block (``_scan``), spans and candidates meet in one order by
+place, and what stands around a candidate is read from pieces of the text.
 
 The patterns of the base are written so that scanning is linear in the text: possessive where
 nothing can follow by backtracking, and anchored to the start of a run, which finds the same
@@ -52,7 +54,7 @@ _BASE = {
 }
 # Generators of candidates, by kind.
 _PROPOSED = {
-    "email": [r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ {0,2}(?:\(at\)|\[at\]|\{at\}|<at>| at |@) {0,2}[A-Za-z0-9-]{1,63}+(?:(?:\.| {0,2}(?:\(dot\)|\[dot\]|\{dot\}|<dot>| dot ) {0,2})[A-Za-z0-9-]{1,63}+){1,6}+"],
+    "email": [r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ {0,2}(?:\(at\)|\[at\]|\{at\}|<at>| at |@) {0,2}[A-Za-z0-9-]++(?:(?:\.| {0,2}(?:\(dot\)|\[dot\]|\{dot\}|<dot>| dot ) {0,2})[A-Za-z0-9-]++)++"],
     "ip": [r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){3,7}+[0-9a-f]{1,4}(?![0-9a-f:])", r"(?<![0-9])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3}(?![0-9])"],
     "card": [r"(?<![0-9])(?<![0-9][ ./_-])[0-9](?:[ ./_-]{0,2}[0-9]){12,18}+(?![ ./_-]?[0-9])"],
     "phone": [r"(?<![0-9+])(?<![0-9][ .-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,4}){2,4}(?![0-9])(?![ .-][0-9])", r"(?<![0-9A-Za-z.+-])0[0-9]{8,13}(?![0-9A-Za-z])"],
@@ -68,19 +70,58 @@ _ANTI = r"(?i)order|invoice|isbn|issn|ref|version|\bv\.?$|serial|\bid\b|\bno\b|p
 _SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
+_NONE = f"cast(array() as {_SPAN})"
+#: Values of a block of a running sum, and characters of a piece of text.
+_BLOCK, _PIECE = 256, 512
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(values: Column, add, start: Column) -> Column:
+    """Running results of ``add`` over an array of ints, in blocks, so that no long array is built element by element."""
+
+    def run(some: Column, first: Column) -> Column:
+        state = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(some, state, lambda s, x: _let(add(s["at"], x), lambda y: F.struct(y.alias("at"), F.concat(s["out"], F.array(y)).alias("out"))), lambda s: s["out"])
+
+    def long(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))
+        # each block's own run, then what comes before each block
+        done = F.transform(blocks, lambda some: run(some, start))
+        before = lambda d: F.concat(F.array(start), run(F.transform(d, lambda r: F.element_at(r, -1)), start))
+        return _let(done, lambda d: F.flatten(F.zip_with(d, F.slice(before(d), F.lit(1), F.size(d)), lambda r, first: F.transform(r, lambda x: add(first, x)))))
+
+    return _let(values, lambda v: F.when(F.size(v) <= _BLOCK, run(v, start)).otherwise(long(v)))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Every match of a pattern that cannot be empty, in order, with its place in code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = F.zip_with(hits, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda h, gap: F.struct(h.alias("hit"), F.length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
 
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+    def placed(h: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h))
+        ends = _scan(F.zip_with(h, gaps, lambda x, gap: F.length(gap) + F.length(x)), _plus, F.lit(0))
+        return F.zip_with(h, ends, lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("hit")))
 
-    none = F.expr(f"cast(array() as {_SPAN})")
-    return F.when(F.size(hits) == 0, none).otherwise(F.aggregate(found, start, add, lambda s: s["out"]))
+    return _let(hits, lambda h: F.when(F.size(h) == 0, F.expr(_NONE)).otherwise(placed(h)))
+
+
+def pieces_of(text: Column) -> Column:
+    """A text in pieces of as many code points each, but for the last."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def part_of(pieces: Column, start: Column, length: Column) -> Column:
+    """The part of a text, given in pieces, from a place on, of any length from 0."""
+    first, last = F.floor(start / _PIECE).cast("int"), F.floor((start + length) / _PIECE).cast("int")
+    return F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * _PIECE + 1, length)
 
 
 def _digits(hit: Column) -> Column:
@@ -118,16 +159,16 @@ def base_spans(text: Column, kind: str) -> Column:
     """The base spans of one kind in a text that is not null."""
     mark, pattern = _marked(kind)
     found = F.filter(matches(text, pattern), lambda x: _valid(kind, x["hit"]))
-    return F.when(F.contains(text, F.lit(mark)), found).otherwise(F.expr(f"cast(array() as {_SPAN})")) if mark else found
+    return F.when(F.contains(text, F.lit(mark)), found).otherwise(F.expr(_NONE)) if mark else found
 
 
 FEATURES = ("length", "digits", "letters", "luhn", "separators", "separator_kinds", "bracket", "quads", "date", "cue", "anti", "before", "after", "suffix", "lead", "even", "groups")
 
 
-def _features(kind: str, text: Column, x: Column) -> list[Column]:
+def _features(kind: str, pieces: Column, x: Column) -> list[Column]:
     hit = x["hit"]
-    before = F.substr(text, F.greatest(x["start"] + 1 - CONTEXT, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
-    after = F.substr(text, x["end"] + 1, F.lit(2))
+    before = part_of(pieces, F.greatest(x["start"] - CONTEXT, F.lit(0)), F.least(x["start"], F.lit(CONTEXT)))
+    after = part_of(pieces, x["end"], F.lit(2))
     digits = _digits(hit)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     size = lambda c: F.length(c).cast("double")
@@ -144,12 +185,33 @@ def _features(kind: str, text: Column, x: Column) -> list[Column]:
     ]
 
 
-def candidates(text: Column, kind: str, base: Column) -> Column:
+def _free(spans: Column) -> Column:
+    """Of spans (start, end, base, hit) in order, those that are no base spans and overlap none, each once."""
+    ends = _scan(F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(0)), F.greatest, F.lit(0))
+    far = F.lit(2**31 - 1)
+    starts = F.reverse(_scan(F.reverse(F.transform(spans, lambda s: F.when(s["base"], s["start"]).otherwise(far))), F.least, far))
+    around = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
+    marked = F.zip_with(spans, around, lambda x, a: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), (~x["base"] & (a["e"] <= x["start"]) & (a["s"] >= x["end"])).alias("free")))
+    return _let(F.filter(marked, lambda x: x["free"]), lambda v: F.filter(v, lambda x, i: (i == 0) | (F.get(v, F.greatest(i - 1, F.lit(0))) != x)))
+
+
+def candidates(text: Column, kind: str, base: Column, pieces: Column | None = None) -> Column:
     """Proposed spans of a kind that overlap no span of ``base``, with their features as array x."""
-    lists = [matches(text, p) for p in _PROPOSED[kind]]
-    found = F.array_distinct(F.concat(*lists)) if len(lists) > 1 else lists[0]
-    free = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array(*_features(kind, text, c)).alias("x")))
+    proposed = F.concat(*(matches(text, p) for p in _PROPOSED[kind]))
+
+    def marked(own: bool):
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("base"), s["hit"].alias("hit"))
+
+    mixed = [F.transform(proposed, marked(False)), F.transform(base, marked(True))]
+
+    def described(p: Column, found: Column) -> Column:
+        return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array(*_features(kind, p, c)).alias("x")))
+
+    def judged(found: Column) -> Column:
+        return described(pieces, found) if pieces is not None else _let(pieces_of(text), lambda p: described(p, found))
+
+    free = _let(F.array_sort(F.concat(*mixed)), _free)
+    return _let(free, judged)
 
 
 # Training spans. A text is a list of parts; a marked part is a span and whether it is personal data.
@@ -244,15 +306,20 @@ class Trees:
                 tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
             return tree
 
-        return np.array([self.start + sum(walk(t, row) for t in self.trees) for row in x])
+        total = np.full(len(x), self.start)
+        for tree in self.trees:  # one by one, as ``sql`` adds them, so that thresholds hold to the last bit
+            total = total + np.array([walk(tree, row) for row in x])
+        return total
+
+    def sql(self, x: str) -> str:
+        """The logit as an expression of the array named ``x``; as text, because building it call by call takes seconds."""
 
-    def column(self, x: Column) -> Column:
-        def node(tree) -> Column:
+        def node(tree) -> str:
             if not isinstance(tree, tuple):
-                return F.lit(tree)
-            return F.when(F.element_at(x, tree[0] + 1) <= tree[1], node(tree[2])).otherwise(node(tree[3]))
+                return f"{tree!r}D"
+            return f"if({x}[{tree[0]}] <= {tree[1]!r}D, {node(tree[2])}, {node(tree[3])})"
 
-        return sum((node(t) for t in self.trees), F.lit(self.start))
+        return " + ".join([f"{self.start!r}D", *map(node, self.trees)])
 
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, least: int = 8) -> Trees:
@@ -328,7 +395,7 @@ def detector(spark: SparkSession, texts: int = TRAINING_TEXTS, seed: int = 11) -
     if (texts, seed) not in _detectors:
         given = training_texts(texts, seed)
         rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(given)), "array<struct<text:string,kind:string,start:int,end:int,label:int>>")).alias("r")).select("r.*")
-        none = F.expr(f"cast(array() as {_SPAN})")
+        none = F.expr(_NONE)
         found = []
         for kind in KINDS:
             each = rows.where(F.col("kind") == kind).select("start", "end", "label", F.explode(candidates(F.col("text"), kind, none)).alias("c"))
@@ -339,31 +406,52 @@ def detector(spark: SparkSession, texts: int = TRAINING_TEXTS, seed: int = 11) -
     return _detectors[(texts, seed)]
 
 
+def _fresh(df: DataFrame, prefix: str) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    while any(c.lower().startswith(f"{prefix}_".lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def _chosen(scored: Column) -> Column:
+    """Of candidates (start, end, rank, over), those that no better overlapping one beats, in order."""
+    better = lambda a, b: (a["over"] > b["over"]) | ((a["over"] == b["over"]) & (F.struct(a["start"], a["end"], a["rank"]) < F.struct(b["start"], b["end"], b["rank"])))
+
+    def among(v: Column) -> Column:
+        # overlapping spans follow each other: a group ends where the next span begins at or after all ends before it
+        reach = _scan(F.transform(v, lambda s: s["end"]), F.greatest, F.lit(0))
+
+        def grouped(r: Column) -> Column:
+            fresh = F.transform(v, lambda s, i: F.when((i == 0) | (F.coalesce(F.get(r, i - 1), F.lit(0)) <= s["start"]), i).otherwise(0))
+            last = F.transform(v, lambda s, i: F.when(F.coalesce(F.get(v, i + 1)["start"] >= F.get(r, i), F.lit(True)), i).otherwise(F.size(v)))
+            firsts, lasts = _scan(fresh, F.greatest, F.lit(0)), F.reverse(_scan(F.reverse(last), F.least, F.lit(2**31 - 1)))
+            near = F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            marked = F.zip_with(v, near, lambda s, n: F.struct(s.alias("s"), ((n["a"] < n["b"]) & F.exists(F.slice(v, n["a"] + 1, n["b"] - n["a"] + 1), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & better(o, s))).alias("beaten")))
+            return F.transform(F.filter(marked, lambda m: ~m["beaten"]), lambda m: m["s"])
+
+        return _let(reach, grouped)
+
+    return F.when(F.size(scored) < 2, scored).otherwise(_let(scored, among))
+
+
 def detect(docs: DataFrame, *, text_col: str = "text", model: Detector | None = None, prefix: str = "pii") -> DataFrame:
-    """``docs`` with <prefix>_<kind>, the base spans of each kind, and <prefix>_added, the selected candidates."""
+    """``docs`` with <prefix>_<kind>, the base spans of each kind, and <prefix>_added, the selected candidates.
+
+    No column of ``docs`` may begin with the prefix and an underscore.
+    """
     model = model or detector(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs
-    for kind in KINDS:
-        out = out.withColumn(f"{prefix}_{kind}", base_spans(text, kind))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    out = docs.select("*", *(base_spans(text, kind).alias(f"{prefix}_{kind}") for kind in KINDS))
     base = F.concat(*(F.col(f"{prefix}_{k}") for k in KINDS))
-
-    def judged(rank: int, kind: str):
-        return lambda c: F.struct(F.lit(rank).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), (model.trees[kind].column(c["x"]) - model.thresholds[kind]).alias("over"))
-
+    none = F.expr("cast(array() as array<struct<start:int,end:int,x:array<double>>>)")
+    needs = {"email": r"(?i)@|[ (\[{<]at[ )\]}>]", "ip": r"[0-9A-Fa-f]:|[0-9] ?[\[(]", "card": r"[0-9][ ./_-]{0,2}[0-9]", "phone": r"[0-9]{2}"}
+    out = out.select("*", *(F.when(text.rlike(needs[kind]), candidates(text, kind, base)).otherwise(none).alias(f"{prefix}_of_{kind}") for kind in KINDS))
     scored = []
     for rank, kind in enumerate(KINDS):
-        some = F.transform(candidates(text, kind, base), judged(rank, kind))
-        some = F.filter(some, lambda c: c["over"] >= 0)
-        none = F.expr("cast(array() as array<struct<rank:int,start:int,end:int,over:double>>)")
-        needs = {"email": r"(?i)@|[ (\[{<]at[ )\]}>]", "ip": r"[0-9A-Fa-f]:|[0-9] ?[\[(]", "card": r"[0-9][ ./_-]{0,2}[0-9]", "phone": r"[0-9]{2}"}[kind]
-        scored.append(F.when(text.rlike(needs), some).otherwise(none))
-    out = out.withColumn(f"{prefix}_scored", F.concat(*scored))
-    better = lambda a, b: (a["over"] > b["over"]) | ((a["over"] == b["over"]) & (F.struct(a["start"], a["end"], a["rank"]) < F.struct(b["start"], b["end"], b["rank"])))
-    kept = F.filter(
-        F.col(f"{prefix}_scored"),
-        lambda c: ~F.exists(F.col(f"{prefix}_scored"), lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & better(o, c)),
-    )
+        over = f"{model.trees[kind].sql('c.x')} - {model.thresholds[kind]!r}D"
+        scored.append(f"filter(transform(`{prefix}_of_{kind}`, c -> named_struct('start', c.start, 'end', c.end, 'rank', {rank}, 'over', {over})), c -> c.over >= 0)")
+    out = out.select("*", F.expr(f"array_sort(concat({', '.join(scored)}))").alias(f"{prefix}_scored")).drop(*(f"{prefix}_of_{k}" for k in KINDS))
+    kept = _chosen(F.col(f"{prefix}_scored"))
     return out.withColumn(f"{prefix}_added", F.transform(kept, lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end")))).drop(f"{prefix}_scored")
 
 
@@ -382,7 +470,7 @@ def _listed(spans: Column) -> Column:
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Detector | None = None) -> DataFrame:
     """Per row: doc_id, the number of base spans of each kind, base_sha256 and spans."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     found = detect(rows, model=model)
     base = F.concat(*_ranked("pii"))
     counts = [F.size(f"pii_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS]
@@ -394,22 +482,31 @@ def redact(docs: DataFrame, *, text_col: str = "text", model: Detector | None =
 
     ``recount`` names a column that holds the text's length, to be set again where a text changed.
     """
-    found = detect(docs, text_col=text_col, model=model, prefix="pii__")
-    spans = F.sort_array(F.transform(F.concat(*_ranked("pii__"), F.col("pii___added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
-    text = F.col(text_col).cast("string")
+    prefix = _fresh(docs, "pii")
+    found = detect(docs, text_col=text_col, model=model, prefix=prefix)
+    spans = F.array_sort(F.transform(F.concat(*_ranked(prefix), F.col(f"{prefix}_added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+    text = F.col(f"`{text_col}`").cast("string")
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
-    def add(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.element_at(tags, s["rank"] + 1))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
+    def written(spans: Column, pieces: Column) -> Column:
+        """The text with tags for spans: each span puts what stands between it and all ends before it, and its tag."""
+        ends = _scan(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+
+        def joined(e: Column) -> Column:
+            def put(s: Column, i: Column) -> Column:
+                at = F.when(i == 0, 0).otherwise(F.get(e, F.greatest(i - 1, F.lit(0))))
+                return F.when(s["start"] >= at, F.concat(part_of(pieces, at, F.greatest(s["start"] - at, F.lit(0))), F.element_at(tags, s["rank"] + 1))).otherwise("")
+
+            end = F.element_at(e, -1)
+            return F.concat(F.array_join(F.transform(spans, put), ""), part_of(pieces, end, F.length(text) - end))
+
+        return _let(ends, joined)
 
-    found = found.withColumn("pii___spans", spans)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("pii___spans", start, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    found = found.withColumn("pii___text", F.when(F.size("pii___spans") > 0, done).otherwise(text))
-    columns = [F.col("pii___text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    found = found.withColumn(f"{prefix}_spans", spans)
+    done = _let(F.struct(F.col(f"{prefix}_spans").alias("s"), pieces_of(text).alias("p")), lambda x: written(x["s"], x["p"]))
+    found = found.withColumn(f"{prefix}_text", F.when(F.size(f"{prefix}_spans") > 0, done).otherwise(text))
+    columns = [F.col(f"{prefix}_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if recount is not None and recount in docs.columns:
-        changed = F.when(F.size("pii___spans") > 0, F.length("pii___text").cast(dict(docs.dtypes)[recount])).otherwise(F.col(f"`{recount}`"))
+        changed = F.when(F.size(f"{prefix}_spans") > 0, F.length(f"{prefix}_text").cast(dict(docs.dtypes)[recount])).otherwise(F.col(f"`{recount}`"))
         columns[docs.columns.index(recount)] = changed.alias(recount)
     return found.select(*columns)

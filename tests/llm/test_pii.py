@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+import regex
 from helpers import documents, empty_documents
 
 from tessera.llm import pii
@@ -103,3 +105,64 @@ def test_redaction(spark, model):
 def test_stays_in_the_engine(spark, model):
     plan = pii.report(documents(spark), model=model)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("EvalPython", "Pandas", "InArrow"))
+
+
+def plain_features(kind, text, start, end):
+    hit, before, after = text[start:end], text[max(0, start - pii.CONTEXT) : start], text[end : end + 2]
+    digits = re.sub("[^0-9]", "", hit)
+    separators = re.sub("[^ ./_:-]", "", hit)
+    has = lambda pattern, s: float(bool(re.search(pattern, s, re.A)))
+    return [
+        len(hit), len(digits), len(re.sub("[^A-Za-z]", "", hit)), float(len(digits) > 1 and luhn(digits)), len(separators), len(set(separators)),
+        has(r"[(\[{<]", hit), has(r"^[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$", hit),
+        has(r"^(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]\b|^[0-3]?[0-9][ ./-][0-3]?[0-9][ ./-](?:19|20)[0-9]{2}\b|^[0-9]{2}:[0-9]{2}:[0-9]{2}", hit),
+        has(pii._CUES[kind], before), has(pii._ANTI, before), has(r"[A-Za-z0-9$€£#=/_.,+-]$", before), has(r"^(?:[A-Za-z0-9%€£/_=-]|[.,][0-9])", after),
+        has(r"(?i)(?:\.|dot[)\]}> ]) {0,2}(?:com|org|net|edu|gov|io|info|co|de|fr|es|uk|eu|biz|dev)$", hit),
+        float(digits[0]) if digits else -1.0, has(r"^(\d)\1+$", digits), len(re.sub("[^0-9A-Za-z]+", " ", hit).split(" ")),
+    ]
+
+
+def plain_added(text, model):
+    """Candidates by all pairs, scored by walking the trees."""
+    base = [s for spans in plain_spans(text).values() for s in spans]
+    found = []
+    for rank, kind in enumerate(pii.KINDS):
+        for start, end in {m.span() for p in pii._PROPOSED[kind] for m in regex.finditer(p, text, regex.A)}:
+            if not any(a < end and start < b for a, b in base):
+                over = model.trees[kind].logit([plain_features(kind, text, start, end)])[0] - model.thresholds[kind]
+                if over >= 0:
+                    found.append((over, start, end, rank))
+    beats = lambda o, c: o[0] > c[0] + 1e-9 or (abs(o[0] - c[0]) <= 1e-9 and o[1:] < c[1:])
+    kept = [c for c in found if not any(o != c and o[1] < c[2] and c[1] < o[2] and beats(o, c) for o in found)]
+    return sorted((r, a, b) for _, a, b, r in kept)
+
+
+def test_added_spans_equal_a_plain_version(spark, model):
+    rng = random.Random(8)
+    written = [r["text"] for r in pii.training_texts(400, seed=5)]
+    texts = [" ".join(rng.choice(written) for _ in range(rng.randint(1, 40))) for _ in range(60)] + written + ["😀 " + t for t in written[:50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    some = 0
+    for r in pii.report(docs, model=model).collect():
+        text = texts[r.doc_id]
+        want = sorted([(k, a, b) for k, spans in enumerate(plain_spans(text).values()) for a, b in spans] + plain_added(text, model))
+        assert r.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want), text[:300]
+        some += r.spans != ""
+    assert some > 200
+
+
+def test_a_text_of_many_hits(spark, model):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "x@y.co " * n), (2, "call (555) 123-4567 or mail anna.berg at shop dot org " * 2_000)], "doc_id bigint, text string")
+    begun = time.time()
+    got = {r.doc_id: r for r in pii.report(docs, model=model).collect()}
+    text = {r.doc_id: r.text for r in pii.redact(docs, model=model).collect()}
+    assert time.time() - begun < 120
+    assert got[1].n_email == n and got[1].base_sha256 == hashlib.sha256(",".join(f"email:{7 * i}:{7 * i + 6}" for i in range(n)).encode()).hexdigest()
+    assert text[1] == "[EMAIL] " * n and text[2] == "call [PHONE] or mail [EMAIL] " * 2_000
+
+
+def test_columns_that_begin_alike(spark, model):
+    docs = spark.createDataFrame([(1, "a@b.co x", 7, 8, 9)], "doc_id bigint, text string, pii_email int, pii__text int, PII_added int")
+    done = pii.redact(docs, model=model)
+    assert done.dtypes == docs.dtypes and tuple(done.first()) == (1, "[EMAIL] x", 7, 8, 9)
