@@ -16,7 +16,8 @@ them (Schulz and Mihov, "Fast String Correction with Levenshtein Automata", 2002
 rejected after its first few letters. Entries that are word beginnings match any ending and no
 edit. A near miss that occurs in clean labelled documents is an ordinary word and not a hit; an entry
 loses an edit only where near misses met in a single clean document are many beside its toxic
-documents, because that many more are to be expected (Good and Turing). A hit's window decides how much of it is quotation: quotation marks on both sides within ``WINDOW`` words,
+documents, because that many more are to be expected (Good and Turing). Words that punctuation joins are also
+met one by one, and long runs of letters are searched for entries within them. A hit's window decides how much of it is quotation: quotation marks on both sides within ``WINDOW`` words,
 or a word that reports speech before it. The quoted share of a hit counts on its own, with a small
 prior weight; the rest counts as abuse.
 
@@ -53,9 +54,8 @@ LEAST_SHARE = 0.93
 WEAK_SHARE, WEAK_TIMES = 0.25, 2.5
 #: Groups of like vocabulary, at most, and buckets of words that tell them apart.
 GROUPS, BUCKETS = 8, 64
-#: Entries in a lexicon and candidates by significance, at most.
-MOST_ENTRIES = 2_000
-MOST_CANDIDATES = 20_000
+#: Longer words are also searched for entries within them, as are scripts and lines without spaces.
+LONG = 40
 PREFIXES = range(4, 8)
 WINDOW = 6
 #: Words from this length on may have one edit, or two.
@@ -64,7 +64,8 @@ ONE_EDIT, TWO_EDITS = 5, 10
 MARKED, REPORTED = 0.85, 0.6
 #: Near misses met in a single clean document that an entry may have for each of its toxic documents.
 SINGLES = 0.05
-_TOKENS = 250_000
+#: Tokens and their length that a matcher remembers; a bound on memory, without effect on results.
+_TOKENS, _TOKEN_CHARS = 250_000, 64
 
 _OPEN, _CLOSE = "\"'“„«‘‹`", "\"'”“»’›`"
 REPORTING = frozenset(
@@ -163,6 +164,19 @@ class Automaton:
         return self.verdicts[at] if self.verdicts[at] < 9 else None
 
 
+    def holds(self, word: str) -> bool:
+        """Whether an entry of five letters or more stands anywhere in a word, letter by letter."""
+        for start in range(len(word)):
+            node = 0
+            for at in range(start, len(word)):
+                node = self.children[node].get(word[at], 0)
+                if not node:
+                    break
+                if self.final[node] and at - start + 1 >= ONE_EDIT:
+                    return True
+        return False
+
+
 class Matcher(dict):
     """Raw token to 0 (none), 1 (an entry), 2 (an entry but for edits or lookalike letters) or 2 and a weak term's weight; remembers tokens."""
 
@@ -172,21 +186,29 @@ class Matcher(dict):
 
     def kind(self, raw: str) -> tuple[float, str]:
         word = _EDGE.sub("", raw.lower())
-        if not word or len(word) > 64:
+        if not word:
             return 0, word
         edits = self.automaton.edits(word)
         if edits is None and not word.isalpha():
             shown = _INNER.sub("", raw.lower().translate(_LOOKALIKES))
             if len(shown) >= 4 and not shown.isdigit() and self.automaton.edits(shown) == 0:
                 edits, word = 1, shown if shown != word else word
-        if edits is None or (edits and word in self.ordinary):
-            weight = max((self.weak.get(t, 0.0) for t in (word, *(f"{word[:n]}*" for n in PREFIXES))), default=0.0) if self.weak else 0.0
-            return (2 + weight if weight else 0), word
-        return (2 if edits else 1), word
+        if edits is not None and not (edits and word in self.ordinary):
+            return (2 if edits else 1), word
+        if not word.isalpha() and len(parts := [p for p in _INNER.split(word) if p]) > 1:
+            inner = [self.kind(p) for p in parts]
+            hits = [k for k in inner if 0 < k[0] <= 2]
+            if hits:
+                return min(hits)
+            return max(inner)
+        if len(word) > LONG and self.automaton.holds(word):
+            return 2, word
+        weight = max((self.weak.get(t, 0.0) for t in (word, *(f"{word[:n]}*" for n in PREFIXES))), default=0.0) if self.weak else 0.0
+        return (2 + weight if weight else 0), word
 
     def __missing__(self, raw: str) -> float:
         found = self.kind(raw)[0]
-        if len(raw) <= 64:
+        if len(raw) <= _TOKEN_CHARS:
             if len(self) > _TOKENS:
                 self.clear()
             self[raw] = found
@@ -269,7 +291,9 @@ def _regression(rows: np.ndarray, labels: np.ndarray, strength: float = 1.0) ->
 
 
 def _words(text: str | None) -> set[str]:
-    return {w for w in (_EDGE.sub("", t) for t in set((text or "").lower().split())) if 0 < len(w) <= 40}
+    """A text's words in lower case, and the parts of those that punctuation joins."""
+    whole = {w for w in (_EDGE.sub("", t) for t in set((text or "").lower().split())) if w}
+    return whole | {p for w in whole if not w.isalpha() for p in _INNER.split(w) if p}
 
 
 def _terms(words: set[str]) -> set[str]:
@@ -315,7 +339,7 @@ def _choose(found: dict[str, tuple[int, int, float]], tried: int) -> list[tuple[
             gain = t * math.log(share / base) + ((n - t) * math.log((1 - share) / (1 - base)) if n > t else 0)
             if gain >= bar:
                 out.append((gain, term))
-    return sorted(out, key=lambda x: (-x[0], x[1]))[:MOST_CANDIDATES]
+    return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
 def _lexicon(candidates: list[tuple[float, str]], found: dict[str, tuple[int, int, float]]) -> tuple[list[str], dict[str, float]]:
@@ -336,7 +360,7 @@ def _lexicon(candidates: list[tuple[float, str]], found: dict[str, tuple[int, in
             stems.append(stem)
     covered = tuple(stems)
     chosen = [f"{s}*" for s in stems] + sorted(w for w in words if not w.startswith(covered) or not covered)
-    chosen = sorted(chosen, key=lambda t: -found[t][0])[:MOST_ENTRIES]
+    chosen = sorted(chosen, key=lambda t: -found[t][0])
     odds = lambda p: math.log(p / (1 - p))
     weak = {t: odds(found[t][0] / found[t][1]) - odds(found[t][2]) for t in chosen if found[t][0] < LEAST_SHARE * found[t][1]}
     return [t for t in chosen if t not in weak], weak

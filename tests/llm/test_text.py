@@ -354,3 +354,39 @@ def test_query_of_pages_against_a_plain_version(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in queries.op1_html_extraction(spark, DATA).collect()}
     assert got.keys() == html.keys()
     assert got == {p: (t := plain_page(h), len(t)) for p, h in html.items()}
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_toxic_words_in_long_and_joined_tokens():
+    matcher = toxicity.Matcher({"stupid": (1, False), "idiot": (1, False), "scum": (0, False)}, frozenset({"idio"}))
+    assert [matcher[t] for t in ("stupid,idiot", "nice/idiot.", "x_scum", "stupyd...table", "well-known", "idio,x")] == [1, 1, 1, 2, 0, 0]
+    assert matcher["abc" * 30 + "stupid" + "xyz" * 30] == 2 and matcher["abc" * 300] == 0 and matcher["a," * 100 + "scum"] == 1
+
+
+def test_scores_against_plain_edit_distances():
+    rng = random.Random(4)
+    entries = {"stupid": (1, False), "idiot": (1, False), "disgusting": (2, False), "scum": (0, False)}
+    ordinary = frozenset({"idiom", "studio"})
+    model = toxicity.Model(entries, ordinary, np.array([2.0, 1.0, 0.1, 0.5, 0.0]), -3.0)
+    words = [*entries, *ordinary, "stupyd", "idoit", "dsgustng", "scam", "table", "green", "said", "it", "disgustng", "ideot"]
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
+        tokens = text.split()
+        exact = near = quoted = 0.0
+        for at, token in enumerate(tokens):
+            fits = [d for w, (most, _) in entries.items() if (d := edit_distance(token, w)) <= most]
+            if fits and not (min(fits) and token in ordinary):
+                q = 0.6 * any(t in toxicity.REPORTING for t in tokens[max(0, at - 6) : at])
+                quoted += q
+                exact, near = (exact + 1 - q, near) if min(fits) == 0 else (exact, near + 1 - q)
+        hits = exact + near
+        x = -3 + 2 * math.log1p(exact) + math.log1p(near) + 0.1 * math.log1p(quoted) + 0.5 * (hits / (hits + 0.002 * len(tokens)) if hits else 0)
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-9), text
