@@ -19,10 +19,10 @@ a block's size are cut into blocks, and each pair of blocks is a task of its own
 spread and none is cut short; no link between different components is lost.
 
 Defined results: a null or wordless text has the empty set, 0 shingles, and links with nothing; a
-text with fewer words than a shingle is one shingle of all of them. A doc_id names a document: rows
-that share one share a node, and each row is returned. Rows with a null doc_id are members of
-their class but never name it; a class of nulls only links with nothing and is kept. Other columns
-are ignored. An empty table gives an empty result.
+text with fewer words than a shingle is one shingle of all of them. Rows that share a doc_id are rows
+of their own, each with the component of its text. Rows with a null doc_id are members of their class
+but never name it; a component of nulls only has a null name, and its rows count as kept. Other
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ MOST_BITS = 81
 PERCENT = 80
 #: Up to this many ids (8 bytes each, counted first) a broadcast list picks rows.
 BROADCAST_IDS = 2_000_000
-#: Rows of a block of a bucket, and documents of a block of a group: a group has about SPREAD blocks within the bounds.
+#: Rows of a block of a bucket, and documents of a block of a group: a group has about SPREAD blocks within the bounds,
+#: and more where its texts are long: about BLOCK_SHINGLES shingles go into one.
+BLOCK_SHINGLES = 400_000
 BUCKET_BLOCK = 2_048
 SPREAD, LEAST_BLOCK, MOST_BLOCK = 16, 128, 1_024
 _CACHE_WORDS = 300_000
@@ -123,7 +125,7 @@ def similarity(bits: np.ndarray | int, k: int = BANDS * ROWS, n: int = SKETCH_BI
     return 1 + n / (4 * k) * np.log(np.maximum(1e-9, 1 - 2 * np.asarray(bits) / n))
 
 
-_SIGNATURE = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+_SIGNATURE = "doc_id bigint, print bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 _WORDS = ("s0", "s1", "s2", "s3")
 
 
@@ -132,6 +134,7 @@ def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
+            prints = batch.column(2)
             for a, b, texts in slices(batch.column(1), 2_000):
                 sets = [shingles(t, size) for t in texts.to_pylist()]
                 samples = np.array([minhash(s) for s in sets])
@@ -140,16 +143,16 @@ def _sign(size: int):
                 keys = bands(samples)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, *(pa.array(np.ascontiguousarray(c)) for c in odd_sketches(samples).T)],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands", *_WORDS],
+                    [ids[a:b], prints[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, *(pa.array(np.ascontiguousarray(c)) for c in odd_sketches(samples).T)],
+                    names=["doc_id", "print", "n_shingles", "h1", "h2", "bands", *_WORDS],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """One row per row of (doc_id, text): set size, set identity, band buckets, sketch."""
-    return docs.mapInArrow(_sign(size), _SIGNATURE)
+    """One row per row of (doc_id, text): hash of the text, set size, set identity, band buckets, sketch."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(_sign(size), _SIGNATURE)
 
 
 def _block_pairs(rows: DataFrame, key: str, of: str, parts: Column) -> DataFrame:
@@ -312,68 +315,93 @@ def _by_cell(rows: DataFrame, *columns: str) -> DataFrame:
 
 def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning forest, per task, of all pairs that share a bucket and whose sketches pass."""
-    members = nodes.select("rep", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     rows = members.join(shared, "bucket")
-    cells = _block_pairs(rows, "bucket", "rep", F.ceil(F.col("many") / BUCKET_BLOCK)).select("rep", "cell", "side")
-    cells = cells.join(nodes.select("rep", "n_shingles", *_WORDS), "rep")
-    return _by_cell(cells, "rep", "n_shingles", *_WORDS).mapInArrow(_sketched(percent), "a bigint, b bigint")
+    cells = _block_pairs(rows, "bucket", "node", F.ceil(F.col("many") / BUCKET_BLOCK)).select("node", "cell", "side")
+    cells = cells.join(nodes.select("node", "n_shingles", *_WORDS), "node")
+    return _by_cell(cells, "node", "n_shingles", *_WORDS).mapInArrow(_sketched(percent), "a bigint, b bigint")
+
+
+def _picked(docs: DataFrame, asked: DataFrame, how: str, doc: str = "doc_id", text: str = "print") -> DataFrame:
+    """Rows of ``docs`` by doc_id and hash of text, where ``asked`` has (ask_id, ask_print): a broadcast list up to a counted bound."""
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    return docs.join(asked, docs[doc].eqNullSafe(asked["ask_id"]) & (docs[text] == asked["ask_print"]), how)
 
 
 def confirmed_edges(groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest, per cell, of the exact links within each group; ``groups`` is (node, component), saved."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
+    """(a, b): a spanning forest, per cell, of the exact links within each group.
+
+    ``groups`` is (node, component, n_shingles, ask_id, ask_print), saved; ``docs`` is (doc_id, text, print).
+    """
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("many"), F.sum("n_shingles").alias("shingles"))
     block = F.least(F.greatest(F.ceil(F.col("many") / SPREAD), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
-    cells = _block_pairs(groups.join(sizes, "component"), "component", "node", F.ceil(F.col("many") / block)).select("node", "cell", "side")
-    asked = groups.select(F.col("node").alias("asked"))
-    if groups.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    # one text a node, even where rows repeat a doc_id
-    texts = docs.join(asked, docs["doc_id"] == asked["asked"], "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    return _by_cell(cells.join(texts, cells["node"] == texts["doc_id"]), "node", "text").mapInArrow(_confirmed(size, percent), "a bigint, b bigint")
+    parts = F.greatest(F.ceil(F.col("many") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    cells = _block_pairs(groups.select("node", "component").join(sizes, "component"), "component", "node", parts).select("node", "cell", "side")
+    asked = groups.select("node", "ask_id", "ask_print")
+    # one text a class, even where rows repeat
+    texts = _picked(docs, asked, "inner").groupBy("node").agg(F.max("text").alias("text")).withColumnRenamed("node", "of")
+    return _by_cell(cells.join(texts, cells["node"] == texts["of"]), "node", "text").mapInArrow(_confirmed(size, percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
-    scratch = scratch or Scratch(docs.sparkSession, "neardup")
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _grouped(docs: DataFrame, shingle_words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(signed rows, classes with their component and its name); a class is a set that some rows have. Both saved."""
     signed = scratch.save(signatures(docs, shingle_words), "signed")
-
     first = [F.first(c).alias(c) for c in ("n_shingles", "bands", *_WORDS)]
-    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *first)
-    classes = scratch.save(classes, "classes")
-    nodes = classes.where("rep is not null")
+    named = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "print")).alias("voice")  # a row whose text stands for the class
+    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(named, *first)
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")  # numbers hold once saved
+
+    candidates = scratch.save(candidate_edges(classes, percent), "candidates")
+    labels = components(candidates, scratch, "cc-candidates").withColumnRenamed("node", "of")
+    asked = classes.select("node", "n_shingles", F.col("voice.doc_id").alias("ask_id"), F.col("voice.print").alias("ask_print"))
+    groups = scratch.save(asked.join(labels, asked["node"] == labels["of"]).drop("of"), "groups")
+    links = scratch.save(confirmed_edges(groups, docs.withColumn("print", F.xxhash64("text")), shingle_words, percent), "links")
+    scratch.drop("candidates", "groups")
+    labels = components(links, scratch, "cc-links").withColumnRenamed("node", "of")
+
+    joined = classes.select("h1", "h2", "node", "voice").join(labels, classes["node"] == labels["of"], "left").select("h1", "h2", "voice", F.coalesce("component", "node").alias("component"))
+    joined = scratch.save(joined, "joined")
+    scratch.drop("classes", "links")
+    chosen = joined.groupBy("component").agg(F.min("voice").alias("chosen"))
+    named = scratch.save(joined.drop("voice").join(chosen, "component"), "named")
+    scratch.drop("joined")
+    return signed, named
+
 
-    candidates = scratch.save(candidate_edges(nodes, percent), "candidates")
-    groups = scratch.save(components(candidates, scratch, "cc-candidates"), "groups")
-    links = scratch.save(confirmed_edges(groups, docs, shingle_words, percent), "links")
-    labels = components(links, scratch, "cc-links")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    named = nodes.select("h1", "h2", "rep").join(labels, nodes["rep"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    named = scratch.save(named, "named")
+
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    scratch = scratch or Scratch(docs.sparkSession, "neardup")
+    signed, named = _grouped(_texts(docs, id_col, text_col), shingle_words, percent, scratch)
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     # the empty set has an identity too, but no class
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("chosen.doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group. Texts of kept rows are not shuffled when ids are unique.
+def deduplicate(docs: DataFrame, *, shingle_words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: one row of each component, the one with the least doc_id, nulls last, and all rows without words.
 
-    Rows that repeat a doc_id are thinned to one per doc_id; rows with a null doc_id stay.
+    Texts of kept rows are not shuffled unless the kept row of some component is repeated.
     """
     scratch = scratch or Scratch(docs.sparkSession, "neardup")
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, scratch=scratch, **options)
-    found = scratch.save(found, "result")
-    gone = found.where("not kept").select(F.col("doc_id").alias("dedup_gone")).distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    stays = docs.join(gone, docs[id_col] == gone["dedup_gone"], "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("dedup_again"))
-    if repeated.limit(1).count():
-        again = stays.join(repeated, stays[id_col] == repeated["dedup_again"], "left_semi").dropDuplicates([id_col])
-        stays = stays.join(repeated, stays[id_col] == repeated["dedup_again"], "left_anti").unionByName(again)
-    return stays.select(*[f"`{c}`" for c in docs.columns])
+    signed, named = _grouped(_texts(docs, id_col, text_col), shingle_words, percent, scratch)
+    rows = signed.where("n_shingles > 0").select("doc_id", "print", "h1", "h2").join(named, ["h1", "h2"])
+    stays = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("print") == F.col("chosen.print"))
+    found = scratch.save(rows.groupBy("doc_id", "print").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("many")), "result")
+    asked = lambda which: found.where(which).select(F.col("doc_id").alias("ask_id"), F.col("print").alias("ask_print"))
+    id_, print_ = (f"dedup_{n}" + "_" * max(map(len, docs.columns)) for n in ("id", "print"))  # longer than any name there
+    keyed = docs.select("*", F.col(f"`{id_col}`").cast("bigint").alias(id_), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias(print_))
+    kept = _picked(keyed, asked("not stays"), "left_anti", id_, print_)
+    if found.where("stays and many > 1").limit(1).count():
+        again = _picked(kept, asked("stays and many > 1"), "left_semi", id_, print_).dropDuplicates([id_, print_])
+        kept = _picked(kept, asked("stays and many > 1"), "left_anti", id_, print_).unionByName(again)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 SQL = r"""
