@@ -133,13 +133,12 @@ def price_limit(price: Column, first: Column, second: Column) -> Column:
 
     ``first`` and ``second`` are draws in [0, 1). Fewer than two multiples: no limit.
     """
-    above = F.filter(F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: i * F.lit(10.0)), lambda p: p > price)
-    above = F.slice(above, 1, 4)
-    n = F.size(above)
+    least = F.greatest(F.floor(price / 10) + 1, F.lit(1))  # tens: the first multiple above the price
+    n = F.coalesce(F.when(price < 990, F.least(F.lit(4), 100 - least)), F.lit(0))
     a = F.floor(first * n).cast("int")
     b = F.floor(second * (n - 1)).cast("int")
     b = F.when(b >= a, b + 1).otherwise(b)  # two different places
-    upper = F.when(n >= 2, F.get(above, F.greatest(a, b))).otherwise(1_000_000.0)
+    upper = F.when(n >= 2, (least + F.greatest(a, b)) * F.lit(10.0)).otherwise(1_000_000.0)
     return F.struct(upper.alias("upper"), F.when(n >= 2, F.concat(F.lit(", and price lower than "), F.format_string("%.2f", upper), F.lit(" dollars"))).otherwise("").alias("text"))
 
 
@@ -167,15 +166,17 @@ def option_combinations(options: Column) -> Column:
 def synthetic_goals(products: DataFrame, limit: Column) -> DataFrame:
     """One goal per combination of option values; a goal's weight is the mean of 1 / (uses of the attribute in all goals).
 
-    The uses are counted over all goals first and joined back: attributes are many, goals per attribute unbounded.
+    A product has as many goals as its options have combinations, so uses are counted without making the goals, and
+    joined back: attributes are many, goals per attribute unbounded.
     """
-    rows = products.withColumn("limit", limit).withColumn("choice", F.explode(option_combinations(F.col("options"))))
-    text = F.concat("instruction_text", F.when(F.size("choice") > 0, F.concat(F.lit(" with "), F.array_join("choice", ", and "))).otherwise(""), F.col("limit.text"))
-    goals = rows.select("asin", "choice", "attributes", text.alias("instruction_text"), F.col("limit.upper").alias("price_upper"))
-    used = goals.groupBy("asin", "attributes").agg(F.count(F.lit(1)).alias("many")).select("many", F.explode("attributes").alias("attribute")).groupBy("attribute").agg(F.sum("many").alias("uses"))
+    choices = option_combinations(F.col("options"))
+    many = F.aggregate(F.map_values("options"), F.lit(1).cast("bigint"), lambda n, values: n * F.size(values))
+    used = products.select(many.alias("many"), F.explode("attributes").alias("attribute")).groupBy("attribute").agg(F.sum("many").alias("uses"))
     each = products.select("asin", F.explode("attributes").alias("attribute")).join(used, "attribute")
     weights = each.groupBy("asin").agg(F.avg(1 / F.col("uses")).alias("weight"))
-    return goals.join(weights, "asin")
+    rows = products.withColumn("limit", limit).withColumn("choice", F.explode(choices)).join(weights, "asin")
+    text = F.concat("instruction_text", F.when(F.size("choice") > 0, F.concat(F.lit(" with "), F.array_join("choice", ", and "))).otherwise(""), F.col("limit.text"))
+    return rows.select("asin", "choice", "attributes", text.alias("instruction_text"), F.col("limit.upper").alias("price_upper"), "weight")
 
 
 def normalise_color(text: Column) -> Column:

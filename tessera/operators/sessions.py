@@ -12,10 +12,26 @@ def parse_action(action: Column) -> Column:
     return F.struct(F.when(action.rlike(pattern), F.regexp_extract(action, pattern, 1)).otherwise(action).alias("name"), F.when(action.rlike(pattern), F.regexp_extract(action, pattern, 2)).alias("arg"))
 
 
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_ITEM = rf"""{_QUOTED}|[^\s,'"\[\]]+"""
+
+
 def parse_keywords(text: Column) -> Column:
-    """A list literal as its items, anything else as one item."""
-    literal = F.from_json(F.regexp_replace(text, "'", '"'), "array<string>")
-    return F.when(text.startswith("["), literal).otherwise(F.array(text))
+    """A list literal as its items, anything else as one item; null for a list that is none.
+
+    Items are texts in either quotation marks, which may hold the other kind and escaped marks, or bare numbers and names.
+    """
+    backslash = F.lit("\u0001")  # stands for an escaped one while the others are read
+
+    def bare(item: Column) -> Column:
+        inner = F.replace(F.substr(item, F.lit(2), F.length(item) - 2), F.lit("\\\\"), backslash)
+        for written, meant in (("\\'", "'"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t")):
+            inner = F.replace(inner, F.lit(written), F.lit(meant))
+        return F.when(item.rlike("^['\"]"), F.replace(inner, backslash, F.lit("\\"))).otherwise(item)
+
+    whole = text.rlike(rf"(?s)^\[\s*(?:(?:{_ITEM})\s*(?:,\s*(?:{_ITEM})\s*)*,?\s*)?\]\s*$")
+    items = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s){_ITEM}"), F.lit(0)), bare)
+    return F.when(~text.startswith("["), F.array(text)).when(whole, items)
 
 
 def parse_page(text: Column) -> Column:

@@ -24,10 +24,15 @@ def build(steps: DataFrame, *, tree_id: str, parent: str, order: list[str]) -> D
     return steps.withColumn("node_id", F.row_number().over(ids)).withColumn("child_idx", F.row_number().over(siblings) - 1)
 
 
-def ancestors(edges: DataFrame, max_depth: int = 40) -> DataFrame:
-    """Per node: path, its ancestors from the parent up to the root. Deeper trees need a greater max_depth."""
+def ancestors(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Per node: path, its ancestors from the parent up to the root.
+
+    ``max_depth`` bounds the number of ancestors of any node; without it, the column depth says how many there are.
+    """
+    if max_depth is None:
+        max_depth = edges.agg(F.max("depth")).first()[0] or 0
     path = edges.select(*KEYS, F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(F.array().cast("array<bigint>")).alias("path"))
-    for _ in range(math.ceil(math.log2(max(2, max_depth)))):
+    for _ in range(math.ceil(math.log2(max(1, max_depth)))):
         above = path.select(F.col("tree_id").alias("t"), F.col("node_id").alias("last"), F.col("path").alias("more")).where(F.size("path") > 0)
         joined = path.join(above, (F.col("tree_id") == F.col("t")) & (F.try_element_at("path", F.lit(-1)) == F.col("last")), "left")
         path = joined.select(*KEYS, F.when(F.col("more").isNotNull(), F.concat("path", "more")).otherwise(F.col("path")).alias("path"))
@@ -46,7 +51,7 @@ def _leaf_paths(edges: DataFrame, max_depth: int) -> DataFrame:
     return paths.select("tree_id", F.col("node_id").alias("leaf_id"), "depth", "leaf_reward", F.posexplode(F.concat(F.array("node_id"), F.col("path"))).alias("dist", "node_id"))
 
 
-def q_backup(edges: DataFrame, gamma: float = GAMMA, max_depth: int = 40) -> DataFrame:
+def q_backup(edges: DataFrame, gamma: float = GAMMA, max_depth: int | None = None) -> DataFrame:
     """(tree_id, node_id, q_value): leaves keep their reward (null is 0), inner rewards are 0, Q = gamma * best child's Q.
 
     As gamma is positive, the best child's Q is the greatest discounted leaf reward below.
@@ -55,12 +60,12 @@ def q_backup(edges: DataFrame, gamma: float = GAMMA, max_depth: int = 40) -> Dat
     return reached.groupBy(*KEYS).agg(F.max(F.pow(F.lit(gamma), F.col("dist")) * F.col("leaf_reward")).alias("q_value"))
 
 
-def mean_leaf_reward(edges: DataFrame, max_depth: int = 40) -> DataFrame:
+def mean_leaf_reward(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(tree_id, node_id, mean_reward): the mean over all leaves below a node, null leaves counting 0."""
     return _leaf_paths(edges, max_depth).groupBy(*KEYS).agg(F.avg("leaf_reward").alias("mean_reward"))
 
 
-def pseudo_depth_backup(edges: DataFrame, gamma: float = GAMMA, height: int = 5, max_depth: int = 40) -> DataFrame:
+def pseudo_depth_backup(edges: DataFrame, gamma: float = GAMMA, height: int = 5, max_depth: int | None = None) -> DataFrame:
     """(tree_id, node_id, q_value): mean leaf rewards backed up; a leaf above the last level counts as if it went on.
 
     A leaf at depth d has h = height - d levels left: Q = r (1 - gamma^h) / (1 - gamma) where h > 1, else r.
@@ -81,7 +86,7 @@ def flatten(edges: DataFrame, labels: DataFrame, label: str = "q_value") -> Data
     return edges.where("parent_id is not null").join(labels, KEYS).where(F.col(label).isNotNull()).select(*KEYS, "action", F.col(label).alias("label"))
 
 
-def conversations(edges: DataFrame, max_depth: int = 40) -> DataFrame:
+def conversations(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Per node but the root: the actions from the root's child down to it, as one array."""
     paths = edges.where("parent_id is not null").select(*KEYS, "action").join(ancestors(edges, max_depth), KEYS)
     on_path = paths.select(*KEYS, F.posexplode(F.concat(F.array("node_id"), F.col("path"))).alias("dist", "on_id"))
@@ -118,7 +123,7 @@ def merge_expert_branches(edges: DataFrame, key) -> DataFrame:
     return moved.withColumn("parent_id", F.coalesce("expert_id", "parent_id")).drop("t", "old", "expert_id")
 
 
-def dedup_siblings(edges: DataFrame, key, max_depth: int = 40) -> DataFrame:
+def dedup_siblings(edges: DataFrame, key, max_depth: int | None = None) -> DataFrame:
     """The first of siblings with one key stays; whatever hangs below a dropped node goes too."""
     rank = F.row_number().over(Window.partitionBy("tree_id", "parent_id", key).orderBy("child_idx", "node_id"))
     marked = edges.withColumn("dropped", F.col("parent_id").isNotNull() & (rank > 1))
@@ -133,7 +138,7 @@ def node_statistics(nodes: DataFrame, columns: list[str], by: str = "tree_id") -
     return nodes.groupBy(by).agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))))
 
 
-def top_paths(edges: DataFrame, values: DataFrame, k: int = 3, max_depth: int = 40) -> DataFrame:
+def top_paths(edges: DataFrame, values: DataFrame, k: int = 3, max_depth: int | None = None) -> DataFrame:
     """The k root-to-leaf paths of a tree with the greatest sum of q_value, the root's included."""
     reached = _leaf_paths(edges, max_depth).join(values, KEYS)
     sums = reached.groupBy("tree_id", "leaf_id").agg(F.sum("q_value").alias("total_q"), F.count(F.lit(1)).alias("length"))
@@ -143,7 +148,7 @@ def top_paths(edges: DataFrame, values: DataFrame, k: int = 3, max_depth: int =
 
 def expandable(edges: DataFrame, min_prune_depth: int, max_depth: int, least_reward: float = 0.01) -> DataFrame:
     """Nodes to expand next: below ``min_prune_depth``, down to ``max_depth``, on a roll-out that ended above the reward."""
-    ends = _leaf_paths(edges, max(max_depth, 40)).where(F.col("leaf_reward") > least_reward)
+    ends = _leaf_paths(edges, None).where(F.col("leaf_reward") > least_reward)
     good = ends.select(*KEYS).distinct()
     return edges.join(good, KEYS, "left_semi").where((F.col("depth") > min_prune_depth) & (F.col("depth") <= max_depth))
 

@@ -53,15 +53,15 @@ def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c04_role_map_lenient",
     v.with_views(
-        "gapped_turns",
-        """WITH a AS (SELECT conv_id, turn, role, trim(text) AS text, coalesce(lag(role) OVER w <> role, true)::INT AS fresh FROM gapped_turns WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        "relabelled_turns",
+        """WITH a AS (SELECT conv_id, turn, role, trim(text) AS text, coalesce(lag(role) OVER w <> role, true)::INT AS fresh FROM relabelled_turns WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
         b AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM a),
         c AS (SELECT conv_id, island, any_value(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS value FROM b GROUP BY 1, 2)
         SELECT conv_id, (island - 1)::BIGINT AS turn, CASE WHEN role = 'user' THEN 'human' ELSE 'gpt' END AS "from", value, NOT max(island = 1 AND role <> 'user') OVER (PARTITION BY conv_id) AS valid FROM c""",
     ),
 )
 def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cv.role_map_lenient(v.gapped_turns(spark, sf_dir))
+    return cv.role_map_lenient(v.relabelled_turns(spark, sf_dir))
 
 
 @query(

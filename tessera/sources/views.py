@@ -128,12 +128,17 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["turns"] = "SELECT conv_id, turn, role, text FROM conversations"
 
 
-def gapped_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns without every third one, so that some neighbours have one role."""
-    return turns(spark, sf_dir).where("turn % 3 <> 1")
+def relabelled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns, every third one with the role of the turn before it, so that some neighbours have one role."""
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    role = F.when((F.col("turn") % 3 == 2) & (before != "system"), before).otherwise(F.col("role"))
+    return turns(spark, sf_dir).select("conv_id", "turn", role.alias("role"), "text")
 
 
-SQL["gapped_turns"] = "SELECT conv_id, turn, role, text FROM conversations WHERE turn % 3 <> 1"
+SQL["relabelled_turns"] = """
+SELECT conv_id, turn, CASE WHEN turn % 3 = 2 AND before <> 'system' THEN before ELSE role END AS role, text
+FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+"""
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,3 +207,35 @@ def test_last_token_index(spark):
     rows = spark.createDataFrame([([5, 6, 0],), ([5, 6, 7],), ([0, 0, 0],)], "ids array<int>")
     assert [r.a for r in rows.select(model_math.last_token_index(F.col("ids"), 0).alias("a")).collect()] == [1, 2, 2]
     assert [r.a for r in rows.select(model_math.last_index_clamped(F.col("ids"), 0, 3).alias("a")).collect()] == [1, 2, 0]
+
+
+def test_list_literals(spark):
+    from ast import literal_eval
+
+    texts = ["""["it's", "b"]""", r"""['it\'s', 'b']""", "['a, b', \"c]\"]", "[]", "[ 'x' , ]", r"""['a\\n', "t\tb", 'say "hi"']""", "['']"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "plain words", "['open", "['a' 'b'"])], "i int, t string")
+    got = {r.i: r.k for r in rows.select("i", sessions.parse_keywords(F.col("t")).alias("k")).collect()}
+    assert [got[i] for i in range(len(texts))] == [literal_eval(t) for t in texts]
+    assert [got[len(texts) + i] for i in range(3)] == [["plain words"], None, None]
+
+
+def test_trees_of_any_depth(spark):
+    deep = [(1, k, k - 1 if k > 1 else None, k - 1, 1.0 if k == 101 else 0.0) for k in range(1, 102)] + [(2, 1, None, 0, 5.0)]
+    edges = spark.createDataFrame(deep, "tree_id int, node_id bigint, parent_id bigint, depth int, reward double")
+    got = {(r.tree_id, r.node_id): r.q_value for r in trees.q_backup(edges).collect()}
+    assert len(got) == 102 and got[2, 1] == 5.0
+    assert all(abs(got[1, k] - 0.9 ** (101 - k)) < 1e-12 for k in range(1, 102))
+
+
+def test_price_limit_against_a_list_of_tens(spark):
+    prices = [None, -5.0, 0.0, 9.99, 10.0, 15.0, 955.0, 960.0, 969.5, 970.0, 979.0, 980.0, 990.0, 5000.0, float("nan"), float("inf")]
+    rows = [(p, a / 10, b / 10) for p in prices for a in range(0, 10, 3) for b in range(0, 10, 3)]
+    df = spark.createDataFrame(rows, "p double, a double, b double")
+    for r in df.select("*", catalogue.price_limit(F.col("p"), F.col("a"), F.col("b")).alias("l")).collect():
+        above = [x * 10.0 for x in range(1, 100) if r.p is not None and x * 10.0 > r.p][:4]
+        if len(above) < 2:
+            assert (r.l.upper, r.l.text) == (1_000_000.0, "")
+        else:
+            first, second = int(r.a * len(above)), int(r.b * (len(above) - 1))
+            upper = max(above[first], above[second + (second >= first)])
+            assert r.l.upper == upper and r.l.text == f", and price lower than {upper:.2f} dollars"
