@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from conftest import DATA
+from helpers import documents, empty_documents
 from test_pii import plain_spans
 from test_text import brute_groups
 
@@ -44,3 +45,22 @@ def test_stages(spark):
     again = corpus_pipeline.run(spark, DATA)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, again.select(*key).collect())) == sorted(map(tuple, after.select(*key).collect()))
+
+
+def test_edge_cases(spark, tmp_path):
+    docs = documents(spark, [(40, "mail a@b.co and 1.2.3.4 now", None, None, None), (40, "mail a@b.co and 1.2.3.4 now", "de", None, 7)])
+    columns = docs.columns + ["pii_email", "mix_whole", "print", "node"]
+    for n in columns[len(docs.columns) :]:
+        docs = docs.selectExpr("*", f"1 as {n}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, None, int(i == 3)) for i in range(12)] + [(None, 1, 1), (5, 0, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        current = stage(spark, current, str(tmp_path))
+        assert current.columns == columns, name
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} <= {r.doc_id for r in docs.collect()} and max(r.offset + r.length for r in packed) <= 2048
+    assert 26 in {r.doc_id for r in packed} or 25 in {r.doc_id for r in packed}  # long texts
+    empty_documents(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
