@@ -24,6 +24,7 @@ repeated rows give repeated results; null ids stay null; other columns are ignor
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
@@ -67,87 +68,119 @@ _CUES = {
 }
 _ANTI = r"(?i)order|invoice|isbn|issn|ref|version|\bv\.?$|serial|\bid\b|\bno\b|part|article|build|page|score|price|total|€|\$|£|tracking|account|code|sum|result|section|chapter|lat|lon|date|time|since|between|from"
 
-_SPAN = "array<struct<start:int,end:int,hit:string>>"
-
-
-_NONE = f"cast(array() as {_SPAN})"
+_NONE = "cast(array() as array<struct<start:int,end:int,hit:string>>)"
 #: Values of a block of a running sum, and characters of a piece of text.
 _BLOCK, _PIECE = 256, 512
 
+# Expressions are SQL text: as columns, tens of thousands of calls into the JVM took 15 to 20 s for each plan.
+_names = itertools.count()
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _with(use, n: int = 1) -> str:
+    """A lambda of ``n`` arguments with names of its own."""
+    names = [f"v{next(_names)}" for _ in range(n)]
+    return f"({', '.join(names)}) -> {use(*names)}" if n > 1 else f"{names[0]} -> {use(*names)}"
+
+
+def _each(values: str, use, n: int = 1) -> str:
+    return f"transform({values}, {_with(use, n)})"
+
+
+def _where(values: str, use, n: int = 1) -> str:
+    return f"filter({values}, {_with(use, n)})"
+
+
+def _zip(a: str, b: str, use) -> str:
+    return f"zip_with({a}, {b}, {_with(use, 2)})"
+
 
-def _let(value: Column, use) -> Column:
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _let(value: str, use) -> str:
     """``use`` of a value that is computed once, however often ``use`` reads it."""
-    return F.transform(F.array(value), use)[0]
+    return f"{_each(f'array({value})', use)}[0]"
 
 
-def _scan(values: Column, add, start: Column) -> Column:
+def _scan(values: str, add, start: str) -> str:
     """Running results of ``add`` over an array of ints, in blocks, so that no long array is built element by element."""
 
-    def run(some: Column, first: Column) -> Column:
-        state = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-        return F.aggregate(some, state, lambda s, x: _let(add(s["at"], x), lambda y: F.struct(y.alias("at"), F.concat(s["out"], F.array(y)).alias("out"))), lambda s: s["out"])
+    def run(some: str, first: str) -> str:
+        step = _with(lambda s, x: _let(add(f"{s}.at", x), lambda y: _struct(at=y, out=f"concat({s}.out, array({y}))")), 2)
+        return f"aggregate({some}, {_struct(at=first, out='cast(array() as array<int>)')}, {step}, {_with(lambda s: f'{s}.out')})"
 
-    def long(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))
+    def long(v: str) -> str:
+        blocks = _each(f"sequence(0, cast(floor((size({v}) - 1) / {_BLOCK}) as int))", lambda b: f"slice({v}, {b} * {_BLOCK} + 1, {_BLOCK})")
         # each block's own run, then what comes before each block
-        done = F.transform(blocks, lambda some: run(some, start))
-        before = lambda d: F.concat(F.array(start), run(F.transform(d, lambda r: F.element_at(r, -1)), start))
-        return _let(done, lambda d: F.flatten(F.zip_with(d, F.slice(before(d), F.lit(1), F.size(d)), lambda r, first: F.transform(r, lambda x: add(first, x)))))
+        done = _each(blocks, lambda some: run(some, start))
+        before = lambda d: f"concat(array({start}), {run(_each(d, lambda r: f'element_at({r}, -1)'), start)})"
+        return _let(done, lambda d: f"flatten({_zip(d, f'slice({before(d)}, 1, size({d}))', lambda r, first: _each(r, lambda x: add(first, x)))})")
+
+    return _let(values, lambda v: f"if(size({v}) <= {_BLOCK}, {run(v, start)}, {long(v)})")
+
 
-    return _let(values, lambda v: F.when(F.size(v) <= _BLOCK, run(v, start)).otherwise(long(v)))
+def _plus(a: str, b: str) -> str:
+    return f"{a} + {b}"
 
 
-def _plus(a: Column, b: Column) -> Column:
-    return a + b
+def _greatest(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def _least(a: str, b: str) -> str:
+    return f"least({a}, {b})"
+
+
+def matches(text: str, pattern: str) -> str:
     """Every match of a pattern that cannot be empty, in order, with its place in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = _quoted(pattern)
 
-    def placed(h: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h))
-        ends = _scan(F.zip_with(h, gaps, lambda x, gap: F.length(gap) + F.length(x)), _plus, F.lit(0))
-        return F.zip_with(h, ends, lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("hit")))
+    def placed(h: str) -> str:
+        gaps = f"slice(split({text}, {pattern}, -1), 1, size({h}))"
+        ends = _scan(_zip(h, gaps, lambda x, gap: f"length({gap}) + length({x})"), _plus, "0")
+        return _zip(h, ends, lambda x, end: _struct(start=f"{end} - length({x})", end=end, hit=x))
 
-    return _let(hits, lambda h: F.when(F.size(h) == 0, F.expr(_NONE)).otherwise(placed(h)))
+    return _let(f"regexp_extract_all({text}, {pattern}, 0)", lambda h: f"if(size({h}) = 0, {_NONE}, {placed(h)})")
 
 
-def pieces_of(text: Column) -> Column:
+def pieces_of(text: str) -> str:
     """A text in pieces of as many code points each, but for the last."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return f"regexp_extract_all({text}, '(?s).{{1,{_PIECE}}}', 0)"
 
 
-def part_of(pieces: Column, start: Column, length: Column) -> Column:
+def part_of(pieces: str, start: str, length: str) -> str:
     """The part of a text, given in pieces, from a place on, of any length from 0."""
-    first, last = F.floor(start / _PIECE).cast("int"), F.floor((start + length) / _PIECE).cast("int")
-    return F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * _PIECE + 1, length)
+    first, last = f"cast(floor(({start}) / {_PIECE}) as int)", f"cast(floor((({start}) + {length}) / {_PIECE}) as int)"
+    return f"substr(array_join(slice({pieces}, {first} + 1, {last} - {first} + 1), ''), {start} - {first} * {_PIECE} + 1, {length})"
 
 
-def _digits(hit: Column) -> Column:
-    return F.regexp_replace(hit, "[^0-9]", "")
+def _digits(hit: str) -> str:
+    return f"regexp_replace({hit}, '[^0-9]', '')"
 
 
-def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
+def luhn(digits: str) -> str:
+    """Whether a string of digits, read often, passes the Luhn check."""
 
-    def add(total: Column, i: Column) -> Column:
-        value = F.substr(digits, i, F.lit(1)).cast("int")
-        doubled = value * 2 - F.when(value > 4, 9).otherwise(0)
-        return total + F.when((F.length(digits) - i) % 2 == 1, doubled).otherwise(value)
+    def add(total: str, i: str) -> str:
+        return _let(f"cast(substr({digits}, {i}, 1) as int)", lambda v: f"{total} + if((length({digits}) - {i}) % 2 = 1, {v} * 2 - if({v} > 4, 9, 0), {v})")
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), add) % 10 == 0
+    return f"aggregate(sequence(1, greatest(length({digits}), 1)), 0, {_with(add, 2)}) % 10 = 0"
 
 
-def _valid(kind: str, hit: Column) -> Column:
+def _valid(kind: str, hit: str) -> str:
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-        return hit.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
+        return f"rlike({hit}, {_quoted(rf'^{part}\.{part}\.{part}\.{part}$')})"
     if kind == "card":
-        return luhn(_digits(hit))
+        return _let(_digits(hit), luhn)
     if kind == "phone":
-        return F.length(_digits(hit)).between(9, 15)
-    return F.lit(True)
+        return f"length({_digits(hit)}) between 9 and 15"
+    return "true"
 
 
 def _marked(kind: str) -> tuple[str, str]:
@@ -155,63 +188,63 @@ def _marked(kind: str) -> tuple[str, str]:
     return {"email": "@", "ip": ".", "phone": "+"}.get(kind, ""), _BASE[kind]
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def base_spans(text: str, kind: str) -> str:
     """The base spans of one kind in a text that is not null."""
     mark, pattern = _marked(kind)
-    found = F.filter(matches(text, pattern), lambda x: _valid(kind, x["hit"]))
-    return F.when(F.contains(text, F.lit(mark)), found).otherwise(F.expr(_NONE)) if mark else found
+    found = _where(matches(text, pattern), lambda x: _valid(kind, f"{x}.hit"))
+    return f"if(contains({text}, '{mark}'), {found}, {_NONE})" if mark else found
 
 
 FEATURES = ("length", "digits", "letters", "luhn", "separators", "separator_kinds", "bracket", "quads", "date", "cue", "anti", "before", "after", "suffix", "lead", "even", "groups")
 
 
-def _features(kind: str, pieces: Column, x: Column) -> list[Column]:
-    hit = x["hit"]
-    before = part_of(pieces, F.greatest(x["start"] - CONTEXT, F.lit(0)), F.least(x["start"], F.lit(CONTEXT)))
-    after = part_of(pieces, x["end"], F.lit(2))
-    digits = _digits(hit)
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    size = lambda c: F.length(c).cast("double")
-    separators = F.regexp_replace(hit, "[^ ./_:-]", "")
-    kinds = sum((flag(F.contains(separators, F.lit(c))) for c in " ./_:-"), F.lit(0.0))
-    groups = F.split(F.regexp_replace(hit, "[^0-9A-Za-z]+", " "), " ", -1)
-    return [
-        size(hit), size(digits), size(F.regexp_replace(hit, "[^A-Za-z]", "")), flag((F.length(digits) > 1) & luhn(digits)), size(separators), kinds,
-        flag(hit.rlike(r"[(\[{<]")), flag(hit.rlike(r"^[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$")),
-        flag(hit.rlike(r"^(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]\b|^[0-3]?[0-9][ ./-][0-3]?[0-9][ ./-](?:19|20)[0-9]{2}\b|^[0-9]{2}:[0-9]{2}:[0-9]{2}")),
-        flag(before.rlike(_CUES[kind])), flag(before.rlike(_ANTI)), flag(before.rlike(r"[A-Za-z0-9$€£#=/_.,+-]$")), flag(after.rlike(r"^(?:[A-Za-z0-9%€£/_=-]|[.,][0-9])")),
-        flag(hit.rlike(r"(?i)(?:\.|dot[)\]}> ]) {0,2}(?:com|org|net|edu|gov|io|info|co|de|fr|es|uk|eu|biz|dev)$")),
-        F.coalesce(F.substr(digits, F.lit(1), F.lit(1)).try_cast("double"), F.lit(-1.0)), flag(digits.rlike(r"^(\d)\1+$")), F.size(groups).cast("double"),
-    ]
-
-
-def _free(spans: Column) -> Column:
-    """Of spans (start, end, base, hit) in order, those that are no base spans and overlap none, each once."""
-    ends = _scan(F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(0)), F.greatest, F.lit(0))
-    far = F.lit(2**31 - 1)
-    starts = F.reverse(_scan(F.reverse(F.transform(spans, lambda s: F.when(s["base"], s["start"]).otherwise(far))), F.least, far))
-    around = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
-    marked = F.zip_with(spans, around, lambda x, a: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), (~x["base"] & (a["e"] <= x["start"]) & (a["s"] >= x["end"])).alias("free")))
-    return _let(F.filter(marked, lambda x: x["free"]), lambda v: F.filter(v, lambda x, i: (i == 0) | (F.get(v, F.greatest(i - 1, F.lit(0))) != x)))
+def _features(kind: str, pieces: str, x: str) -> str:
+    """The features of a candidate as an array, in the order of FEATURES."""
 
+    def listed(v: str) -> str:
+        hit, digits, separators, before, after = (f"{v}.{name}" for name in ("hit", "digits", "separators", "before", "after"))
+        flag = lambda c: f"cast(coalesce({c}, false) as double)"
+        like = lambda c, pattern: flag(f"rlike({c}, {_quoted(pattern)})")
+        size = lambda c: f"cast(length({c}) as double)"
+        kinds = " + ".join(["0.0D", *(flag(f"contains({separators}, '{c}')") for c in " ./_:-")])
+        values = [
+            size(hit), size(digits), size(f"regexp_replace({hit}, '[^A-Za-z]', '')"), flag(f"(length({digits}) > 1 and {luhn(digits)})"), size(separators), kinds,
+            like(hit, r"[(\[{<]"), like(hit, r"^[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"),
+            like(hit, r"^(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]\b|^[0-3]?[0-9][ ./-][0-3]?[0-9][ ./-](?:19|20)[0-9]{2}\b|^[0-9]{2}:[0-9]{2}:[0-9]{2}"),
+            like(before, _CUES[kind]), like(before, _ANTI), like(before, r"[A-Za-z0-9$€£#=/_.,+-]$"), like(after, r"^(?:[A-Za-z0-9%€£/_=-]|[.,][0-9])"),
+            like(hit, r"(?i)(?:\.|dot[)\]}> ]) {0,2}(?:com|org|net|edu|gov|io|info|co|de|fr|es|uk|eu|biz|dev)$"),
+            f"coalesce(try_cast(substr({digits}, 1, 1) as double), -1.0D)", like(digits, r"^(\d)\1+$"), f"cast(size(split(regexp_replace({hit}, '[^0-9A-Za-z]+', ' '), ' ', -1)) as double)",
+        ]
+        return f"array({', '.join(values)})"
 
-def candidates(text: Column, kind: str, base: Column, pieces: Column | None = None) -> Column:
-    """Proposed spans of a kind that overlap no span of ``base``, with their features as array x."""
-    proposed = F.concat(*(matches(text, p) for p in _PROPOSED[kind]))
+    before = part_of(pieces, f"greatest({x}.start - {CONTEXT}, 0)", f"least({x}.start, {CONTEXT})")
+    read = _struct(hit=f"{x}.hit", digits=_digits(f"{x}.hit"), separators=f"regexp_replace({x}.hit, '[^ ./_:-]', '')", before=before, after=part_of(pieces, f"{x}.`end`", "2"))
+    return _let(read, listed)
+
+
+def _free(spans: str) -> str:
+    """Of spans (start, end, base, hit) in order, those that are no base spans and overlap none, each once."""
+    far = str(2**31 - 1)
+    ends = _scan(_each(spans, lambda s: f"if({s}.base, {s}.`end`, 0)"), _greatest, "0")
+    starts = f"reverse({_scan(f'reverse({_each(spans, lambda s: f"if({s}.base, {s}.start, {far})")})', _least, far)})"
+    around = _zip(ends, starts, lambda e, s: _struct(e=e, s=s))
+    marked = _zip(spans, around, lambda x, a: _struct(start=f"{x}.start", end=f"{x}.`end`", hit=f"{x}.hit", free=f"(not {x}.base and {a}.e <= {x}.start and {a}.s >= {x}.`end`)"))
+    return _let(_where(marked, lambda x: f"{x}.free"), lambda v: _where(v, lambda x, i: f"({i} = 0 or get({v}, greatest({i} - 1, 0)) != {x})", 2))
 
-    def marked(own: bool):
-        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("base"), s["hit"].alias("hit"))
 
-    mixed = [F.transform(proposed, marked(False)), F.transform(base, marked(True))]
+def candidates(text: str, kind: str, base: str) -> str:
+    """Proposed spans of a kind that overlap no span of ``base``, with their features as array x."""
 
-    def described(p: Column, found: Column) -> Column:
-        return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array(*_features(kind, p, c)).alias("x")))
+    def marked(spans: str, own: str) -> str:
+        return _each(spans, lambda s: _struct(start=f"{s}.start", end=f"{s}.`end`", base=own, hit=f"{s}.hit"))
 
-    def judged(found: Column) -> Column:
-        return described(pieces, found) if pieces is not None else _let(pieces_of(text), lambda p: described(p, found))
+    def described(found: str) -> str:
+        return _let(pieces_of(text), lambda p: _each(found, lambda c: _struct(start=f"{c}.start", end=f"{c}.`end`", x=_features(kind, p, c))))
 
-    free = _let(F.array_sort(F.concat(*mixed)), _free)
-    return _let(free, judged)
+    none = "cast(array() as array<struct<start:int,end:int,x:array<double>>>)"
+    proposed = f"concat({', '.join(matches(text, p) for p in _PROPOSED[kind])})"
+    free = lambda p: _let(f"array_sort(concat({marked(p, 'false')}, {marked(base, 'true')}))", _free)
+    return _let(proposed, lambda p: f"if(size({p}) = 0, {none}, {_let(free(p), lambda found: f'if(size({found}) = 0, {none}, {described(found)})')})")
 
 
 # Training spans. A text is a list of parts; a marked part is a span and whether it is personal data.
@@ -395,10 +428,9 @@ def detector(spark: SparkSession, texts: int = TRAINING_TEXTS, seed: int = 11) -
     if (texts, seed) not in _detectors:
         given = training_texts(texts, seed)
         rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(given)), "array<struct<text:string,kind:string,start:int,end:int,label:int>>")).alias("r")).select("r.*")
-        none = F.expr(_NONE)
         found = []
         for kind in KINDS:
-            each = rows.where(F.col("kind") == kind).select("start", "end", "label", F.explode(candidates(F.col("text"), kind, none)).alias("c"))
+            each = rows.where(F.col("kind") == kind).select("start", "end", "label", F.explode(F.expr(candidates("text", kind, _NONE))).alias("c"))
             hits = (F.col("c.start") < F.col("end")) & (F.col("start") < F.col("c.end"))
             whole = (F.col("c.start") <= F.col("start") + 1) & (F.col("c.end") >= F.col("end") - 1)
             found += [(kind, tuple(x), int(y)) for x, y in each.where(hits).select("c.x", (whole & (F.col("label") == 1)).cast("int")).collect()]
@@ -413,25 +445,25 @@ def _fresh(df: DataFrame, prefix: str) -> str:
     return prefix
 
 
-def _chosen(scored: Column) -> Column:
+def _chosen(scored: str) -> str:
     """Of candidates (start, end, rank, over), those that no better overlapping one beats, in order."""
-    better = lambda a, b: (a["over"] > b["over"]) | ((a["over"] == b["over"]) & (F.struct(a["start"], a["end"], a["rank"]) < F.struct(b["start"], b["end"], b["rank"])))
+    place = lambda s: f"struct({s}.start, {s}.`end`, {s}.rank)"
+    better = lambda a, b: f"({a}.over > {b}.over or ({a}.over = {b}.over and {place(a)} < {place(b)}))"
 
-    def among(v: Column) -> Column:
+    def among(v: str) -> str:
         # overlapping spans follow each other: a group ends where the next span begins at or after all ends before it
-        reach = _scan(F.transform(v, lambda s: s["end"]), F.greatest, F.lit(0))
-
-        def grouped(r: Column) -> Column:
-            fresh = F.transform(v, lambda s, i: F.when((i == 0) | (F.coalesce(F.get(r, i - 1), F.lit(0)) <= s["start"]), i).otherwise(0))
-            last = F.transform(v, lambda s, i: F.when(F.coalesce(F.get(v, i + 1)["start"] >= F.get(r, i), F.lit(True)), i).otherwise(F.size(v)))
-            firsts, lasts = _scan(fresh, F.greatest, F.lit(0)), F.reverse(_scan(F.reverse(last), F.least, F.lit(2**31 - 1)))
-            near = F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-            marked = F.zip_with(v, near, lambda s, n: F.struct(s.alias("s"), ((n["a"] < n["b"]) & F.exists(F.slice(v, n["a"] + 1, n["b"] - n["a"] + 1), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & better(o, s))).alias("beaten")))
-            return F.transform(F.filter(marked, lambda m: ~m["beaten"]), lambda m: m["s"])
+        def grouped(r: str) -> str:
+            fresh = _each(v, lambda s, i: f"if({i} = 0 or coalesce(get({r}, {i} - 1), 0) <= {s}.start, {i}, 0)", 2)
+            last = _each(v, lambda s, i: f"if(coalesce(get({v}, {i} + 1).start >= get({r}, {i}), true), {i}, size({v}))", 2)
+            near = _zip(_scan(fresh, _greatest, "0"), f"reverse({_scan(f'reverse({last})', _least, str(2**31 - 1))})", lambda a, b: _struct(a=a, b=b))
+            beats = lambda s: _with(lambda o: f"({o}.start < {s}.`end` and {s}.start < {o}.`end` and {better(o, s)})")
+            beaten = lambda s, n: f"({n}.a < {n}.b and exists(slice({v}, {n}.a + 1, {n}.b - {n}.a + 1), {beats(s)}))"
+            marked = _zip(v, near, lambda s, n: _struct(s=s, beaten=beaten(s, n)))
+            return _each(_where(marked, lambda m: f"not {m}.beaten"), lambda m: f"{m}.s")
 
-        return _let(reach, grouped)
+        return _let(_scan(_each(v, lambda s: f"{s}.`end`"), _greatest, "0"), grouped)
 
-    return F.when(F.size(scored) < 2, scored).otherwise(_let(scored, among))
+    return f"if(size({scored}) < 2, {scored}, {_let(scored, among)})"
 
 
 def detect(docs: DataFrame, *, text_col: str = "text", model: Detector | None = None, prefix: str = "pii") -> DataFrame:
@@ -440,19 +472,19 @@ def detect(docs: DataFrame, *, text_col: str = "text", model: Detector | None =
     No column of ``docs`` may begin with the prefix and an underscore.
     """
     model = model or detector(docs.sparkSession)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    out = docs.select("*", *(base_spans(text, kind).alias(f"{prefix}_{kind}") for kind in KINDS))
-    base = F.concat(*(F.col(f"{prefix}_{k}") for k in KINDS))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,x:array<double>>>)")
+    text = f"coalesce(cast(`{text_col}` as string), '')"
+    out = docs.select("*", *(F.expr(base_spans(text, kind)).alias(f"{prefix}_{kind}") for kind in KINDS))
+    base = f"concat({', '.join(f'`{prefix}_{k}`' for k in KINDS)})"
+    none = "cast(array() as array<struct<start:int,end:int,x:array<double>>>)"
     needs = {"email": r"(?i)@|[ (\[{<]at[ )\]}>]", "ip": r"[0-9A-Fa-f]:|[0-9] ?[\[(]", "card": r"[0-9][ ./_-]{0,2}[0-9]", "phone": r"[0-9]{2}"}
-    out = out.select("*", *(F.when(text.rlike(needs[kind]), candidates(text, kind, base)).otherwise(none).alias(f"{prefix}_of_{kind}") for kind in KINDS))
+    out = out.select("*", *(F.expr(f"if(rlike({text}, {_quoted(needs[kind])}), {candidates(text, kind, base)}, {none})").alias(f"{prefix}_of_{kind}") for kind in KINDS))
     scored = []
     for rank, kind in enumerate(KINDS):
         over = f"{model.trees[kind].sql('c.x')} - {model.thresholds[kind]!r}D"
         scored.append(f"filter(transform(`{prefix}_of_{kind}`, c -> named_struct('start', c.start, 'end', c.end, 'rank', {rank}, 'over', {over})), c -> c.over >= 0)")
     out = out.select("*", F.expr(f"array_sort(concat({', '.join(scored)}))").alias(f"{prefix}_scored")).drop(*(f"{prefix}_of_{k}" for k in KINDS))
-    kept = _chosen(F.col(f"{prefix}_scored"))
-    return out.withColumn(f"{prefix}_added", F.transform(kept, lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end")))).drop(f"{prefix}_scored")
+    added = _each(_chosen(f"`{prefix}_scored`"), lambda c: _struct(rank=f"{c}.rank", start=f"{c}.start", end=f"{c}.`end`"))
+    return out.withColumn(f"{prefix}_added", F.expr(added)).drop(f"{prefix}_scored")
 
 
 def _ranked(prefix: str) -> list[Column]:
@@ -485,26 +517,27 @@ def redact(docs: DataFrame, *, text_col: str = "text", model: Detector | None =
     prefix = _fresh(docs, "pii")
     found = detect(docs, text_col=text_col, model=model, prefix=prefix)
     spans = F.array_sort(F.transform(F.concat(*_ranked(prefix), F.col(f"{prefix}_added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
-    text = F.col(f"`{text_col}`").cast("string")
-    tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    text = f"cast(`{text_col}` as string)"
+    tags = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
 
-    def written(spans: Column, pieces: Column) -> Column:
+    def written(spans: str, pieces: str) -> str:
         """The text with tags for spans: each span puts what stands between it and all ends before it, and its tag."""
-        ends = _scan(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+        ends = _scan(_each(spans, lambda s: f"{s}.`end`"), _greatest, "0")
 
-        def joined(e: Column) -> Column:
-            def put(s: Column, i: Column) -> Column:
-                at = F.when(i == 0, 0).otherwise(F.get(e, F.greatest(i - 1, F.lit(0))))
-                return F.when(s["start"] >= at, F.concat(part_of(pieces, at, F.greatest(s["start"] - at, F.lit(0))), F.element_at(tags, s["rank"] + 1))).otherwise("")
+        def joined(e: str) -> str:
+            def put(s: str, i: str) -> str:
+                at = f"if({i} = 0, 0, get({e}, greatest({i} - 1, 0)))"
+                part = lambda a: part_of(pieces, a, f"greatest({s}.start - {a}, 0)")
+                return _let(at, lambda a: f"if({s}.start >= {a}, concat({part(a)}, element_at({tags}, {s}.rank + 1)), '')")
 
-            end = F.element_at(e, -1)
-            return F.concat(F.array_join(F.transform(spans, put), ""), part_of(pieces, end, F.length(text) - end))
+            rest = _let(f"element_at({e}, -1)", lambda end: part_of(pieces, end, f"(length({text}) - {end})"))
+            return f"concat(array_join({_each(spans, put, 2)}, ''), {rest})"
 
         return _let(ends, joined)
 
     found = found.withColumn(f"{prefix}_spans", spans)
-    done = _let(F.struct(F.col(f"{prefix}_spans").alias("s"), pieces_of(text).alias("p")), lambda x: written(x["s"], x["p"]))
-    found = found.withColumn(f"{prefix}_text", F.when(F.size(f"{prefix}_spans") > 0, done).otherwise(text))
+    done = _let(_struct(s=f"`{prefix}_spans`", p=pieces_of(text)), lambda x: written(f"{x}.s", f"{x}.p"))
+    found = found.withColumn(f"{prefix}_text", F.expr(f"if(size(`{prefix}_spans`) > 0, {done}, {text})"))
     columns = [F.col(f"{prefix}_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if recount is not None and recount in docs.columns:
         changed = F.when(F.size(f"{prefix}_spans") > 0, F.length(f"{prefix}_text").cast(dict(docs.dtypes)[recount])).otherwise(F.col(f"`{recount}`"))
