@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_extract, lm_score, mixing, near_dup, packing, pii, token_files, topk, toxicity
+from . import divergence, embed_dedup, fim, html_extract, line_dedup, lm_score, mixing, near_dup, packing, pii, token_files, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,11 +67,24 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(_read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_token_files, op3_best_fit_packing, op4_minhash_near_dedup, op5_mixing,
         op6_exact_topk, op7_personal_data, op8_toxicity, op9_lm_scoring, op10_embedding_near_dedup,
+        op11_fill_in_middle, op12_source_divergence, op13_line_dedup,
     )
 }
 
@@ -84,4 +97,7 @@ SQL: dict[str, str] = {
     "op6_exact_topk": topk.SQL,
     "op9_lm_scoring": lm_score.SQL,
     "op10_embedding_near_dedup": embed_dedup.SQL,
+    "op11_fill_in_middle": fim.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_line_dedup": line_dedup.SQL,
 }
