@@ -128,6 +128,12 @@ def page(ranked: DataFrame, number: Column | int, rank: str = "rank", window: in
     return ranked.where((F.col(rank) > (number - 1) * window) & (F.col(rank) <= number * window))
 
 
+def page_of(rows: DataFrame, order: list[Column], number: int, window: int = 10) -> DataFrame:
+    """One page of rows in ``order``, with their rank from 1: every task keeps the best ``number * window``, no more are merged."""
+    some = rows.orderBy(*order).offset((number - 1) * window).limit(window)
+    return some.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + (number - 1) * window)
+
+
 def price_limit(price: Column, first: Column, second: Column) -> Column:
     """struct(upper, text): of the four multiples of ten from 10 to 990 next above the price, the larger of two drawn.
 

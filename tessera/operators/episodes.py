@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def best_of_n(episodes: DataFrame, task: list[str], attempt: str = "attempt", reward: str = "reward") -> DataFrame:
     """Per task: the first, best and mean reward of its attempts."""
@@ -59,19 +61,15 @@ def choose_epsilon_greedy(candidates: DataFrame, state: list[str], state_draw: C
 
 
 def slice_of(tasks: DataFrame, order: list[str], slices: int, rule: str) -> DataFrame:
-    """Each task's slice, n div ``slices`` tasks in each: the remainder is dropped (``drop``) or goes to the ``last``.
-
-    The running number comes from one sort of the keys; the tasks of a benchmark are few.
-    """
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    size = F.floor(n / slices)
+    """Each task's slice, n div ``slices`` tasks in each: the remainder is dropped (``drop``) or goes to the ``last``."""
     if rule not in ("drop", "last"):
         raise ValueError(rule)
-    numbered = tasks.withColumn("slice", F.when(size > 0, F.floor(at / F.greatest(size, F.lit(1)))).otherwise(slices if rule == "drop" else slices - 1).cast("int"))
+    size = F.floor(F.col("n_") / slices)
+    slice_ = F.when(size > 0, F.floor(F.col("at_task_") / F.greatest(size, F.lit(1)))).otherwise(slices if rule == "drop" else slices - 1).cast("int")
+    cut = numbered(tasks, order, "at_task_", "n_").withColumn("slice", slice_).drop("at_task_", "n_")
     if rule == "last":
-        return numbered.withColumn("slice", F.least("slice", F.lit(slices - 1)))
-    return numbered.where(F.col("slice") < slices)
+        return cut.withColumn("slice", F.least("slice", F.lit(slices - 1)))
+    return cut.where(F.col("slice") < slices)
 
 
 def task_key(path: Column, start: str = "/json_2.1.1/train/", end: str = "/game.tw-pddl") -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import meet_ranges, numbered, running
+
 MATCH = 85
 
 
@@ -106,7 +108,7 @@ def total_reward(attribute_hits: Column, option_hits: Column, price: Column, upp
 
 def shuffle_goals(goals: DataFrame, order: list[Column], where: Column | None = None) -> DataFrame:
     """Goals with their place in a reproducible shuffle; ``where`` may test the place, ``idx``, and any column."""
-    placed = goals.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    placed = numbered(goals, order, "idx")
     return placed if where is None else placed.where(where)
 
 
@@ -116,9 +118,11 @@ def weighted_limit(goals: DataFrame, weight: str, u: Column, k: int) -> DataFram
 
 
 def weighted_choice(goals: DataFrame, draws: DataFrame, weight: str, order: list[str]) -> DataFrame:
-    """Each draw (draw_id, u) with the goal in whose share of the running weights u falls."""
-    w = Window.orderBy(*order)
-    total = F.sum(weight).over(Window.partitionBy())
-    upto = F.sum(weight).over(w)
-    ranges = goals.withColumn("high", upto / total).withColumn("low", (upto - F.col(weight)) / total)
-    return draws.join(ranges, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    """Each draw (draw_id, u) with the goal in whose share of the running weights u falls.
+
+    Draws and shares meet in as many buckets as there are goals, so a bucket holds few of either. Goals without
+    weight are never drawn.
+    """
+    upto = running(goals.where(F.col(weight) > 0), order, weight, "upto_", "total_")
+    shares = upto.select(*goals.columns, ((F.col("upto_") - F.col(weight)) / F.col("total_")).alias("low"), (F.col("upto_") / F.col("total_")).alias("high"))
+    return meet_ranges(draws, shares, "u", "low", "high", max(1, shares.count()))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def mlp_head(vector: Column, layers: list[tuple[np.ndarray, np.ndarray]], sigmoid: bool = False) -> Column:
     """A value head: linear layers with ReLU between them. The weights travel with the task; batches are Arrow's."""
@@ -69,9 +71,9 @@ def attention_mask(ids: Column, pad: int) -> Column:
 def length_grouped_order(rows: DataFrame, size: str, draw: list[Column], batch: int, mega: int = 50) -> DataFrame:
     """Batches of similar length: rows in hash order, cut into mega-batches, each sorted by falling length.
 
-    Adds place (the order of reading) and batch_id. Numbering in one order is a global sort of narrow keys.
+    Adds place (the order of reading) and batch_id. A mega-batch is sorted in one task, the table never is.
     """
-    shuffled = rows.withColumn("at", F.row_number().over(Window.orderBy(*draw)) - 1)
+    shuffled = numbered(rows, draw, "at")
     chunk = F.floor(F.col("at") / (batch * mega))
     within = Window.partitionBy("chunk").orderBy(F.col(size).desc(), "at")
     placed = shuffled.withColumn("chunk", chunk).withColumn("place", F.col("chunk") * batch * mega + F.row_number().over(within) - 1)

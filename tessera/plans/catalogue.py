@@ -118,10 +118,7 @@ def w13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w14_pagination", _sql("SELECT asin, rank FROM (SELECT asin, row_number() OVER (ORDER BY retail DESC, ord)::INT AS rank FROM products) WHERE rank BETWEEN 11 AND 20"))
 def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    ranked = v.products(spark, sf_dir).withColumn("rank", F.row_number().over(Window.orderBy(F.col("retail").desc(), "ord")))
-    return ct.page(ranked, 2).select("asin", "rank")
+    return ct.page_of(v.products(spark, sf_dir), [F.col("retail").desc(), F.col("ord")], 2).select("asin", "rank")
 
 
 _LIMIT = f"""
@@ -208,7 +205,7 @@ def w22(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w23_goal_shuffle", _sql("SELECT asin, idx::INT AS idx FROM (SELECT asin, size, row_number() OVER (ORDER BY md5(asin || '#233'), asin) - 1 AS idx FROM products) WHERE idx % 2 = 0 AND size > 10"))
 def w23(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.md5(F.concat("asin", F.lit("#233"))), F.col("asin")]
-    return gl.shuffle_goals(v.products(spark, sf_dir), order, (F.col("idx") % 2 == 0) & (F.col("size") > 10)).select("asin", "idx")
+    return gl.shuffle_goals(v.products(spark, sf_dir), order, (F.col("idx") % 2 == 0) & (F.col("size") > 10)).select("asin", F.col("idx").cast("int").alias("idx"))
 
 
 @query("w23_weighted_limit", _sql(f"SELECT asin FROM products ORDER BY -ln(greatest({v.draw_sql('asin', 23)}, 1e-12)) / size LIMIT 25"))
