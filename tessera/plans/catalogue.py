@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as ct
 from ..operators import goals as gl
+from ..operators.numbering import numbered
+from ..sources import products as pr
+from ..sources import records, workspace
 from ..sources import views as v
 from .reference import REGISTRY
 
@@ -59,6 +62,54 @@ def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.products(spark, sf_dir).select("asin", F.element_at(o, "size")[0].alias("size"), F.element_at(o, "color")[0].alias("color"), F.size(o).alias("n"))
 
 
+def _product_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue written as files of JSON arrays whose fields change their types, and read again."""
+    js = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    name, category, size = js(F.col("name")), js(F.col("category")), F.col("size").cast("string")
+    color = F.concat(F.lit('[{"value":'), js(F.upper(F.col("attributes")[0])), F.lit(',"image":"c.jpg"}]'))
+    form = lambda n, *texts: F.get(F.array(*texts), (F.col("ord") % n).cast("int"))
+    described = form(5, name, F.concat(F.lit("["), name, F.lit(","), category, F.lit("]")), F.lit("null"), F.lit(None).cast("string"), size)
+    chosen = form(
+        6,
+        F.concat(F.lit('{"Size":[{"value":" '), size, F.lit('/x ","image":null}],"COLOR":'), color, F.lit("}")),
+        F.concat(F.lit('{"Size":"odd","color":'), color, F.lit("}")),
+        F.concat(F.lit('{"Size":null,"color":'), color, F.lit("}")),
+        F.lit(None).cast("string"),
+        F.concat(F.lit('{"size":[{"image":"only"},{"value":'), size, F.lit('}],"Color":'), color, F.lit(',"SIZE":[{"value":"late"}]}')),
+        F.lit("[]"),
+    )
+    field = lambda key, text: F.coalesce(F.concat(F.lit(f',"{key}":'), text), F.lit(""))
+    element = F.concat(F.lit('{"asin":'), js(F.col("asin")), F.lit(',"name":'), name, field("small_description", described), field("customization_options", chosen), field("pricing", js(F.col("pricing"))), F.lit("}"))
+    path = workspace.new_path(spark, "products")
+    records.write_element_arrays(v.products(spark, sf_dir).select("ord", element.alias("json")), path, ["ord"], "json")
+    return pr.read_products(spark, f"{path}/*")
+
+
+_FILE_COLOR = "upper(attributes[1])"
+
+
+@query("w01_product_file", _sql("SELECT asin, name, coalesce(pricing, 'none') AS pricing FROM products WHERE ord <= 100"))
+def w01_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(_product_files(spark, sf_dir), [F.length("asin"), F.col("asin")], "ord")
+    return ct.scan(rows, 100).select("asin", "name", F.coalesce("pricing", F.lit("none")).alias("pricing"))
+
+
+@query("w05_option_forms", _sql(f"""
+SELECT asin, CASE ord % 6 WHEN 0 THEN 'size=' || size || ' | x;color=' || lower({_FILE_COLOR}) WHEN 1 THEN 'color=' || lower({_FILE_COLOR}) WHEN 2 THEN 'color=' || lower({_FILE_COLOR})
+  WHEN 4 THEN 'size=late;color=' || lower({_FILE_COLOR}) ELSE '' END AS options,
+  CASE WHEN ord % 6 IN (0, 1, 2, 4) THEN 'c.jpg' END AS color_image FROM products"""))
+def w05_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _product_files(spark, sf_dir)
+    text = F.array_join(F.transform(F.map_entries("options"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    image = F.try_element_at("option_to_image", F.try_element_at(F.try_element_at("options", F.lit("color")), F.lit(1)))
+    return rows.select("asin", text.alias("options"), image.alias("color_image"))
+
+
+@query("w06_bullet_forms", _sql("SELECT asin, CASE ord % 5 WHEN 0 THEN name WHEN 1 THEN name || '|' || category WHEN 4 THEN CAST(size AS VARCHAR) ELSE 'none' END AS bullets, CASE WHEN ord % 5 = 1 THEN 2 ELSE 1 END AS n FROM products"))
+def w06_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _product_files(spark, sf_dir).select("asin", F.array_join("bullet_points", "|", "none").alias("bullets"), F.size("bullet_points").alias("n"))
+
+
 @query("w06_field_defaults", _sql("SELECT asin, lower(trim(query)) AS query, CASE WHEN ord % 4 = 0 THEN 'DUMMY_ATTR' ELSE array_to_string(attributes, ',') END AS attributes, CASE WHEN ord % 5 = 0 THEN 'N.A.' ELSE CAST(size AS VARCHAR) END AS rating, CASE WHEN ord % 6 <> 0 THEN 'a.jpg' END AS main_image FROM products"))
 def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.products(spark, sf_dir).withColumns(

@@ -1,7 +1,8 @@
 """Readers and writers of the record files that agents and shops leave behind.
 
-Schemas are given, so no reader looks through a file twice. Arrays in one JSON document can only be
-read by one task each, which is what the files are: one a worker, a task or a shard.
+Schemas are given, so no reader looks through a file twice. ``read_json_arrays`` reads each file in one task,
+which is what the files of workers, tasks and shards are; ``json_arrays`` splits large ones and ``products`` reads the
+catalogue, whose fields change their types.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ TRAJECTORY = f"dataset string, id string, conversations {TURNS}, reward double,
 SFT_SAMPLE = f"id string, conversations {TURNS}, game_file string, reward double"
 Q_SAMPLE = f"id string, conversations {TURNS}, label double"
 RESULT = f"meta struct<steps:int,reward:double,finished:boolean,success:boolean,terminate_reason:string,error:string>, conversations {TURNS}"
-PRODUCT = "asin string, name string, category string, query string, product_category string, full_description string, small_description array<string>, pricing string, customization_options map<string,array<struct<value:string,image:string>>>, images array<string>"
 SESSION_LOG = "page string, url string, goal string, content string, reward double, reward_info string"
 
 
@@ -66,11 +66,16 @@ def write_index_documents(documents: DataFrame, path: str, order: str, limits: t
 
 def write_json_arrays(rows: DataFrame, path: str, order: list[str], per_file: int = 1_000) -> None:
     """Files that each hold one JSON array of about ``per_file`` rows, rows of a file in order."""
+    write_element_arrays(rows.select(*order, F.to_json(F.struct(*rows.columns)).alias("json_")), path, order, "json_", per_file)
+
+
+def write_element_arrays(rows: DataFrame, path: str, order: list[str], text: str, per_file: int = 1_000) -> None:
+    """As write_json_arrays, of rows whose column ``text`` is an element's JSON already."""
     files = max(1, -(-rows.count() // per_file))
     chunk = F.pmod(F.xxhash64(*order), F.lit(files)).alias("chunk")
-    lists = rows.select(chunk, F.struct(*order, F.to_json(F.struct(*rows.columns)).alias("json_")).alias("r"))
-    text = F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["json_"]), ",\n"), F.lit("]"))
-    lists.groupBy("chunk").agg(text.alias("value")).write.partitionBy("chunk").text(path)
+    lists = rows.select(chunk, F.struct(*order, F.col(text).alias("json_")).alias("r"))
+    joined = F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["json_"]), ",\n"), F.lit("]"))
+    lists.groupBy("chunk").agg(joined.alias("value")).write.partitionBy("chunk").text(path)
 
 
 def write_ranked_attributes(rows: DataFrame, path: str) -> None:
