@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fuzzy
+from .fuzzy import MATCH
 from .numbering import meet_ranges, numbered, running
 
-MATCH = 85
-
 
 def type_reward(bought_query: Column, goal_query: Column, bought_path: Column, goal_path: Column, bought_nouns: Column, goal_nouns: Column) -> Column:
     """struct(r_type, query_match, category_match, title_score). Nouns are arrays of words, tagged beforehand."""
@@ -22,54 +21,15 @@ def type_reward(bought_query: Column, goal_query: Column, bought_path: Column, g
     return F.struct(r_type.alias("r_type"), query_match.alias("query_match"), category_match.alias("category_match"), title.alias("title_score"))
 
 
-def _indel(a: str, b: str) -> float:
-    """100 times the share of characters that a longest common subsequence keeps."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-def token_set_score(a: str, b: str) -> float:
-    """Similarity from 0 to 100 of two texts as word sets: shared words against either text's words, best of three."""
-    x, y = ({w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()} for t in (a, b))
-    if not x or not y:
-        return 0.0
-    shared, only_x, only_y = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if shared and (not only_x or not only_y):
-        return 100.0
-    with_x, with_y = f"{shared} {only_x}".strip(), f"{shared} {only_y}".strip()
-    scores = [_indel(with_x, with_y)]
-    if shared:
-        scores += [_indel(shared, with_x), _indel(shared, with_y)]
-    return float(round(max(scores)))
-
-
-def token_set_ratio(a: str, b: str) -> Column:
-    """token_set_score of two columns, in Arrow batches; each pair of texts is scored once a batch."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float | None] = {}
-        for pair in set(zip(x, y)):
-            known[pair] = None if None in pair else token_set_score(*pair)
-        return pd.Series([known[pair] for pair in zip(x, y)], dtype="float64")
-
-    return run(a, b)
-
-
 def fuzzy_hits(rows: DataFrame, key: list[str], wanted: str, offered: str) -> DataFrame:
     """(key, wanted_at, hit): whether any offered text scores above 85 against each wanted one.
 
-    Both are arrays; the pairs of one row are exploded, scored in Arrow batches and reduced before they move.
+    Both are arrays; the pairs of one row are exploded, scored in Arrow batches and reduced before they move. Pairs
+    that are equal, or that length and shared words rule out, are decided without a score.
     """
     pairs = rows.select(*key, F.posexplode_outer(wanted).alias("wanted_at", "w"), offered).select(*key, "wanted_at", "w", F.explode_outer(offered).alias("o"))
-    exact = F.lower("w") == F.lower("o")
-    scored = pairs.where("wanted_at is not null").withColumn("hit", F.when(exact, True).otherwise(F.coalesce(token_set_ratio("o", "w") > MATCH, F.lit(False))))
+    exact = F.coalesce(F.lower("w") == F.lower("o"), F.lit(False))
+    scored = pairs.where("wanted_at is not null").withColumn("hit", F.when(exact, True).otherwise(F.coalesce(fuzzy.score(F.when(~exact, F.col("o")), F.col("w"), MATCH) > MATCH, F.lit(False))))
     return scored.groupBy(*key, "wanted_at").agg(F.max("hit").alias("hit"))
 
 
@@ -106,6 +66,24 @@ def total_reward(attribute_hits: Column, option_hits: Column, price: Column, upp
     return F.struct(((attribute_hits + option_hits + kept) / wants * r_type).alias("reward"), (n_attributes / wants).alias("w_att"), (n_options / wants).alias("w_option"), (1 / wants).alias("w_price"))
 
 
+def purchase_reward(rows: DataFrame, key: list[str], attributes: tuple[str, str], options: tuple[str, str], texts: list[str], price: Column, upper: Column, r_type: Column) -> DataFrame:
+    """(key, n_attributes, n_options, reward, ...) of purchases: fuzzy attribute and option hits and the kept price limit over all wants, times the type.
+
+    ``attributes`` and ``options`` name the wanted and the bought lists; options are normalised beforehand. An
+    attribute also counts where one of ``texts`` holds it.
+    """
+    wanted, bought = attributes
+    told = attribute_reward(rows, key, wanted, bought, texts).select(*key, F.col("n_hits").alias("n_attributes"))
+    chosen = fuzzy_hits(rows, key, *options).groupBy(*key).agg(F.count_if("hit").alias("n_options"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    # rows with an empty list have no hits of that kind
+    each = rows.select(*key, count(wanted).alias("n_a"), count(options[0]).alias("n_o"), price.alias("price_"), upper.alias("upper_"), r_type.alias("r_type_"))
+    hit = lambda c: F.coalesce(F.col(c), F.lit(0))
+    joined = each.join(told, key, "left").join(chosen, key, "left").select(*each.columns, hit("n_attributes").alias("n_attributes"), hit("n_options").alias("n_options"))
+    total = total_reward(F.col("n_attributes"), F.col("n_options"), F.col("price_"), F.col("upper_"), F.col("n_a"), F.col("n_o"), F.col("r_type_"))
+    return joined.select(*key, "n_attributes", "n_options", total.alias("t")).select(*key, "n_attributes", "n_options", "t.*")
+
+
 def shuffle_goals(goals: DataFrame, order: list[Column], where: Column | None = None) -> DataFrame:
     """Goals with their place in a reproducible shuffle; ``where`` may test the place, ``idx``, and any column."""
     placed = numbered(goals, order, "idx")

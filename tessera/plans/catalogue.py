@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as ct
+from ..operators import fuzzy as fz
 from ..operators import goals as gl
 from ..operators.numbering import numbered
 from ..sources import products as pr
@@ -226,19 +227,61 @@ def w20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.goal_purchases(spark, sf_dir).select("l_orderkey", gl.substring_attribute_hits(F.col("goal_attributes"), F.col("bought_name")).alias("n_hits"))
 
 
-@query("w20_attribute_reward_fuzzy")
+def _scored_pairs(pairs: str) -> str:
+    """Tables that score the distinct pairs (a, b) of the table ``pairs`` as sets of words; the last is ``scored`` (a, b, score)."""
+    tokens = lambda t: f"list_sort(list_distinct(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+')))"
+    lcs = """list_max(list_reduce(string_split(wx, ''), lambda acc, c: list_transform(range(1, len(wy) + 2), lambda j:
+      list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN i = 1 THEN 0 ELSE greatest(acc[i], acc[i - 1] + (wy[i - 1] = c)::INT) END))), list_transform(range(0, len(wy) + 1), lambda i: 0)))"""
+    return f"""
+z1 AS (SELECT a, b, {tokens('a')} AS x, {tokens('b')} AS y FROM (SELECT DISTINCT a, b FROM {pairs} WHERE a IS NOT NULL AND b IS NOT NULL)),
+z2 AS (SELECT *, list_filter(x, lambda t: list_contains(y, t)) AS s FROM z1),
+z3 AS (SELECT *, array_to_string(s, ' ') AS head, array_to_string(s || list_filter(x, lambda t: NOT list_contains(y, t)), ' ') AS wx, array_to_string(s || list_filter(y, lambda t: NOT list_contains(x, t)), ' ') AS wy FROM z2),
+z4 AS (SELECT a, b, head, wx, wy, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN len(s) > 0 AND (len(s) = len(x) OR len(s) = len(y)) THEN 100.0 END::DOUBLE AS plain FROM z3),
+z5 AS (SELECT a, b, greatest(200.0::DOUBLE * {lcs} / (len(wx) + len(wy)), 200.0::DOUBLE * len(head) / (len(head) + len(wx)), 200.0::DOUBLE * len(head) / (len(head) + len(wy))) AS score FROM z4 WHERE plain IS NULL),
+scored AS (SELECT a, b, plain AS score FROM z4 WHERE plain IS NOT NULL UNION ALL SELECT a, b, round_even(score, 0) FROM z5)"""
+
+
+_FUZZY_ATTRIBUTES = f"""
+pa AS (SELECT l_orderkey, goal_attributes, bought_name, unnest(bought_attributes) AS a FROM goal_purchases),
+pb AS (SELECT l_orderkey, bought_name, a, unnest(goal_attributes) AS b, generate_subscripts(goal_attributes, 1) AS nth FROM pa),
+{_scored_pairs('pb').strip()},
+ph AS (SELECT l_orderkey, nth, bool_or(score > 85 OR contains(lower(bought_name), b)) AS hit FROM pb JOIN scored USING (a, b) GROUP BY 1, 2),
+attribute_hits AS (SELECT l_orderkey, count_if(hit)::BIGINT AS n_hits, count(*)::INT AS n_goal FROM ph GROUP BY 1)"""
+
+
+@query("w20_attribute_reward_fuzzy", _sql(f"WITH {_FUZZY_ATTRIBUTES.strip()} SELECT * FROM attribute_hits", "goal_purchases"))
 def w20_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy scores have no SQL form; tested against a transcription on a small fixture."""
     rows = v.goal_purchases(spark, sf_dir)
     return gl.attribute_reward(rows, ["l_orderkey"], "goal_attributes", "bought_attributes", ["bought_name"])
 
 
-@query("w21_option_reward")
-def w21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of normalised colours and sizes; fuzzy, so without SQL."""
-    rows = v.goal_purchases(spark, sf_dir)
+@query("w20_fuzzy_join", _sql(f"""
+WITH pairs AS (SELECT a, b FROM (SELECT DISTINCT name AS a FROM products), (SELECT DISTINCT name || ' ' || lower(category) AS b FROM products)), {_scored_pairs('pairs').strip()}
+SELECT a AS name, b AS described, score FROM scored WHERE score > 85"""))
+def w20_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.products(spark, sf_dir)
+    return fz.fuzzy_join(rows, rows.select(F.concat("name", F.lit(" "), F.lower("category")).alias("described")), "name", "described")
+
+
+_COLORS = "[" + ", ".join(f"'{c}'" for c in ct.COLORS) + "]"
+_OPTIONS = lambda who: f"[coalesce(list_filter({_COLORS}, lambda c: contains({who}_name, c))[1], {who}_name), CAST({who}_size AS VARCHAR)]"
+_FUZZY_OPTIONS = f"""
+oa AS (SELECT l_orderkey, {_OPTIONS('goal')} AS wanted, unnest({_OPTIONS('bought')}) AS a FROM goal_purchases),
+ob AS (SELECT l_orderkey, a, unnest(wanted) AS b, generate_subscripts(wanted, 1) AS nth FROM oa),
+{_scored_pairs('ob').strip().replace('z', 'y').replace('scored', 'scored_options')},
+oh AS (SELECT l_orderkey, nth, bool_or(score > 85) AS hit FROM ob JOIN scored_options USING (a, b) GROUP BY 1, 2),
+option_hits AS (SELECT l_orderkey, count_if(hit)::BIGINT AS n_hits, count_if(hit) / count(*) AS r_option FROM oh GROUP BY 1)"""
+
+
+def _option_lists(rows: DataFrame) -> DataFrame:
     of = lambda who: F.array(ct.normalise_color(F.col(f"{who}_name")), F.col(f"{who}_size").cast("string"))
-    rows = rows.select("l_orderkey", of("goal").alias("goal_options"), of("bought").alias("bought_options"))
+    return rows.withColumns({"goal_options": of("goal"), "bought_options": of("bought")})
+
+
+@query("w21_option_reward", _sql(f"WITH {_FUZZY_OPTIONS.strip()} SELECT * FROM option_hits", "goal_purchases"))
+def w21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy hits of normalised colours and sizes."""
+    rows = _option_lists(v.goal_purchases(spark, sf_dir)).select("l_orderkey", "goal_options", "bought_options")
     return gl.fuzzy_hits(rows, ["l_orderkey"], "goal_options", "bought_options").groupBy("l_orderkey").agg(F.count_if("hit").alias("n_hits"), (F.count_if("hit") / F.count(F.lit(1))).alias("r_option"))
 
 
@@ -253,6 +296,19 @@ def w22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("t", total).select("l_orderkey", F.round("t.reward", 6).alias("reward"), F.round("t.w_att", 6).alias("w_att"))
 
 
+@query("w22_total_reward_fuzzy", _sql(f"""
+WITH {_TYPE.strip()}, {_FUZZY_ATTRIBUTES.strip()}, {_FUZZY_OPTIONS.strip()}
+SELECT y.l_orderkey, round((a.n_hits + o.n_hits + CASE WHEN price_upper > 0 AND bought_retail <= price_upper THEN 1 ELSE 0 END) / (len(goal_attributes) + 3) * r_type, 6) AS reward
+FROM y JOIN attribute_hits a USING (l_orderkey) JOIN option_hits o USING (l_orderkey)""", "goal_purchases"))
+def w22_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As in an evaluation: fuzzy attribute and option hits, the price limit and the type."""
+    rows = _option_lists(_type(v.goal_purchases(spark, sf_dir)))
+    return gl.purchase_reward(
+        rows, ["l_orderkey"], attributes=("goal_attributes", "bought_attributes"), options=("goal_options", "bought_options"), texts=["bought_name"],
+        price=F.col("bought_retail"), upper=F.col("price_upper"), r_type=F.col("type.r_type"),
+    ).select("l_orderkey", F.round("reward", 6).alias("reward"))
+
+
 @query("w23_goal_shuffle", _sql("SELECT asin, idx::INT AS idx FROM (SELECT asin, size, row_number() OVER (ORDER BY md5(asin || '#233'), asin) - 1 AS idx FROM products) WHERE idx % 2 = 0 AND size > 10"))
 def w23(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.md5(F.concat("asin", F.lit("#233"))), F.col("asin")]
@@ -264,9 +320,6 @@ def w23_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gl.weighted_limit(v.products(spark, sf_dir), "size", v.draw(F.col("asin"), 23), 25).select("asin")
 
 
-_COLORS = "[" + ", ".join(f"'{c}'" for c in ct.COLORS) + "]"
-
-
 @query("w24_color_normalise", _sql(f"SELECT asin, coalesce(list_filter({_COLORS}, lambda c: contains(name, c))[1], name) AS color FROM products"))
 def w24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.products(spark, sf_dir).select("asin", ct.normalise_color(F.col("name")).alias("color"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import catalogue, conversations, episodes, goals, model_math, pages, search, sessions, trees
+from tessera.operators import catalogue, conversations, episodes, fuzzy, goals, model_math, pages, search, sessions, trees
 
 
 def random_tree(rng, n):
@@ -146,10 +146,10 @@ def test_option_combinations(spark):
 
 
 def test_token_set_score():
-    assert goals.token_set_score("blue mug", "Mug blue") == 100
-    assert goals.token_set_score("blue mug large", "blue mug") == 100
-    assert goals.token_set_score("red", "dishwasher") < 50
-    assert goals.token_set_score("", "x") == 0
+    assert fuzzy.word_set_score(["blue", "mug"], ["blue", "mug"]) == 100
+    assert fuzzy.word_set_score(["blue", "large", "mug"], ["blue", "mug"]) == 100
+    assert fuzzy.word_set_score(["red"], ["dishwasher"]) < 50
+    assert fuzzy.word_set_score([], ["x"]) == 0
 
 
 def test_fuzzy_hits(spark):
