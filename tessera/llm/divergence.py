@@ -43,8 +43,9 @@ from .workers import tidy
 
 LEAST_DOCS, SMOOTHING, SCALE, BEST = 30, 5, 1_000_000_000, 50
 #: Bytes of input for each shard and language; entries that a reading task holds before it emits them.
-SHARD_BYTES, HELD_ENTRIES = 32 << 20, 400_000
-MOST_SHARDS = 200_000
+SHARD_BYTES, HELD_ENTRIES = 8 << 20, 400_000
+#: Shards of a language at least, so that its terms fill many tasks in small tables too, and at most.
+LEAST_SHARDS, MOST_SHARDS = 16, 1_000_000
 DUCKDB_MEMORY = "400MB"
 
 # a byte that is part of a term stands for itself, A-Z for a-z, any other for a space
@@ -131,7 +132,7 @@ def keep_terms(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     """Kept counts (lang, bucket, source, term, occurrences, overall), all groups (lang, source), and the number of buckets."""
     read = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(read(lang_col).alias("lang"), read(source_col).alias("source"), read(text_col).cast("binary").alias("text"))
-    buckets = max(1, min(MOST_SHARDS, -(-input_bytes(docs, f"`{text_col}`") // SHARD_BYTES)))
+    buckets = max(LEAST_SHARDS, min(MOST_SHARDS, -(-input_bytes(docs, f"`{text_col}`") // SHARD_BYTES)))
     counted = rows.mapInArrow(tidy(_count), _COUNTED).groupBy("lang", "term", "source").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
     counted = scratch.save(counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), "counted")
     groups = scratch.save(counted.select("lang", "source").distinct(), "groups")
