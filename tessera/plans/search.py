@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import pages as pg
 from ..operators import search as sr
+from ..operators import text_index as ti
 from ..sources import views as v
+from ..sources import workspace
 from .reference import REGISTRY
 
 query = REGISTRY.query
@@ -40,6 +42,49 @@ def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _index_search(spark: SparkSession, sf_dir: str, **analysis) -> ti.Search:
+    """An index of all documents, written, and the search for every benchmark text in it."""
+    path = workspace.new_path(spark, "index")
+    ti.write_index(v.table(spark, sf_dir, "documents"), path, "doc_id", "text", order=[F.col("lang"), F.col("doc_id")], **analysis)
+    return ti.Search(spark, path, ti.query_terms(v.table(spark, sf_dir, "benchmark"), "item_id", "text", **analysis))
+
+
+def _best_documents(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+_INDEX_WORDS = r"list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[''’][\p{L}\p{N}_]+)*'), lambda w: regexp_replace(w, '[''’]s$', ''))"
+
+
+@query("w12_index_search", f"""
+WITH d AS (SELECT doc_id, {_INDEX_WORDS} AS words FROM documents),
+l AS (SELECT doc_id, words, len(words) AS dl, greatest(length(bin(greatest(len(words) - 24, 0))) - 4, 0)::INT AS s FROM d),
+c AS (SELECT doc_id, words, dl, CASE WHEN dl < 24 THEN dl ELSE 24 + (((dl - 24) >> s) << s) END AS coded FROM l),
+st AS (SELECT count(*) AS n, avg(dl) AS mean FROM c),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_INDEX_WORDS}) AS term FROM benchmark) GROUP BY 1, 2),
+e AS (SELECT doc_id, coded, unnest(words) AS term FROM c),
+t AS (SELECT doc_id, coded, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+w AS (SELECT q.query_id, t.doc_id, sum(q.times * ln(1 + (st.n - f.df + 0.5) / (f.df + 0.5)) * t.tf / (t.tf + 0.9 * (1 - 0.4 + 0.4 * t.coded / st.mean))) AS score FROM t JOIN f USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM w)
+SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 50""")
+def w12_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in the stored index, with words as they are; SQL has no stemmer."""
+    return _best_documents(_index_search(spark, sf_dir, stems=False, stop=()).top())
+
+
+@query("w12_index_search_english")
+def w12_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As w12_index_search with stems and stop words; tested against a plain version."""
+    return _best_documents(_index_search(spark, sf_dir).top())
+
+
+@query("w12_index_read_share")
+def w12_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What w12_index_search_english reads of the asked terms' postings; the tests hold its results against exhaustive runs."""
+    return _index_search(spark, sf_dir).read_share()
+
+
 @query("w26_corpus_by_category", "SELECT category, p_brand AS key, text FROM (SELECT p_type AS category, p_brand, lower(p_name || ' ' || p_type) AS text, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1")
 def w26(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sr.corpus_by_category(v.table(spark, sf_dir, "part"), "p_type", "p_brand", "p_partkey", ["p_name", "p_type"])
