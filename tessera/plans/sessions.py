@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import episodes as ep
 from ..operators import sessions as ss
+from ..operators import shop_state
 from ..sources import views as v
 from .reference import REGISTRY
 
@@ -51,6 +52,42 @@ def w33(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.page_states(_log(spark, sf_dir))
 
 
+def _shop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session steps from events, with several items and an option."""
+    item = F.concat(F.lit("click[b"), (F.col("prop_k") % 5).cast("string"), F.lit("]"))
+    size = F.when(F.col("prop_k") % 2 == 0, "click[large]").otherwise("click[small]")
+    kinds = F.array(F.lit("search[red mug]"), item, F.lit("click[next >]"), F.lit("click[< prev]"), F.lit("click[description]"), size, item, F.lit("think"), F.when(F.col("prop_k") % 4 == 0, "click[buy now]").otherwise("click[back to search]"))
+    at = F.when(F.col("k") == 1, 0).otherwise(F.col("event_id") % 9).cast("int")
+    return v.steps(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("k").alias("step"), F.get(kinds, at).alias("action"), F.when(at == 5, "Size").alias("option"))
+
+
+v.SQL["shop_log"] = """
+SELECT user_id AS session, k::INT AS step, (['search', 'item', 'next', 'prev', 'sub', 'option', 'item', 'none', CASE WHEN prop_k % 4 = 0 THEN 'buy' ELSE 'back' END])[CASE WHEN k = 1 THEN 1 ELSE event_id % 9 + 1 END] AS act,
+  'B' || (prop_k % 5) AS item, CASE WHEN prop_k % 2 = 0 THEN 'large' ELSE 'small' END AS size FROM steps
+"""
+
+
+@query("w33_session_fold", v.with_views("steps shop_log", """
+WITH RECURSIVE f AS (
+  SELECT session, 0 AS step, 'index' AS page, NULL::INT AS page_number, NULL::VARCHAR AS asin, NULL::VARCHAR AS size, []::VARCHAR[] AS visited, 0 AS n_search, 0 AS n_asin, 0 AS n_options, 0 AS n_sub, 0 AS n_buy FROM shop_log WHERE step = 1
+  UNION ALL
+  SELECT session, step, CASE WHEN back THEN 'index' WHEN results IS NOT NULL THEN 'search_results' WHEN opens OR closes THEN 'item_page' WHEN looks THEN 'item_sub_page' WHEN buys THEN 'done' ELSE page END,
+    CASE WHEN back THEN NULL ELSE coalesce(results, page_number) END, CASE WHEN back OR results IS NOT NULL THEN NULL WHEN opens THEN item ELSE asin END,
+    CASE WHEN back OR results IS NOT NULL THEN NULL WHEN chooses THEN new_size ELSE size END,
+    CASE WHEN back THEN [] WHEN opens AND NOT list_contains(visited, item) THEN list_append(visited, item) ELSE visited END,
+    CASE WHEN back THEN 0 ELSE n_search + (results IS NOT NULL)::INT END, CASE WHEN back THEN 0 ELSE n_asin + opens::INT END, CASE WHEN back THEN 0 ELSE n_options + chooses::INT END,
+    CASE WHEN back THEN 0 ELSE n_sub + looks::INT END, CASE WHEN back THEN 0 ELSE n_buy + buys::INT END
+  FROM (SELECT f.* EXCLUDE (step), l.step, l.item, l.size AS new_size, act = 'back' AND page <> 'index' AS back, act = 'item' AND page = 'search_results' AS opens, act = 'prev' AND page = 'item_sub_page' AS closes,
+      act = 'sub' AND page = 'item_page' AS looks, act = 'buy' AND page = 'item_page' AS buys, act = 'option' AND page = 'item_page' AS chooses,
+      CASE WHEN act = 'search' THEN 1 WHEN act = 'next' AND page = 'search_results' THEN page_number + 1 WHEN act = 'prev' AND page = 'item_page' THEN page_number WHEN act = 'prev' AND page = 'search_results' AND page_number > 1 THEN page_number - 1 END AS results
+    FROM f JOIN shop_log l ON l.session = f.session AND l.step = f.step + 1 WHERE f.page <> 'done'))
+SELECT session, step::BIGINT AS step, page, page_number, asin, CASE WHEN size IS NULL THEN '' ELSE 'size=' || size END AS options, array_to_string(visited, ',') AS visited,
+  concat_ws(';', CASE WHEN n_asin > 0 THEN 'asin=' || n_asin END, CASE WHEN n_sub > 0 THEN 'description=' || n_sub END, CASE WHEN n_options > 0 THEN 'options=' || n_options END, CASE WHEN n_buy > 0 THEN 'purchase=' || n_buy END, CASE WHEN n_search > 0 THEN 'search=' || n_search END) AS counts,
+  page = 'done' AS done FROM f WHERE step > 0"""))
+def w33_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shop_state.fold(_shop_log(spark, sf_dir).withColumn("step", F.col("step").cast("bigint")))
+
+
 @query("w33_page_names", v.with_views("steps", "SELECT event_id, (['', 'search_results', 'item_page', 'item_sub_page', 'done'])[event_id % 5 + 1] AS page FROM steps"))
 def w33_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(n) for n in ("", "search_results", "item_page", "item_sub_page", "done")))
