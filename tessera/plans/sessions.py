@@ -9,6 +9,8 @@ from ..operators import episodes as ep
 from ..operators import sessions as ss
 from ..operators import shop_state
 from ..sources import views as v
+from ..sources import workspace
+from ..sources.ledger import Ledger
 from .reference import REGISTRY
 
 query = REGISTRY.query
@@ -113,6 +115,16 @@ def w36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("event_id", "e.page", "e.goal", "e.content")
 
 
+@query("w36_session_log_batches", v.with_views("steps", "SELECT event_id, event_type AS page, user_id AS goal, value AS content FROM steps"))
+def w36_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written in three batches, the second of them twice, and read again."""
+    ledger = Ledger(spark, workspace.new_path(spark, "log"), "event_id bigint, page string, goal bigint, content double")
+    rows = v.steps(spark, sf_dir).select("event_id", F.col("event_type").alias("page"), F.col("user_id").alias("goal"), F.col("value").alias("content"))
+    for batch in (0, 1, 1, 2):
+        ledger.append(rows.where(F.pmod("goal", F.lit(3)) == batch), f"goals-{batch}")
+    return ledger.read()
+
+
 @query("w43_plan_calls", v.with_views("steps", "SELECT event_id, 'R' || (event_id % 3) || '|R' || (event_id % 5) AS variables, event_type AS name, 'R' || prop_k || ', f(x), \"a\"' AS args, 'R' || (event_id % 3) || '|R' || (event_id % 5) || '|R' || prop_k AS used FROM steps"))
 def w43(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda c: c.cast("string")
