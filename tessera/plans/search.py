@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import dom
 from ..operators import pages as pg
 from ..operators import search as sr
 from ..operators import text_index as ti
@@ -176,6 +177,53 @@ def w39(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "pages").withColumn("r", record).select("page_id", "r.*")
 
 
+def _marked(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def _site() -> Column:
+    return F.element_at(F.array(F.lit("shop"), F.lit("market"), F.lit("auction")), (F.col("page") % 3 + 1).cast("int"))
+
+
+@query("w38_site_results", v.with_views("products", """
+WITH n AS (SELECT *, ord // 12 AS page, ord % 12 AS place, (['shop', 'market', 'auction'])[(ord // 12) % 3 + 1] AS site FROM products)
+SELECT page, site, (row_number() OVER (PARTITION BY page ORDER BY place) - 1)::INT AS pos, asin, name AS title, coalesce(retail, 0) AS low, CASE WHEN site <> 'market' AND ord % 2 = 0 THEN retail + 10 END AS high
+FROM n WHERE place < 10 AND NOT (site = 'auction' AND place = 0)"""))
+def w38_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results pages of three sites, twelve products a page in that site's markup, read by its selectors."""
+    rows = v.products(spark, sf_dir).withColumns({"page": F.floor(F.col("ord") / 12), "place": F.col("ord") % 12})
+    asin, name, low, high = F.col("asin"), F.col("name"), F.col("retail"), F.col("retail") + 10
+    price = F.when(F.col("ord") % 2 == 0, _marked("$", low, " to $", high)).otherwise(_marked("$", low))
+    shop = F.when(F.col("ord") % 3 == 0, _marked('<div class="list-group-item x"><div><h5 class="product-price">', price, "</h5></div><h4 class=product-title>\n", name, '\n</h4><a class="product-link">', asin, "</a></div>")).otherwise(
+        _marked("<div class='list-group-item'><section><a class='a product-link'>", asin, '</a><div><h4 class="product-title"><b>', name, '</b></h4><h5 class="product-price"> ', price, " </h5></div></section></div>")
+    )
+    market = _marked('<div data-asin="', asin, '" data-component-type="s-search-result"><h2 class="a-size-mini"><a><span>', name, '</span></a></h2><div class="s-price-instructions-style"><span class="a-offscreen">$', low, "</span></div></div>")
+    title = F.when(F.col("place") == 0, "Shop on eBay").otherwise(name)
+    auction = _marked('<li class="clearfix s-item__wrapper"><span class="s-item__price">', price, '</span><a class="s-item__link" href="https://site/itm/', asin, '?x=1"><h3 class="s-item__title">', title, "</h3></a></li>")
+    marked = rows.withColumn("site", _site()).withColumn("part", F.when(F.col("site") == "shop", shop).when(F.col("site") == "market", market).otherwise(auction))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"])
+    pages = marked.groupBy("page", "site").agg(F.concat(F.lit("<html><body><nav>menu</nav><ul>"), F.array_join(parts, "\n"), F.lit("</ul></body></html>")).alias("html"))
+    read = dom.read_results(pages).select("page", "site", F.posexplode("records").alias("pos", "r"))
+    return read.select("page", "site", "pos", "r.asin", "r.title", "r.low", "r.high")
+
+
+@query("w39_site_items", v.with_views("products", """
+SELECT asin, (['shop', 'market', 'auction'])[ord % 3 + 1] AS site, name AS title, retail AS low, CASE WHEN ord % 3 = 1 THEN 'N/A' ELSE '4.' || (size % 10) END AS rating, CASE WHEN ord % 3 = 2 THEN 'N/A' ELSE category END AS description,
+  'color=' || attributes[1] || ',' || attributes[2] || ';size=' || size AS options FROM products"""))
+def w39_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item pages of three sites: title, price, rating, description and options by selectors."""
+    rows = v.products(spark, sf_dir).withColumn("page", F.col("ord"))
+    name, low, size, first, second, told, rating = F.col("name"), F.col("retail"), F.col("size"), F.col("attributes")[0], F.col("attributes")[1], F.col("category"), _marked("4.", F.col("size") % 10)
+    shop = _marked("<h2>", name, "</h2><img src=/a.png><h4>Price: $", low, "</h4><h4>Rating: ", rating, '</h4><div class="radio-toolbar"><input name="color"><label>', first, "</label><input name=color><label>", second, '</label></div><div class="y radio-toolbar"><label>', size, '</label><input name="size"></div><p class="product-info">\n', told, "</p>")
+    group = lambda n, *values: _marked(f"<ul data-a-button-group='{{\"name\":\"{n}\"}}'>", *(_marked("<li><span> ", x, " </span>") for x in values), "</ul>")
+    market = _marked('<div><div id="twister_feature_div">', group("color_name", first, second), group("twister_size", size), "</div></div><span id=productTitle> ", name, ' </span><span class="apexPriceToPay"><span class="a-offscreen">$', low, '</span></span><div id="productDescription_feature_div"><div id="productDescription"><p>', told, "</p></div></div>")
+    choose = lambda n, *values: _marked(f'<select name="{n}:" class="msku-sel"><option>- Select -</option>', *(_marked("<option>", x) for x in values), "</select>")
+    auction = _marked('<h1 class="x-item-title__mainTitle"><span>', name, "</span></h1>", choose("color", first, second), choose("size", size), '<div class="mainPrice">US $', low, '</div><span class="reviews-star-rating" title="', rating, ' out of 5"></span>')
+    pages = rows.select("asin", _site().alias("site"), F.when(F.col("page") % 3 == 0, shop).when(F.col("page") % 3 == 1, market).otherwise(auction).alias("html"))
+    options = F.array_join(F.transform("item.options", lambda o: F.concat(o["name"], F.lit("="), F.array_join(o["values"], ","))), ";")
+    return dom.read_items(pages).select("asin", "site", "item.title", "item.low", "item.rating", "item.description", options.alias("options"))
+
+
 @query("w44_semantic_top_k", """
 WITH q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings WHERE vec_id % 25 = 0),
 s AS (SELECT q.query_id, e.vec_id AS item_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM q JOIN embeddings e USING (label) WHERE e.vec_id <> q.query_id),
