@@ -29,8 +29,8 @@ def to_turns(conversations: DataFrame) -> DataFrame:
 _LLAMA3 = "<|start_header_id|>{}<|end_header_id|>\n\n"
 
 
-def render_llama2(messages: Column) -> Column:
-    """A prompt in the second-generation chat form.
+def pieces_llama2(messages: Column) -> Column:
+    """Each message's part of a prompt in the second-generation chat form.
 
     The system text is wrapped into the first user turn: whatever turn is at index 0, a user turn at
     index 1 gets no opening of its own if that turn has content. Null system turns are left out.
@@ -51,11 +51,11 @@ def render_llama2(messages: Column) -> Column:
             .otherwise(text)
         )
 
-    return F.array_join(F.transform(messages, one), "")
+    return F.transform(messages, one)
 
 
-def render_llama3(messages: Column) -> Column:
-    """A prompt in the third-generation chat form; a last assistant turn without content ends the prompt open."""
+def pieces_llama3(messages: Column) -> Column:
+    """Each message's part of a prompt in the third-generation chat form; a last assistant turn without content ends the prompt open."""
 
     def one(m: Column, i: Column) -> Column:
         known = m["role"].isin("system", "user", "assistant")
@@ -64,16 +64,27 @@ def render_llama3(messages: Column) -> Column:
         tail = F.when(known, "<|eot_id|>").otherwise("")
         return F.when((m["role"] == "system") & m["content"].isNull(), "").when(last_stub, head).otherwise(F.concat(head, F.coalesce(m["content"], F.lit("None")), tail))
 
-    return F.array_join(F.transform(messages, one), "")
+    return F.transform(messages, one)
 
 
-RENDERERS = {"llama2": render_llama2, "llama3": render_llama3}
+PIECES = {"llama2": pieces_llama2, "llama3": pieces_llama3}
 
 
-def render(messages: Column, template: str) -> Column:
-    if template not in RENDERERS:
+def pieces(messages: Column, template: str) -> Column:
+    """Array of texts, one a message, that joined are the prompt."""
+    if template not in PIECES:
         raise ValueError(f"unknown chat template {template}")
-    return RENDERERS[template](messages)
+    return PIECES[template](messages)
+
+
+def render(messages: Column, template: str) -> Column:
+    return F.array_join(pieces(messages, template), "")
+
+
+def reply_start(role: Column, template: str) -> Column:
+    """How many letters of an assistant's piece come before its reply; null for other roles."""
+    head = len(_LLAMA3.format("assistant")) if template == "llama3" else 0
+    return F.when(role == "assistant", head)
 
 
 # ---- roles

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conversations as cv
+from ..operators import token_turns as tt
 from ..sources import views as v
 from .reference import REGISTRY
 
@@ -111,6 +112,27 @@ def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.trim_singles(v.turns(spark, sf_dir), _words(F.col("text")), 90).select("conv_id", "turn", "size")
 
 
+def _tokenizer() -> str:
+    """A public tokenizer's file; the operators take any."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("c08_trim_tokens")
+def c08_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole prompts counted by a tokenizer, pairs dropped until they fit; no SQL has the tokenizer, a loop stands for it in the tests."""
+    kept = tt.trim_pairs(_messages(spark, sf_dir), "llama2", 300, _tokenizer())
+    return kept.select("conv_id", F.size("messages").alias("n_messages"), "plan.dropped", "plan.before", "plan.after")
+
+
+@query("c09_trim_tokens")
+def c09_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As c08_trim_tokens in the third-generation form, one message at a time."""
+    kept = tt.trim_singles(_messages(spark, sf_dir), "llama3", 300, _tokenizer())
+    return kept.select("conv_id", F.size("messages").alias("n_messages"), "plan.dropped", "plan.before", "plan.after")
+
+
 @query(
     "c09_trim_statistics",
     v.with_views("turns numbered", f"""
@@ -224,6 +246,32 @@ def c19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.loss_mask(v.turns(spark, sf_dir), F.split("text", " ", -1)).select("conv_id", "turn", F.col("at").alias("pos"), "label")
 
 
+def _mask_tokens(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    rows = tt.loss_mask(_messages(spark, sf_dir), template, _tokenizer(), bos=50_256, length=512, pad=50_256)
+    learnt = F.filter("labels", lambda x: x != cv.IGNORE)
+    return rows.select("conv_id", F.size(learnt).alias("n_learnt"), F.sha2(F.array_join("ids", ","), 256).alias("ids"), F.sha2(F.array_join("labels", ","), 256).alias("labels"))
+
+
+@query("c19_loss_mask_tokens_llama2")
+def c19_llama2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by token spans; tested against a rule over letters."""
+    return _mask_tokens(spark, sf_dir, "llama2")
+
+
+@query("c19_loss_mask_tokens_llama3")
+def c19_llama3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mask_tokens(spark, sf_dir, "llama3")
+
+
+@query("c20_token_profile")
+def c20_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of rendered conversations in tokens."""
+    prompt = cv.render(F.col("messages"), "llama2")
+    rows = _messages(spark, sf_dir).select("conv_id", tt.token_count(prompt, _tokenizer(), 1).alias("size"))
+    profile = cv.length_profile(rows, "size", 512)
+    return profile.select(*(F.round(c, 6).alias(c) if c in ("mean", "over_share") else F.col(c) for c in profile.columns))
+
+
 v.SQL["lengths"] = "SELECT doc_id, len(string_split(text, ' ')) AS size FROM documents"
 
 
