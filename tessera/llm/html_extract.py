@@ -6,8 +6,13 @@ Parent-child potentials connect a node to its element, unary potentials hold wha
 node: tag, words of class, id and role, share of linked text, copyright sign. Both are estimated from labelled pages. Sum-product message passing, once upward and once downward, gives
 each run's exact marginal; runs at 0.5 or more are the main text.
 
+What says nothing must not count against a text: an element's class speaks by its words alone, unknown words say
+nothing, and general boxes speak only where most of their text is linked, once for a list and not for each of its items. The
+words of an inline element, and what speaks against a box, are part of its edge, normalised for either label of its parent: they
+decide about the element and never about what it stands in. Inline elements of wording (em, code and the like) have no words, links none within a sentence.
+
 The labelled pages are (html, list of content blocks). ``labelled_pages`` writes them from a seed: a
-bounded set in many layouts, whose texts say little about the label, so that structure decides.
+bounded set in many layouts, whose texts say little about the label, with class words drawn apart from it, so that structure decides.
 
 Plan: one scan, no shuffle; a page is parsed by one pass of a tokeniser that never recurses, and a
 task holds one batch. The fitted potentials are a few hundred numbers.
@@ -16,7 +21,7 @@ Defined results: a null or empty page has the empty text. Character references a
 space inside a block becomes one space; blocks are trimmed and joined by two line feeds; nothing is
 cut. Unclosed, misnested and truncated markup is read as a browser would in outline; an unclosed
 button, drawing or other silent element hides no more than the text up to the next tag. Text of
-hidden elements is left out. Repeated rows give repeated results; other columns are ignored.
+hidden elements (hidden, aria-hidden, by style) is left out. Repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +61,10 @@ _SILENT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_SILENT))})\b[^>]*>", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key closes open elements of the value, up to the nearest one outside it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
+#: Elements of wording: their classes are about looks.
+_WORDING = frozenset("abbr b bdi bdo big cite code data del dfn em font i kbd mark q s samp small strike strong sub sup time tt u var".split())
+#: Boxes that hold anything, and lists: they speak only by the share of linked text.
+_GENERAL = frozenset("div section center ul ol menu dl table hgroup details dialog fieldset figure".split())
 _SCOPE = frozenset("ul ol menu dl table body html article div section main".split())
 
 
@@ -211,7 +220,7 @@ def _attribute_words(rest: str) -> tuple[str, ...]:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "aria-label", "itemprop", "data-testid"):
             found.update(w.lower() for w in _WORD.findall(value))
-        elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             found.add("#hidden")
     return tuple(sorted(found))
 
@@ -230,25 +239,53 @@ def observations(page: Page) -> list[tuple]:
         p = page.parent[i]
         size[p] += size[i]
         linked[p] += linked[i]
-    seen = []
+    share = lambda a, b: 0 if not a else 1 if 3 * a < b else 2 if 10 * a < 9 * b else 3
+    seen: list[tuple] = []
+    told: set[int] = set()
     for i in range(n):
-        if page.tag[i] == "#text":
-            size[i], linked[i] = whole[page.block_of[i]]
-        share = 0 if not linked[i] else 1 if 3 * linked[i] < size[i] else 2 if 10 * linked[i] < 9 * size[i] else 3
-        if page.tag[i] == "#text":
-            seen.append((("linked", share), ("sign", "©" in page.text[i])))
+        tag, words = page.tag[i], page.words[i]
+        if tag == "#text":
+            above = page.parent[i]
+            while above > 0 and page.tag[above] not in _BLOCKS:
+                above = page.parent[above]
+            # the links of an item or paragraph are told by its element or list, those of loose text by its first run
+            loose = _edge(page.tag[above]) == "box" and page.block_of[i] not in told
+            told.add(page.block_of[i])
+            b, a = whole[page.block_of[i]]
+            seen.append(((("linked", share(a, b)),) if loose else ()) + (("sign", "©" in page.text[i]),))
+        elif tag not in _BLOCKS and i:
+            b, a = whole.get(_block_below(page, i), (0, 0))
+            silent = tag in _WORDING or (tag == "a" and share(a, b) < 3)
+            seen.append(() if silent else tuple(("word", w) for w in words))
         else:
-            tag = page.tag[i]
-            seen.append((("tag", (tag, share, bool(page.words[i]))), *(("word", w) for w in page.words[i])))
+            outer = tag in _GENERAL and page.tag[page.parent[i]] in ("body", "html", "#root")
+            told_by_links = share(linked[i], size[i]) if tag in _GENERAL or _edge(tag) == "inner" else 0
+            seen.append((("tag", (tag, told_by_links, outer)), *(("word", w) for w in words)))
     return seen
 
 
+def _block_below(page: Page, i: int) -> int:
+    """The block that the first run inside an inline element is part of."""
+    last = {i}
+    for j in range(i + 1, len(page.parent)):
+        if page.parent[j] not in last:
+            break
+        if page.tag[j] == "#text":
+            return page.block_of[j]
+        last.add(j)
+    return -1
+
+
 #: Largest log-odds of a feature. Lengths and punctuation are no features: a page of many short blocks would outvote its structure.
 _STRENGTH = {"tag": 6.0, "word": 6.0, "linked": 1.0, "sign": 1.0}
 #: Paragraphs, items, cells, headings, inline elements and runs come in numbers: their tags may only speak against content, and only clearly.
-_INNER_STRENGTH, _CLEAR = 1.0, 0.75
+_INNER_STRENGTH, _GENERAL_STRENGTH, _CLEAR = 1.0, 2.0, 0.75
+#: A class word speaks if it was seen so often and clearly; few sightings with one label alone are clear.
+_LEAST_SEEN, _CLEAR_WORD, _WORD_SMOOTHING = 8, 1.5, 0.1
+#: Items of lists say nothing by their own tags and links, their lists do.
+_ITEMS = frozenset("li dt dd tr tbody thead tfoot".split())
 #: Least probability that an inner element or run differs from its parent, where that is no content and where it is.
-_FLOOR = {"text": (0.001, 0.001), "inner": (0.1, 0.1), "inline": (0.01, 0.3), "box": (0.0, 0.0)}
+_FLOOR = {"text": (0.001, 0.001), "inner": (0.1, 0.1), "inline": (0.01, 0.3), "box": (0.01, 0.04)}
 
 
 class Model:
@@ -275,14 +312,25 @@ class Model:
             known = self.unary.get(("word", word[:n]), self.unary.get(("word", word[-n:])))
         return known or 0.0
 
+    def potentials(self, page: Page) -> tuple[list[float], list[tuple[float, float, float, float]]]:
+        """Of every node the unary log-odds and the table of its edge: 2 * parent + node."""
+        unary, kinds = [self._odds(s) for s in observations(page)], [self.edges[_edge(t)] for t in page.tag]
+        unary[0] += self.prior
+        for i, tag in enumerate(page.tag):
+            kind = _edge(tag) if i else "#root"
+            if (kind == "inline" and unary[i]) or (kind in ("box", "inner") and unary[i] < 0):
+                p00, p01, p10, p11 = kinds[i]
+                odds = math.exp(unary[i])
+                a, b = p00 + p01 * odds, p10 + p11 * odds
+                kinds[i], unary[i] = (p00 / a, p01 * odds / a, p10 / b, p11 * odds / b), 0.0
+        return unary, kinds
+
     def marginals(self, page: Page) -> list[float]:
         """Log-odds of content at every node, by one upward and one downward sweep."""
         exp, log = math.exp, math.log
-        belief = [self._odds(s) for s in observations(page)]
-        belief[0] += self.prior
+        belief, kinds = self.potentials(page)
         n = len(belief)
         up = [0.0] * n
-        kinds = [self.edges[_edge(t)] for t in page.tag]
         parent = page.parent
         for i in range(n - 1, 0, -1):
             odds = exp(max(-40.0, min(40.0, belief[i])))
@@ -313,6 +361,7 @@ def train(pages: Iterable[tuple[str, list[str]]], smoothing: float = 0.5) -> Mod
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     kinds: dict[str, np.ndarray] = {k: np.full((2, 2), smoothing) + (np.eye(2) * 10 if k == "inline" else 0) for k in ("text", "inner", "inline", "box")}
     groups: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    labelled: list[tuple[Page, list[int]]] = []
     for html, blocks in pages:
         page, wanted = Page(html), Counter(blocks)
         n = len(page.parent)
@@ -325,6 +374,7 @@ def train(pages: Iterable[tuple[str, list[str]]], smoothing: float = 0.5) -> Mod
                 all_[page.parent[i]] += all_[i]
         # an element of mixed runs is content: what it holds need not be
         label = [1 if g else 0 for g in good]
+        labelled.append((page, label))
         for i, seen in enumerate(observations(page)):
             counts[label[i]].update(seen)
             groups[label[i]].update({f[0] for f in seen})
@@ -333,14 +383,28 @@ def train(pages: Iterable[tuple[str, list[str]]], smoothing: float = 0.5) -> Mod
     unary = {}
     values = Counter(f[0] for f in {*counts[0], *counts[1]})
     for f in {*counts[0], *counts[1]}:
-        a, b = ((counts[c][f] + smoothing) / (groups[c][f[0]] + smoothing * values[f[0]]) for c in (1, 0))
+        if f[0] == "word" and counts[0][f] + counts[1][f] < _LEAST_SEEN:
+            continue
+        some = _WORD_SMOOTHING if f[0] == "word" else smoothing
+        a, b = ((counts[c][f] + some) / (groups[c][f[0]] + some * values[f[0]]) for c in (1, 0))
         most = _STRENGTH[f[0]]
         value = max(-most, min(most, math.log(a / b)))
+        if f[0] == "word" and abs(value) < _CLEAR_WORD:
+            value = 0.0
         if f[0] in ("linked", "sign") or (f[0] == "tag" and _edge(f[1][0]) == "inner"):
-            value = max(-_INNER_STRENGTH, value) if value <= -_CLEAR else 0.0
-        if f[0] == "tag" and _edge(f[1][0]) == "inline":  # only its words tell an inline element from its block
+            told = f[1] is True if f[0] == "sign" else (f[1] if f[0] == "linked" else f[1][1]) >= 2
+            value = max(-_INNER_STRENGTH, value) if value <= -_CLEAR and told else 0.0
+        if f[0] == "tag" and f[1][0] in _GENERAL:
+            value = (value if f[1][2] else max(-_GENERAL_STRENGTH, value)) if value <= -_CLEAR and f[1][1] >= 2 else 0.0
+        if f[0] == "tag" and (f[1][0] in _ITEMS or f[1][0] == "#root"):
             value = 0.0
         unary[f] = value
+    # what speaks for or against a box is in its potential: its edge tells what a box is that nothing speaks of
+    told, kinds["box"] = Model(unary, {}, 0.0), np.full((2, 2), smoothing)
+    for page, label in labelled:
+        for i, seen in enumerate(observations(page)):
+            if i and _edge(page.tag[i]) == "box" and abs(told._odds(seen)) < _CLEAR:
+                kinds["box"][label[page.parent[i]], label[i]] += 1
     tables = {}
     for kind, t in kinds.items():
         stay = np.clip(np.diag(t) / t.sum(1), 0, 1 - np.array(_FLOOR[kind]))
@@ -351,9 +415,9 @@ def train(pages: Iterable[tuple[str, list[str]]], smoothing: float = 0.5) -> Mod
 # Class and id words of common page furniture and of main text, for the written training pages.
 _FURNITURE = {
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar tabs pagination pager links skip toc",
-    "header": "header masthead banner branding logo top hero-nav site-title tagline",
-    "footer": "footer bottom colophon copyright legal imprint footnote-links sitemap",
-    "aside": "sidebar aside widget rail related recommended trending popular more promo teaser secondary complementary",
+    "header": "header masthead banner branding logo hero-nav tagline",
+    "footer": "footer colophon copyright legal imprint footnote-links sitemap",
+    "aside": "sidebar aside widget rail related recommended trending popular promo teaser complementary",
     "ad": "ad ads advert advertisement sponsor sponsored adsense banner-ad promo-box commercial dfp outbrain taboola",
     "notice": "notice alert cookie consent gdpr popup modal overlay message warning info-bar disclaimer paywall announcement",
     "form": "form search newsletter subscribe signup login register contact-form poll",
@@ -376,10 +440,19 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
         end = rng.choice([".", ".", ".", "!", "?", "", " |", "$$$", "%%%"])
         return " ".join(words).capitalize() + end
 
+    places = "top bottom left right inner outer first last wide narrow col row wrap box block item list group panel grid cell lead intro primary secondary link note title more external".split()
+
+    def anyhow() -> str:
+        """A class word that says nothing about the label."""
+        return rng.choice([word(), f"{word()}-{word()}", rng.choice(places), f"{rng.choice(places)}-{word()}", f"{rng.choice(places)}-{rng.randint(1, 12)}"])
+
+    def plain(p: float = 0.3) -> str:
+        return f' {rng.choice(["class", "class", "id"])}="{" ".join(anyhow() for _ in range(rng.choice([1, 1, 2])))}"' if rng.random() < p else ""
+
     def classed(words: str, p: float = 0.85) -> str:
         if rng.random() > p:
-            return ""
-        chosen = rng.sample(words.split(), 1 + (rng.random() < 0.25))
+            return plain()
+        chosen = rng.sample(words.split(), 1 + (rng.random() < 0.25)) + ([anyhow()] if rng.random() < 0.3 else [])
         return f' {rng.choice(["class", "class", "id"])}="{" ".join(chosen)}"'
 
     def links(tag: str = "li") -> str:
@@ -396,7 +469,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
         if kind == "nav":
             tag = rng.choice(["nav", "nav", "div", "ul"])
             inner = links() if tag != "ul" else "".join(f'<li><a href="/">{word()}</a></li>' for _ in range(5))
-            return f"<{tag}{classed(words, 0.5 if tag == 'nav' else 1)}>{inner}</{tag}>"
+            return f"<{tag}{classed(words, 0.5 if tag == 'nav' else 0.8)}>{inner}</{tag}>"
         if kind == "header":
             tag = rng.choice(["header", "header", "div"])
             return f"<{tag}{classed(words, 0.5 if tag == 'header' else 1)}>{rng.choice([lines(6), f'<a href=/>{word()}</a>', f'<h2>{word()}</h2>', furniture('nav')])}</{tag}>"
@@ -431,11 +504,13 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
                     shown = rng.choice([f"<b>{shown}</b>", f"<b>{shown}<br>", f"<em>{shown}</em>", f"<span>{shown}</span>", f'<a href="/x">{shown}</a>', f'<span class="{word()}">{shown}</span>', f'<{(k := rng.choice(["b", "span", "em"]))} id="{word()}">{shown}</{k}>'])
                 if rng.random() < 0.02:
                     shown += f'<span{classed(_FURNITURE[rng.choice(["ad", "ad", "share", "notice"])], 1)}>{escape(prose(10))}</span>'
-                return f"<p>{shown}" + ("</p>" if rng.random() < 0.85 else "")
+                return f"<p{plain()}>{shown}" + ("</p>" if rng.random() < 0.85 else "")
             if r < 0.76:
-                return f"<h{(k := rng.randint(2, 4))}>{said(prose(8))}</h{k}>"
+                return f"<h{(k := rng.randint(2, 4))}{plain()}>{said(prose(8))}</h{k}>"
             if r < 0.84:
-                return "<ul>" + "".join(f"<li>{said(prose(15))}</li>" for _ in range(rng.randint(1, 4))) + "</ul>"
+                linked = rng.random() < 0.15
+                item = lambda: f'<a href="/x">{said(prose(15))}</a>' if linked else said(prose(15))
+                return f"<ul{plain()}>" + "".join(f"<li{plain(0.1)}>{item()}</li>" for _ in range(rng.randint(1, 4))) + "</ul>"
             if r < 0.88:
                 return f"<blockquote>{said(prose(30))}</blockquote>" if rng.random() < 0.5 else f"<blockquote><p>{said(prose(30))}</p></blockquote>"
             if r < 0.91:
@@ -444,7 +519,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
                 return "<table>" + "".join("<tr>" + "".join(f"<td>{said(prose(4))}</td>" for _ in range(2)) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>"
             if r < 0.96:
                 return f"<figure><img src=x><figcaption>{said(prose(12))}</figcaption></figure>"
-            return f"<div>{said(prose(60))}</div>"
+            return f"<div{plain()}>{said(prose(60))}</div>"
 
         def body() -> str:
             out = f"<h1>{said(prose(10))}</h1>" if rng.random() < 0.8 else ""
@@ -455,7 +530,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
             return out
 
         tag = rng.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
-        open_ = f"<{tag}{classed(_MAIN, 0.3 if tag in ('article', 'main') else 1)}>"
+        open_ = f"<{tag}{classed(_MAIN, 0.3 if tag in ('article', 'main') else 0.7)}>"
         inner = body()
         if rng.random() < 0.25:
             inner = f"<div{classed(_MAIN, 0.8)}>{inner}</div>"
@@ -465,7 +540,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
         if tag == "td":
             main = f"<table><tr>{main}<td{classed(_FURNITURE['aside'], 1)}>{links()}</td></tr></table>"
         if rng.random() < 0.3:
-            main = f"<main>{main}</main>" if rng.random() < 0.5 else f'<div class="{rng.choice(["container", "wrapper", "row", "layout", "site"])}">{main}{furniture("aside") if rng.random() < 0.5 else ""}</div>'
+            main = f"<main>{main}</main>" if rng.random() < 0.5 else f'<div class="{rng.choice(["container", "wrapper", "row", "layout", "site", anyhow(), anyhow()])}">{main}{furniture("aside") if rng.random() < 0.5 else ""}</div>'
         before = "".join(furniture(k) for k in rng.choice([["nav"], ["header", "nav"], ["header"], ["nav", "ad"], ["notice", "header", "nav"], ["ad"], []]))
         after = "".join(furniture(k) for k in rng.choice([["footer"], ["aside", "footer"], ["comment", "footer"], ["share", "comment", "footer"], ["form", "footer"], ["ad", "footer"], ["nav", "footer"]]))
         shut = "</body></html>" if rng.random() < 0.9 else ""

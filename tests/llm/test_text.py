@@ -305,20 +305,64 @@ def test_unknown_class_words_are_read_by_their_parts():
 
 def test_marginals_are_exact():
     model = html_extract.default_model()
-    page = html_extract.Page("<body><div class='nav'><a href=x>a</a></div><p>one two three</p></body>")
+    page = html_extract.Page("<body><div class='nav'><a href=x>a</a></div><p>one <span class='ad'>two</span> three</p></body>")
     n = len(page.parent)
-    unary = [model._odds(s) for s in html_extract.observations(page)]
+    unary, tables = model.potentials(page)
     weights = np.zeros(n), np.zeros(n)
     for code in range(1 << n):
         x = [(code >> i) & 1 for i in range(n)]
-        w = math.exp(sum(u for u, v in zip(unary, x) if v) + (model.prior if x[0] else 0))
+        w = math.exp(sum(u for u, v in zip(unary, x) if v))
         for i in range(1, n):
-            w *= model.edges[html_extract._edge(page.tag[i])][2 * x[page.parent[i]] + x[i]]
+            w *= tables[i][2 * x[page.parent[i]] + x[i]]
         for i in range(n):
             weights[x[i]][i] += w
     assert model.marginals(page) == pytest.approx(np.log(weights[1] / weights[0]).tolist(), abs=1e-6)
 
 
+@pytest.mark.parametrize("tag", ["div", "section", "article", "main"])
+@pytest.mark.parametrize("word", "wrap col col-md-8 foo chapter left inner bd mw-parser-output primary readme lesson recipe outer page-3 zzz top lead box".split())
+def test_unknown_class_words_keep_the_article(tag, word):
+    model = html_extract.default_model()
+    two = ["Main text one goes here.", "Main text two."]
+    assert model.blocks(f'<body><{tag} class="{word}"><p>{two[0]}</p><p>{two[1]}</p></{tag}></body>') == two
+    many = [f"Sentence {i} of the text." for i in range(20)]
+    body = "".join(f"<p>{t}</p>" for t in many)
+    assert model.blocks(f'<body><nav><a href=/>Home</a></nav><div id="{word}"><{tag} class="{word}"><h1>Head</h1>{body}</{tag}></div><footer>x</footer></body>') == ["Head", *many]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        *((f'<article><p>One.</p><p>See <a class="{c}" href=x>this page</a> for more.</p></article>', ["One.", "See this page for more."]) for c in "external reference internal-link link x1 top author".split()),
+        ('<article><p>And <em class="alert">this</em> goes on <code class="lang-share">share()</code> here.</p></article>', ["And this goes on share() here."]),
+        ('<article><p>One.</p><p class="top-paragraph">Two.</p><div class="callout"><p>Three.</p></div></article>', ["One.", "Two.", "Three."]),
+        ('<article><p>One.</p><ul><li><a href=a>First part</a><li><a href=b>Second part</a><li><a href=c>Third</a></ul><p>End.</p></article>', ["One.", "First part", "Second part", "Third", "End."]),
+        ('<article><p>One <i aria-hidden="true">x</i>two.</p></article>', ["One two."]),
+        ('<div class="foo"><p>Text.</p></div><ul><li><a href=a>Menu one</a><li><a href=b>Menu two</a></ul>', ["Text."]),
+        ('<article class="foo"><p>One.</p><div class="share-buttons"><a href=x>Share</a></div><aside>Other</aside><div class="ad">Buy</div></article>', ["One."]),
+    ],
+)
+def test_what_says_nothing_does_not_count_against(html, want):
+    assert html_extract.default_model().blocks(f"<body><header><a href=/>Home</a></header>{html}<footer>&copy; x</footer></body>") == want
+
+
+def test_class_words_of_no_training_page():
+    """Main text in boxes whose class words were never seen: blocks found and blocks added."""
+    model, rng = html_extract.default_model(), random.Random(5)
+    seen = {f[1] for f in model.unary if f[0] == "word"}
+    fresh = [w for w in ("".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)) if w not in seen]
+    found = wanted = added = 0
+    for _ in range(200):
+        n = rng.randint(1, 9)
+        texts = [f"{' '.join(rng.choice(fresh) for _ in range(rng.randint(2, 20)))}." for _ in range(n)]
+        inner = "".join(rng.choice([f"<p>{t}</p>", f'<p class="{rng.choice(fresh)}">{t}</p>', f'<div class="{rng.choice(fresh)}"><p>{t}</p></div>', f"<blockquote>{t}</blockquote>"]) for t in texts)
+        for tag in rng.choices(["div", "section", "main", "article"], k=rng.randint(1, 3)):
+            inner = f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(fresh)}-{rng.choice(fresh)}">{inner}</{tag}>'
+        got = model.blocks(f"<body><nav><ul><li><a href=/>Home</a></ul></nav><div class=sidebar><p>Side.</p></div>{inner}<footer>&copy; 2024</footer></body>")
+        found, wanted, added = found + sum(t in got for t in texts), wanted + n, added + sum(g not in texts for g in got)
+    assert found >= 0.95 * wanted and added <= 0.02 * wanted
+
+
 @pytest.mark.parametrize(
     "html, want",
     [
