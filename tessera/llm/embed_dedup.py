@@ -20,6 +20,7 @@ Defined results: vectors that are null, zero, empty or hold a null or non-finite
 with nothing: 0 links, their own id as component. Shorter vectors count as padded with zeros. Rows
 sharing an id are separate rows, each with its own links, and a component is named by its smallest
 id. Ids that are null get no component of their own. Labels and other columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

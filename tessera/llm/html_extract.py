@@ -21,7 +21,8 @@ Defined results: a null or empty page has the empty text. Character references a
 space inside a block becomes one space; blocks are trimmed and joined by two line feeds; nothing is
 cut. Unclosed, misnested and truncated markup is read as a browser would in outline; an unclosed
 button, drawing or other silent element hides no more than the text up to the next tag. Text of
-hidden elements (hidden, aria-hidden, by style) is left out. Repeated rows give repeated results; other columns are ignored.
+hidden elements (hidden, aria-hidden, by style) is left out. Repeated rows give repeated results; other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

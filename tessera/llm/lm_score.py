@@ -19,7 +19,8 @@ Words are runs of anything but space and the control characters 9 to 13, A to Z
 
 Defined results: a null, empty or wordless text has 0 tokens, log-probability 0 and a null score.
 Repeated rows are documents of their own, so copies vouch for each other. In a corpus of one
-document every word is unknown. Null doc_ids are scored like any. Other columns are ignored.
+document every word is unknown. Null doc_ids are scored like any. Other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ beyond that joined with salted keys.
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
 null doc_id hashes as the empty text. Of rows with one doc_id or none, some may be taken and others
 not. Sources of size 0 have target 0. An empty table gives an empty result. Further columns may have
-any names.
+any names. ``mix`` tells equal rows apart by their place in ``docs``, which it reads twice: pass a stored table, whose
+rows come in one order, as the pipeline does.
 """
 
 from __future__ import annotations

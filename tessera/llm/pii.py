@@ -20,7 +20,8 @@ leftmost matches as the plain pattern. What stands before a run is asked after i
 so that most places of a text are passed over by one comparison.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive;
-repeated rows give repeated results; null ids stay null; other columns are ignored.
+repeated rows give repeated results; null ids stay null; other columns are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ in 64-bit integers where none can reach 2**63, else in Python's integers.
 Defined results: vectors that are null or hold a null or non-finite component, and rows without
 an id, take no part. Shorter vectors count as padded with zeros. Rows that share an id are rows of
 their own: each query row has its own k results, and every row but itself is a candidate. Ties go
-to smaller ids.
+to smaller ids. Other columns are ignored. An empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations

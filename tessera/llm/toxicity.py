@@ -25,6 +25,7 @@ Labels, language, source and ids are never inputs of a score. Defined results: a
 is scored from no words; without labels every score is 0; with one label value only every score is
 the labels' smoothed mean. Labels that are null or on null ids are ignored; of contradictory labels
 for one id the larger counts. Repeated rows get equal scores. Other columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
