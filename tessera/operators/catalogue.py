@@ -13,12 +13,15 @@ DROPPED_COLUMNS = (
 
 # Colour names, in the order in which they are looked for.
 COLORS = (
-    "alabaster apricot aqua ash asphalt azure banana beige black blue blush bordeaux bronze brown burgundy camel camo caramel champagne charcoal "
-    "cheetah chestnut chocolate christmas coffee cognac copper coral cranberry cream crystal dark denim eggplant elephant espresso fuchsia gold "
-    "granite grape graphite grass gray green grey heather indigo ivory ivy khaki lavender lemon leopard light lilac lime magenta maroon mauve merlot "
-    "midnight mint mocha multicolor mushroom mustard natural navy nude olive orange peach pewter pink plum purple rainbow red rose royal rust sand "
-    "sapphire seashell silver skull slate steel stone stonewash sunflower tan taupe teal tiger turquoise violet walnut wheat white wine yellow"
-).split()
+    "alabaster", "apricot", "aqua", "ash", "asphalt", "azure", "banana", "beige", "black", "blue", "blush", "bordeaux", "bronze", "brown", "burgundy",
+    "camel", "camo", "caramel", "champagne", "charcoal", "cheetah", "chestnut", "chocolate", "christmas", "coffee", "cognac", "copper", "coral",
+    "cranberry", "cream", "crystal", "dark", "denim", "eggplant", "elephant", "espresso", "fuchsia", "gold", "granite", "grape", "graphite", "grass",
+    "gray", "green", "grey", "heather", "indigo", "ivory", "ivy", "khaki", "lavender", "lemon", "leopard", "light", "lilac", "lime", "magenta",
+    "maroon", "mauve", "merlot", "midnight", "mint", "mocha", "multicolor", "mushroom", "mustard", "natural", "navy", "nude", "olive", "orange",
+    "peach", "pewter", "pink", "plum", "purple", "rainbow", "red", "rose", "royal", "rust", "sand", "sapphire", "seashell", "silver", "skull",
+    "slate", "steel", "stone", "stonewash", "sunflower", "tan", "taupe", "teal", "tiger", "turquoise", "violet", "walnut", "wheat", "white", "wine",
+    "yellow",
+)
 
 # Size patterns, in the order in which they are tried.
 SIZE_PATTERNS = (

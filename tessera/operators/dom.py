@@ -114,9 +114,16 @@ def inside(node: Column, within: Column) -> Column:
     return (node["at"] > within["at"]) & (node["at"] < within["end"])
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often a function over the page's nodes asks for it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(page: Column, select: Select, within: Column | None = None) -> Column:
     """The matching nodes in page order, of the whole page or inside one node."""
-    return F.filter(page, lambda n: select.matches(n) if within is None else select.matches(n) & inside(n, within))
+    if within is None:
+        return F.filter(page, select.matches)
+    return _bound(within, lambda w: F.filter(page, lambda n: inside(n, w) & select.matches(n)))
 
 
 def find(page: Column, path: tuple[Select, ...], within: Column | None = None) -> Column:
@@ -128,8 +135,8 @@ def find(page: Column, path: tuple[Select, ...], within: Column | None = None) -
 
 def text(page: Column, node: Column) -> Column:
     """All text inside a node, null for a null node."""
-    parts = F.filter(page, lambda m: (m["tag"] == "#text") & inside(m, node))
-    return F.when(node.isNotNull(), F.array_join(F.transform(parts, lambda m: m["text"]), ""))
+    parts = lambda w: F.filter(page, lambda m: (m["tag"] == "#text") & inside(m, w))
+    return _bound(node, lambda w: F.when(w.isNotNull(), F.array_join(F.transform(parts(w), lambda m: m["text"]), "")))
 
 
 def attribute(node: Column, name: str) -> Column:
@@ -211,9 +218,9 @@ def results(page: Column, site: str, most: int = 10) -> Column:
 
     def record(node: Column) -> Column:
         values = {f.name: f.value(page, node) for f in fields}
-        found = numbers(values["price"])
-        texts = [F.coalesce(values[n], F.lit(MISSING)).alias(n) for n in ("asin", "title", "price")]
-        return F.struct(*texts, F.get(found, F.lit(0)).alias("low"), F.get(found, F.lit(1)).alias("high"))
+        texts = F.struct(*(F.coalesce(values[n], F.lit(MISSING)).alias(n) for n in ("asin", "title", "price")))
+        price = lambda r, i: F.get(numbers(r["price"]), F.lit(i))
+        return _bound(texts, lambda r: F.struct(r["asin"], r["title"], r["price"], price(r, 0).alias("low"), price(r, 1).alias("high")))
 
     made = F.transform(F.slice(find_all(page, mark), 1, most), record)
     return F.filter(made, lambda r: ~F.contains(F.lower(r["title"]), F.lit("shop on ebay"))) if site == "auction" else made
@@ -237,9 +244,9 @@ def item(page: Column, site: str) -> Column:
     if site == "market":
         paragraphs = F.transform(find_all(page, Select("p"), find(page, (Select("div", id="productDescription_feature_div"), Select("div", id="productDescription")))), lambda p: text(page, p))
         values["description"] = F.when(values["description"].isNotNull(), tidy(F.array_join(paragraphs, " ")))
-    texts = [F.coalesce(values.get(n, F.lit(None).cast("string")), F.lit(MISSING)).alias(n) for n in ITEM_FIELDS]
-    low = F.get(numbers(values["price"]), F.lit(0)).alias("low")
-    return F.struct(*texts, low, item_options(page, site).alias("options"))
+    texts = F.struct(*(F.coalesce(values.get(n, F.lit(None).cast("string")), F.lit(MISSING)).alias(n) for n in ITEM_FIELDS))
+    low = lambda r: F.get(numbers(r["price"]), F.lit(0)).alias("low")
+    return _bound(texts, lambda r: F.struct(*(r[n] for n in ITEM_FIELDS), low(r), item_options(page, site).alias("options")))
 
 
 def item_options(page: Column, site: str) -> Column:

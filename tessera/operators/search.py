@@ -16,15 +16,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\w\w+)"), F.lit(1))
 
 
-def term_table(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """The inverted index: (term, key, tf, dl). Counted map-side; ``dl`` is the document's length in words."""
+def term_table(docs: DataFrame, key: str, words: Column, only: DataFrame | None = None) -> DataFrame:
+    """The inverted index: (term, key, tf, dl). Counted map-side; ``dl`` is the document's length in words.
+
+    With ``only``, a table of terms, other words go before anything is counted or moved.
+    """
     rows = docs.select(key, words.alias("words")).select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
+    if only is not None:
+        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_statistics(docs: DataFrame, words: Column) -> DataFrame:
-    """One row: the number of documents and their mean length."""
-    return docs.select(F.size(words).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def corpus_statistics(docs: DataFrame, n_words: Column) -> DataFrame:
+    """One row: the number of documents and their mean length, given each one's number of words."""
+    return docs.select(n_words.alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def bm25(index: DataFrame, statistics: DataFrame, queries: DataFrame, key: str, k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
