@@ -4,6 +4,12 @@ toxicity: documents that the model rejects go. near_duplicates: one document of
 (five-word shingles, similarity 0.8). personal_data: spans are replaced by their kind. mixing: each
 source is taken as often as its target weight asks. packing: whole texts become sequences of at most
 2048 tokens; the result is one row a piece.
+
+Defined results: null and empty texts are kept by the first stage if the model's score for no words is below
+its threshold, have no shingles and so no near copies, hold no spans, count as size 0, and become one piece of the end
+id alone where mixing takes them. Of near copies the smallest id stays; rows without an id count by their texts. Repeated
+rows are near copies of one another. A null source is a source of its own. Very long texts are processed whole and cut
+in packing only. An empty table gives an empty result. Further columns travel to the last stage but one, whatever their names.
 """
 
 from __future__ import annotations

@@ -39,7 +39,8 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHER
 def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")
     asked = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(_words("text")).alias("term"))
-    found = sr.bm25(sr.term_table(docs, "doc_id", _words("text")), sr.corpus_statistics(docs, _words("text")), asked, "doc_id")
+    n_words = F.regexp_count(F.lower("text"), F.lit(_TEXT_WORDS))
+    found = sr.bm25(sr.term_table(docs, "doc_id", _words("text"), asked), sr.corpus_statistics(docs, n_words), asked, "doc_id")
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
