@@ -10,11 +10,14 @@ descend, and small remainders are compared by their cosines in double precision.
 decided exactly, and no group's pairs are written out: a task returns counts of links and one
 spanning star per component of what it saw.
 
-Plan: block pairs that the blocks' own covering radii exclude are dropped on a table of one row a
-block before any vector moves. A block holds at most ``BLOCK`` classes; a pivot's surplus is split
-by hash into further blocks, so a hot group of near copies spreads over many tasks. Each tree is
-built once and saved. The work on data without close groups is quadratic in the number of blocks,
-as for any exact method; the saved constant is one matrix product of the tree centres.
+Plan: a block holds at most ``BLOCK`` classes; a pivot's surplus is split by hash into further
+blocks, so a hot group of near copies spreads over many tasks. Each tree is built once and saved.
+Block pairs meet in a Cartesian product of the saved table with itself, which reads it again and
+writes nothing; pairs that the blocks' own covering radii exclude go before their vectors reach
+Python. Vectors are moved twice (to meet their copies, and to their block) and saved twice, whatever the
+size; everything else goes by class or by a hash of 128 bits. The work on data without close
+groups is quadratic in the number of blocks, as for any exact method; the saved constant is one
+matrix product of the tree centres.
 
 Defined results: vectors that are null, zero, empty or hold a null or non-finite component link
 with nothing: 0 links, their own id as component. Shorter vectors count as padded with zeros. Rows
@@ -46,6 +49,8 @@ MOST_PIVOTS = 4_096
 RADII = (1.0, 0.5, 0.25)
 #: Node pairs with at most this many vector pairs are compared directly.
 DIRECT = 1 << 20
+#: Bytes of block pairs that go to a Python worker at a time.
+BATCH_BYTES = 32_000_000
 _SLACK = 1e-6
 
 
@@ -228,14 +233,19 @@ def _normal(m: np.ndarray) -> np.ndarray:
 def _pairs(width: int, threshold: float):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for row in batch.to_pylist():
                 trees = []
-                for side in ("a", "b")[: 1 if row["i"] == row["j"] else 2]:
+                for side in ("a", "b")[: 1 if row["a"] == row["b"] else 2]:
+                    if side == "a" and last and last[0] == row["a"]:  # a task meets one block with many before the next
+                        trees.append(last[1])
+                        continue
                     points = _normal(np.frombuffer(row[f"{side}_vectors"], row[f"{side}_kind"]).astype(np.float64).reshape(-1, width))
                     cuts = np.frombuffer(row[f"{side}_cuts"], "<i4").astype(np.int64)
                     bounds = np.split(cuts, np.flatnonzero(cuts == len(points))[:-1] + 1)
                     trees.append(Tree(points, np.frombuffer(row[f"{side}_ids"], np.int64), np.frombuffer(row[f"{side}_weights"], np.int64), bounds))
+                last = (row["a"], trees[0])
                 links, edges = dual_traversal(trees[0], trees[-1], len(trees) == 1, threshold)
                 a, b = [*links, *(p for p, _ in edges)], [None] * len(links) + [q for _, q in edges]
                 n = [*links.values(), *[0] * len(edges)]
@@ -256,8 +266,9 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, id_c
     kind = "<f4" if "float" in dict(rows.dtypes)["embedding"] else "<f8"
     padded = F.concat("embedding", F.array_repeat(F.lit(0).cast(dict(rows.dtypes)["embedding"][6:-1]), F.lit(width) - F.size("embedding")))
     rows = rows.withColumn("vector", F.when(fit, padded))
+    key = F.when(F.col("vector").isNotNull(), F.struct(F.xxhash64("vector").alias("x"), F.xxhash64(F.lit(1), "vector").alias("y"))).alias("key")
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
-    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("class"), "vector", "least", "weight"), "classes")  # ids hold once saved
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("class"), "vector", key, "least", "weight"), "classes")  # ids hold once saved
     n = classes.count()
 
     # the tree's top: pivots from a bounded sample in hash order, which only decides who shares a block
@@ -273,8 +284,8 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, id_c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["class", "vector", "weight", "pivot"])
 
     dealt = classes.select("class", "vector", "weight").mapInArrow(nearest, f"class bigint, vector {dict(classes.dtypes)['vector']}, weight bigint, pivot int")
-    dealt = scratch.save(dealt, "dealt")
-    sizes = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # at most MOST_PIVOTS rows
+    sizes = scratch.save(dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), "sizes")  # at most MOST_PIVOTS rows
+    total = sizes.agg(F.sum("parts")).first()[0]
     blocked = dealt.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
 
     parts = ("vectors", "ids", "weights", "cuts")
@@ -289,46 +300,40 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, id_c
         columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([centre.tolist()]), pa.array([spread]), *(pa.array([x.tobytes()]) for x in rest)]
         return pa.table(columns, names=["pivot", "part", "centre", "spread", *parts])
 
-    built = blocked.groupBy("pivot", "part").applyInArrow(build, "pivot int, part int, centre array<double>, spread double, vectors binary, ids binary, weights binary, cuts binary")
-    built = scratch.save(built.select((F.col("pivot") * F.lit(1 << 32).cast("bigint") + F.col("part")).alias("block"), "centre", "spread", *parts), "blocks")
-
-    # block pairs in grid order: each block asks for itself and those after it; pruned by the covering radii
-    heads = built.select("block", "centre", "spread")
-    numbered = scratch.save(_numbered(heads), "heads")
-    total = numbered.count()
-    asks = numbered.select(F.col("number").alias("i"), F.col("block").alias("a"), F.col("centre").alias("ca"), F.col("spread").alias("sa"), F.explode(F.sequence("number", F.lit(total - 1))).alias("j"))
-    others = numbered.select(F.col("number").alias("j"), F.col("block").alias("b"), F.col("centre").alias("cb"), F.col("spread").alias("sb"))
-    cosine = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cosine))
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    kept = asks.join(others, "j").where((F.col("i") == F.col("j")) | (apart <= F.col("sa") + F.col("sb") + F.lit(reach + _SLACK))).select("i", "j", "a", "b")
+    # few blocks a file, so that the readers of the saved table get like shares of it
+    built = blocked.repartition(max(LEAST_PIVOTS, -(-total // 4)), "pivot", "part").groupBy("pivot", "part").applyInArrow(build, "pivot int, part int, centre array<double>, spread double, vectors binary, ids binary, weights binary, cuts binary")
+    built = scratch.save(built.select("pivot", "part", "centre", "spread", *parts), "blocks")
+    classes = scratch.save(classes.select("class", "key", "least", "weight"), "names")
+    scratch.drop("classes")
 
+    # each pair of blocks once, in an order that gives every task of the product about as many; pruned by the covering radii
     def side(name: str) -> DataFrame:
-        return built.select(F.col("block").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in parts), F.lit(kind).alias(f"{name}_kind"))
+        block_id = (F.col("pivot") * F.lit(1 << 32).cast("bigint") + F.col("part")).alias(name)
+        return built.select(block_id, (F.col("pivot") + F.col("part")).alias(f"{name}_odd"), *(F.col(c).alias(f"{name}_{c}") for c in ("centre", "spread", *parts)), F.lit(kind).alias(f"{name}_kind"))
 
-    met = kept.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
-    met = met.repartition(max(1, min(total * (total + 1) // 2, 20_000)))  # a pair is a task's worth of work
-    found = scratch.save(met.mapInArrow(_pairs(width, threshold), "a bigint, b bigint, n bigint"), "found")
+    cosine = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cosine))
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
+    once = (F.col("a") < F.col("b")) == ((F.col("a_odd") + F.col("b_odd")) % 2 == 0)
+    near = (F.col("a") == F.col("b")) | ((F.col("a") != F.col("b")) & once & (apart <= F.col("a_spread") + F.col("b_spread") + F.lit(reach + _SLACK)))
+    met = side("a").hint("shuffle_replicate_nl").join(side("b"), near).drop("a_odd", "b_odd", "a_centre", "b_centre", "a_spread", "b_spread")
+    found = met.mapInArrow(_pairs(width, threshold), "a bigint, b bigint, n bigint")
+    found = scratch.save(found, "found", max(1, BATCH_BYTES // (2 * block * width * np.dtype(kind).itemsize)))
+    scratch.drop("blocks")
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     labels = components(found.where("b is not null").select("a", "b"), scratch, "cc")
 
     per_class = classes.join(links, classes["class"] == links["a"], "left").join(labels, classes["class"] == labels["node"], "left")
-    per_class = per_class.select("class", "vector", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "class").alias("component"))
+    per_class = per_class.select("class", "key", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "class").alias("component"))
     per_class = scratch.save(per_class, "per-class")
     names = per_class.groupBy("component").agg(F.min("least").alias("name"))
-    named = per_class.join(names, "component").select(F.col("vector").alias("v"), "n", "name")
-    out = rows.join(named, rows["vector"] == named["v"], "left")
-    component = F.when(F.col("v").isNotNull(), F.col("name")).otherwise(F.col("vec_id"))
+    named = per_class.join(names, "component").select(F.col("key").alias("k"), "n", "name")
+    keyed = rows.select("vec_id", key)
+    out = keyed.join(named, keyed["key"] == named["k"], "left")
+    component = F.when(F.col("k").isNotNull(), F.col("name")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _numbered(heads: DataFrame) -> DataFrame:
-    """Numbers from 0 for a table of one row a block."""
-    from pyspark.sql import Window
-
-    return heads.withColumn("number", F.row_number().over(Window.orderBy("block")) - 1)
-
-
 SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings

@@ -59,10 +59,10 @@ class Scratch:
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
+    def save(self, df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
         path = self.path(tag)
         before = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        self.spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
         try:
             df.write.mode("overwrite").parquet(path)
         finally:

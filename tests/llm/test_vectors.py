@@ -138,3 +138,15 @@ def test_dual_traversal(seed):
         return [find(i) for i in range(600)]
 
     assert roots(edges) == roots(zip(*np.nonzero(linked)))
+
+
+def test_near_duplicates_moves_vectors_a_fixed_number_of_times(spark):
+    """Blocks of one table meet without being written for every pair of blocks."""
+    moved = lambda: sum(e.totalShuffleWrite() for e in [spark._jsc.sc().statusStore().executorList(True).apply(0)])
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(3000, 64)).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())] + [(3000, [-0.0] + [1.0] * 63), (3001, [0.0] + [1.0] * 63)]
+    before = moved()
+    got = sorted(map(tuple, embed_dedup.near_duplicates(table(spark, rows), block=60).collect()))
+    assert moved() - before < 6 * vectors.nbytes
+    assert got == brute_links(rows)
