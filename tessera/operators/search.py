@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import workspace
+
 K1, B = 0.9, 0.4
 
 #: A short list of English words that say nothing about a text; callers may give their own.
@@ -73,7 +75,8 @@ def corpus_by_category(products: DataFrame, category: str, key: str, order: str,
 def tfidf(docs: DataFrame, category: str, key: str, terms: Column, max_features: int = 1000) -> DataFrame:
     """(category, key, term, score): tf times ln((1+N)/(1+df)) + 1, each document scaled to length 1.
 
-    Per category only the ``max_features`` terms with most occurrences count, ties in term order.
+    Per category only the ``max_features`` terms with most occurrences count, ties in term order. They are saved first, so that
+    postings of other terms are left out before anything moves; ``docs`` dealt out by (category, key) are not dealt again.
     """
     rows = docs.select(category, key, F.explode(terms).alias("term"))
     tf = rows.groupBy(category, key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -81,8 +84,9 @@ def tfidf(docs: DataFrame, category: str, key: str, terms: Column, max_features:
     top = Window.partitionBy(category).orderBy(F.col("total").desc(), "term")
     stats = stats.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= max_features)
     n = docs.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    idf = stats.join(n, category).select(category, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, [category, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    idf = workspace.save(stats.join(n, category).select(category, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    tf = rows.join(idf, [category, "term"]).groupBy(category, key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = tf.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(category, key)))
     return weighted.select(category, key, "term", (F.col("w") / norm).alias("score"))
 

@@ -115,7 +115,7 @@ _ONE, _TWO = "words", "CASE WHEN len(words) >= 2 THEN list_transform(range(1, le
 
 
 def _tfidf(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition("lang", "doc_id")  # texts move, not their postings
     docs = docs.withColumn("words", sr.without_stop_words(_words("text")))
     return sr.tfidf(docs, "lang", "doc_id", sr.ngrams(F.col("words"), n))
 

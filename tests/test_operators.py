@@ -1,6 +1,7 @@
 """Operators against plain recursive or looping versions, on small written cases."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -239,3 +240,15 @@ def test_price_limit_against_a_list_of_tens(spark):
             first, second = int(r.a * len(above)), int(r.b * (len(above) - 1))
             upper = max(above[first], above[second + (second >= first)])
             assert r.l.upper == upper and r.l.text == f", and price lower than {upper:.2f} dollars"
+
+
+def test_tfidf_moves_texts_and_no_postings(spark):
+    from tessera.operators import search
+
+    docs = spark.createDataFrame([("x", 1, "b a b"), ("x", 2, "a c"), ("y", 1, "c")], "lang string, doc int, text string").repartition("lang", "doc")
+    scores = search.tfidf(docs, "lang", "doc", F.split("text", " "), max_features=2)
+    assert scores._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    idf = {"a": math.log(3 / 3) + 1, "b": math.log(3 / 2) + 1}
+    norm = math.hypot(idf["a"], 2 * idf["b"])
+    want = {("x", 1, "a"): idf["a"] / norm, ("x", 1, "b"): 2 * idf["b"] / norm, ("x", 2, "a"): 1.0, ("y", 1, "c"): 1.0}
+    assert {(r.lang, r.doc, r.term): pytest.approx(r.score) for r in scores.collect()} == want
