@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from .conversations import IGNORE, pieces, reply_start
 
 #: Prompts of one conversation that are encoded together while a cut is looked for.
 AT_ONCE = 4
+#: Characters of texts that are encoded together: an encoding takes some hundred bytes a token until it is dropped.
+AT_ONCE_CHARS = 250_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -32,18 +35,44 @@ def encoder(path: str):
     return made
 
 
+def portions(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts (null: empty) in lists of about ``AT_ONCE_CHARS`` characters, a longer text alone."""
+    some: list[str] = []
+    size = 0
+    for scalar in texts:
+        text = scalar.as_py() or ""
+        if some and size + len(text) > AT_ONCE_CHARS:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def token_ids(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        known = [t or "" for t in texts.to_pylist()]
-        return pa.array([e.ids for e in encoder(path).encode_batch(known, add_special_tokens=False)], pa.list_(pa.int32()))
+        kind = pa.list_(pa.int32())
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([e.ids for e in encoder(path).encode_batch_fast(some, add_special_tokens=False)], kind) for some in portions(texts))])
 
     return F.when(text.isNotNull(), run(text))
 
 
 def token_count(text: Column, path: str, extra: int = 0) -> Column:
-    """The number of tokens, and ``extra`` for marks such as the one that begins a prompt."""
-    return F.size(token_ids(text, path)) + extra
+    """The number of tokens, and ``extra`` for marks such as the one that begins a prompt.
+
+    A worker holds the tokens of about ``AT_ONCE_CHARS`` characters at a time, whatever the batch.
+    """
+
+    @F.arrow_udf("int")
+    def run(texts: pa.Array) -> pa.Array:
+        counts: list[int] = []
+        for some in portions(texts):
+            counts += [len(e) for e in encoder(path).encode_batch_fast(some, add_special_tokens=False)]
+        return pa.array(counts, pa.int32())
+
+    return F.when(text.isNotNull(), run(text) + extra)
 
 
 def first_fit(head: list[str], rest: list[str], tail: str, budget: int, path: str, step: int, least: int, extra: int) -> tuple[int, int, int]:

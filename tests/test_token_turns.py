@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,10 @@ def test_pieces_are_the_prompt(spark):
     for template in ("llama2", "llama3"):
         rows = df.select("conv_id", conversations.render(F.col("messages"), template).alias("p")).collect()
         assert {r.conv_id: r.p for r in rows} == {i: plain_render(m, template) for i, m in talks()}
+
+
+def test_tokens_are_held_for_a_portion_of_texts(monkeypatch):
+    monkeypatch.setattr(token_turns, "AT_ONCE_CHARS", 10)
+    texts = ["abcdef", None, "ghi", "jkl", "m" * 50, "n"]
+    assert list(token_turns.portions(pa.array(texts))) == [["abcdef", "", "ghi"], ["jkl"], ["m" * 50], ["n"]]
+    assert list(token_turns.portions(pa.array([], pa.string()))) == []
