@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import workspace
+from . import score_groups as sg
 
 K1, B = 0.9, 0.4
+#: Vectors of a tile.
+VECTORS = 16_384
 
 #: A short list of English words that say nothing about a text; callers may give their own.
 STOP_WORDS = tuple("a an and are as at be but by for from has have he her his i if in is it its my not of on or our she so that the their them they this to was we were will with you your".split())
@@ -37,16 +43,37 @@ def corpus_statistics(docs: DataFrame, n_words: Column) -> DataFrame:
 def bm25(index: DataFrame, statistics: DataFrame, queries: DataFrame, key: str, k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score, rank) of the k best documents of each query; ``queries`` has (query_id, term), distinct.
 
-    Only postings of asked terms are joined; a document's terms meet by (query, document), pre-aggregated
-    before they move, and the rank is trimmed to k per task before the last shuffle.
+    Only postings of asked terms move, once each, to their document's group; a group scores all queries as matrix
+    products and passes on each query's k best.
     """
     asked = queries.select("query_id", "term").distinct()
     terms = asked.select("term").distinct()
-    postings = index.join(terms, "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(statistics)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of statistics
-    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(idf, "term").select("term", key, weight.alias("w")).join(asked, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    index = workspace.save(index.join(terms, "term", "left_semi"), "asked-postings")
+    n, mean = statistics.first()
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
+    weights = sg.tiled(workspace.save(asked.join(idf, "term").select("query_id", "term", "w"), "weights"))
+    groups = max(1, -(-n // sg.GROUP_DOCS))
+    # a document's length is its words' number, so rows of one key that differ in it keep their own
+    rows = index.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("group"), "term", F.col(key).alias("key"), "tf", "dl")
+
+    def found(table: pa.Table, tile: sg.Weights) -> pa.Table:
+        keys = table["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+        order = pc.sort_indices(keys.dictionary, null_placement="at_start").to_numpy()
+        doc = np.argsort(order)[keys.indices.to_numpy()]
+        tf, dl = table["tf"].to_numpy(), table["dl"].to_numpy()
+        query, at, score = [], [], []
+        for start, scores in tile.scores(tile.column_of(table["term"]), doc, tf / (tf + k1 * (1 - b + b * dl / mean)), len(order)):
+            for q, row in enumerate(scores):
+                some = sg.best(row, k, 9)
+                query.append(np.full(len(some), q))
+                at.append(start + some)
+                score.append(row[some])
+        query, at, score = (np.concatenate(x) for x in (query, at, score))
+        return pa.table([tile.queries.take(pa.array(query)), keys.dictionary.take(pa.array(order[at])), pa.array(score)], names=["query_id", key, "score"])
+
+    schema = f"query_id {weights.schema['query_id'].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
+    scored = sg.in_groups(rows, index.sparkSession.range(groups).select(F.col("id").cast("int").alias("group")), weights, found, schema)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -106,13 +133,60 @@ def parse_ranked_attribute(text: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("attribute"), F.get(parts, F.lit(1)).try_cast("double").alias("score"), F.get(parts, F.lit(2)).alias("tags"))
 
 
-def semantic_top_k(queries: DataFrame, items: DataFrame, on: str, score: Column, k: int) -> DataFrame:
-    """The k best items of each query among those with the same ``on``; equal scores in item order."""
-    pairs = queries.join(items, on).withColumn("score", score)
+def semantic_top_k(queries: DataFrame, items: DataFrame, on: str, k: int) -> DataFrame:
+    """(query_id, item_id, score, rank): each query's k best other items by cosine among those with the same ``on``.
+
+    ``queries`` has query_id and q, ``items`` item_id and e; equal scores (to nine places) go in item order. Tiles of at most
+    ``VECTORS`` queries meet tiles of as many items in one matrix product, and only each query's k best of a tile move on. Vectors that
+    are null, hold a null or differ in length have no score and come last.
+    """
+    tiles = [max(1, -(-t.count() // VECTORS)) for t in (queries, items)]
+    number = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.transform(c, lambda x: x.cast("double")))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(on, "query_id", whole("q").alias("vector"), number("query_id", tiles[0]).alias("a"), spread(tiles[1]).alias("b"))
+    told = items.where("item_id is not null").select(on, "item_id", whole("e").alias("vector"), spread(tiles[0]).alias("a"), number("item_id", tiles[1]).alias("b"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double"
+    groups = [t.where(F.col(on).isNotNull()).groupBy(on, "a", "b") for t in (asked, told)]
+    pairs = groups[0].cogroup(groups[1]).applyInArrow(lambda left, right: _best_of_tile(left, right, k), schema)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best_of_tile(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    right = right.sort_by("item_id")
+    sides = [(np.array([-1 if n is None else n for n in pc.list_value_length(t["vector"]).to_pylist()], np.int64), t["vector"].combine_chunks()) for t in (left, right)]
+    units = {}
+    for width in set(sides[0][0]) & set(sides[1][0]) - {-1}:
+        units[width] = []
+        for sizes, vectors in sides:
+            at = np.flatnonzero(sizes == width)
+            m = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
+            with np.errstate(all="ignore"):
+                units[width].append((at, m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]))
+    own, other = left["query_id"].to_numpy(), right["item_id"].to_numpy()
+    query, item, score = [], [], []
+    for start in range(0, len(own) if len(other) else 0, 256):
+        end = min(start + 256, len(own))
+        found, known = np.zeros((end - start, len(other))), np.zeros((end - start, len(other)), bool)
+        for (at, a), (to, b) in units.values():
+            some = (at >= start) & (at < end)
+            here = np.ix_(at[some] - start, to)
+            with np.errstate(all="ignore"):
+                found[here], known[here] = a[some] @ b.T, True
+        # what has no number comes first, what has no score last
+        place = np.where(known, np.where(np.isnan(found), 10.0, np.round(found, 9)), -10.0)
+        place[own[start:end, None] == other[None, :]] = -np.inf
+        least = np.partition(place, max(0, len(other) - k), axis=1)[:, max(0, len(other) - k)]
+        for row in range(end - start):
+            best = np.flatnonzero((place[row] >= least[row]) & (place[row] > -np.inf))
+            best = best[np.argsort(-place[row, best], kind="stable")[:k]]
+            query += [start + row] * len(best)
+            item += best.tolist()
+            score += np.where(known[row, best], found[row, best], None).tolist()
+    return pa.table([left["query_id"].take(pa.array(query, pa.int64())), right["item_id"].take(pa.array(item, pa.int64())), pa.array(score, pa.float64(), from_pandas=False)], names=["query_id", "item_id", "score"])
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

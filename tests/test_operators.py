@@ -252,3 +252,44 @@ def test_tfidf_moves_texts_and_no_postings(spark):
     norm = math.hypot(idf["a"], 2 * idf["b"])
     want = {("x", 1, "a"): idf["a"] / norm, ("x", 1, "b"): 2 * idf["b"] / norm, ("x", 2, "a"): 1.0, ("y", 1, "c"): 1.0}
     assert {(r.lang, r.doc, r.term): pytest.approx(r.score) for r in scores.collect()} == want
+
+
+def test_semantic_top_k_in_tiles(spark, monkeypatch):
+    from tessera.operators import search
+
+    monkeypatch.setattr(search, "VECTORS", 7)
+    rng = random.Random(3)
+    rows = [(i, i % 3, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(60)] + [(60, 9, [1.0] * 4), (61, 8, [1.0] * 4), (62, 8, None)]
+    table = spark.createDataFrame(rows, "id int, label int, v array<float>")
+    asked = table.where("id % 5 = 0 or id > 59").select(F.col("id").alias("query_id"), "label", F.col("v").alias("q"))
+    got = search.semantic_top_k(asked, table.select(F.col("id").alias("item_id"), "label", F.col("v").alias("e")), "label", 3)
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
+    want = {(61, 1): (62, None), (62, 1): (61, None)}  # the only vector of a label has no other, a null vector no score
+    for i, label, v in rows[:60]:
+        best = sorted((-round(cosine(v, w), 9), j) for j, other, w in rows if other == label and j != i)[:3]
+        want |= {(i, n + 1): (j, pytest.approx(-s)) for n, (s, j) in enumerate(best) if i % 5 == 0}
+    assert {(r.query_id, r["rank"]): (r.item_id, r.score) for r in got.collect()} == want
+
+
+def test_bm25_moves_a_posting_once_however_many_ask(spark, monkeypatch):
+    from tessera.operators import score_groups, search
+
+    monkeypatch.setattr(score_groups, "GROUP_DOCS", 5)
+    monkeypatch.setattr(score_groups, "TILE", 3)
+    monkeypatch.setattr(score_groups, "STRIP", 2)
+    rng = random.Random(4)
+    docs = {d: [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for d in range(40)}
+    asked = [(q, t) for q in range(10) for t in rng.sample("abcdxyz", 3)]
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc int, text string")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    queries = spark.createDataFrame(asked, "query_id int, term string")
+    found = search.bm25(search.term_table(table, "doc", words, queries), search.corpus_statistics(table, F.size(words)), queries, "doc", k=4)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    mean = sum(map(len, docs.values())) / len(docs)
+    df = {t: sum(t in w for w in docs.values()) for t in "abcdefghxyz"}
+    want = {}
+    for q in range(10):
+        scores = {d: sum(math.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) / (w.count(t) + 0.9 * (0.6 + 0.4 * len(w) / mean)) for p, t in asked if p == q and t in w) for d, w in docs.items()}
+        best = sorted((-round(s, 9), d) for d, s in scores.items() if s > 0)[:4]
+        want |= {(q, n + 1): (d, pytest.approx(-s)) for n, (s, d) in enumerate(best)}
+    assert {(r.query_id, r["rank"]): (r.doc, r.score) for r in found.collect()} == want
