@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 NODES = "array<struct<at:int,end:int,parent:int,tag:string,attributes:map<string,string>,text:string>>"
 _ARROW = pa.list_(pa.struct([("at", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
 MISSING = "N/A"
+#: Pages of a batch that are Python objects at a time.
+PAGES = 128
 
 # Elements without an end tag, and elements that end where one of the same group begins.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -83,8 +85,11 @@ def parse(html: str | None) -> list[dict]:
 def nodes(html: Column) -> Column:
     @F.arrow_udf(NODES)
     def run(pages: pa.Array) -> pa.Array:
-        rows = [[n | {"attributes": list(n["attributes"].items())} for n in parse(p)] for p in pages.to_pylist()]
-        return pa.array(rows, _ARROW)
+        parts = [pa.array([], _ARROW)]
+        for at in range(0, len(pages), PAGES):  # nodes as Python objects for so many pages, whatever the batch
+            rows = [[n | {"attributes": list(n["attributes"].items())} for n in parse(p)] for p in pages.slice(at, PAGES).to_pylist()]
+            parts.append(pa.array(rows, _ARROW))
+        return pa.concat_arrays(parts)
 
     return run(html)
 

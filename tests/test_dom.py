@@ -64,3 +64,11 @@ def test_nesting_and_order_do_not_matter(spark):
     pages += [f'<section><div class="a list-group-item b"><div><div>{parts[1]}</div></div><span>{parts[2]}{parts[0]}</span></div></section>']
     got = dom.read_results(spark.createDataFrame([("shop", p) for p in pages], "site string, html string")).select(F.explode("records").alias("r")).select("r.*").distinct().collect()
     assert [tuple(r) for r in got] == [("Z", "T", "$3", 3.0, None)]
+
+
+def test_pages_are_parsed_in_portions(spark):
+    assert dom.PAGES <= 1_000
+    pages = [f"<ul>{'<li class=a>x</li>' * (i % 3)}</ul>" for i in range(2 * dom.PAGES + 3)]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string").repartition(1)
+    got = rows.select("i", dom.nodes(F.col("html")).alias("n")).collect()
+    assert {r.i: [(n["at"], n["end"], n["tag"]) for n in r.n] for r in got} == {i: [(n["at"], n["end"], n["tag"]) for n in dom.parse(p)] for i, p in enumerate(pages)}
