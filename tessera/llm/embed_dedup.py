@@ -6,8 +6,9 @@ nearest pivot (the top of the tree); each block builds a cover tree with halving
 node knows its centre, its covering radius and its number of vectors. A pair of trees is walked
 level by level: a node pair whose centres are further apart than both covering radii and the link
 distance is pruned; a pair whose farthest members must still be linked is accepted whole; the rest
-descend, and small remainders are compared by their cosines in double precision. So every pair is
-decided exactly, and no group's pairs are written out: a task returns counts of links and one
+descend, and small remainders, or nodes of too few points to be worth bounding, are compared by their
+cosines: tiles in single precision find what may reach the threshold, and that is decided in double
+precision. So every pair is decided exactly, and no group's pairs are written out: a task returns counts of links and one
 spanning star per component of what it saw.
 
 Plan: a block holds at most ``BLOCK`` classes; a pivot's surplus is split by hash into further
@@ -49,6 +50,11 @@ MOST_PIVOTS = 4_096
 RADII = (1.0, 0.5, 0.25)
 #: Node pairs with at most this many vector pairs are compared directly.
 DIRECT = 1 << 20
+#: Nodes with fewer points than this on average are not bounded but compared point by point.
+MEMBERS = 8
+#: Points of either side whose cosines are worked out at a time (a tile of single precision stays in a core's cache), and links
+#: that a tile may hold to be decided pair by pair, those of ``MOST`` tiles at once.
+TILE, FEW, MOST = 512, 2_048, 512
 #: Bytes of block pairs that go to a Python worker at a time.
 BATCH_BYTES = 32_000_000
 _SLACK = 1e-6
@@ -83,9 +89,13 @@ class Tree:
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, weights: np.ndarray, bounds: list[np.ndarray]):
         self.points, self.ids, self.weights, self.bounds = points, ids, weights, bounds
-        self.levels = []
-        for cuts in bounds:
-            starts, ends = cuts[:-1], cuts[1:]
+        self.singles = points.astype(np.float32)
+        self._levels: dict[int, tuple] = {}
+
+    def level(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, centres, covering radii) of a level's nodes, worked out when first asked for."""
+        if at not in self._levels:
+            points, (starts, ends) = self.points, (self.bounds[at][:-1], self.bounds[at][1:])
             centres = points[starts]
             owner = np.repeat(np.arange(len(starts)), ends - starts)
             cosine = np.ones(len(points))
@@ -93,7 +103,8 @@ class Tree:
                 cosine[a : a + 8192] = np.einsum("ij,ij->i", points[a : a + 8192], centres[owner[a : a + 8192]])
             radii = np.sqrt(np.maximum(0, 2 - 2 * np.minimum.reduceat(cosine, starts))) if len(starts) else np.zeros(0)
             radii[ends - starts == 1] = 0
-            self.levels.append((starts, ends, centres, radii))
+            self._levels[at] = starts, ends, centres, radii
+        return self._levels[at]
 
     @staticmethod
     def order(points: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -145,44 +156,88 @@ def _by_radius(in_a: np.ndarray, radius_a: np.ndarray, in_b: np.ndarray, radius_
                 yield rows[at : at + 2048], cols
 
 
+def _roots(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node of its component in the graph of edges (p, q)."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[p], root[q])
+        new = root.copy()
+        np.minimum.at(new, root[p], least)
+        np.minimum.at(new, root[q], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def dual_traversal(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """(links of each id, spanning edges) over all pairs between two trees, or within one."""
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    links: dict[int, int] = {}
+    width = a.points.shape[1]
+    # single precision errs by less than width + 4 units in the last place: what may reach the threshold is decided in double
+    floor = threshold - 2 * (width + 4) * 2.0**-24
+    links_a = np.zeros(len(a.ids), np.int64)
+    links_b = links_a if same else np.zeros(len(b.ids), np.int64)
     edges: set[tuple[int, int]] = set()
-
-    def count(ids: np.ndarray, more: np.ndarray) -> None:
-        for i, n in zip(ids[more > 0].tolist(), more[more > 0].tolist()):
-            links[i] = links.get(i, 0) + n
-
-    def compare(x: slice, y: np.ndarray, own: bool) -> None:
-        """Cosines of a's points x with b's points y; ``own``: the same points, each with all others."""
-        for at in range(x.start, x.stop, 2048):
-            rows = slice(at, min(at + 2048, x.stop))
-            linked = a.points[rows] @ b.points[y].T >= threshold
-            if own:
-                linked[np.arange(rows.stop - rows.start), np.arange(rows.start, rows.stop) - x.start] = False
-            i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-            if not len(i):
-                continue
-            linked = linked[np.ix_(i, j)]
-            ids_a, ids_b = a.ids[rows][i], b.ids[y[j]]
-            count(ids_a, linked @ b.weights[y[j]])
-            if not own:
-                count(ids_b, a.weights[rows][i] @ linked)
-            left, right = _labels(linked, ids_a, ids_b)
-            edges.update((p, q) for p, q in zip(np.concatenate([ids_a, ids_b]).tolist(), np.concatenate([left, right]).tolist()) if p != q)
+    few: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def compare(x: np.ndarray, y: np.ndarray, own: bool) -> None:
+        """Cosines of a's points x with b's points y; ``own``: the same points, each pair once."""
+        left, right = a.singles[x], b.singles[y]
+        for s in range(0, len(x), TILE):
+            for t in range(s if own else 0, len(y), TILE):
+                cosine = left[s : s + TILE] @ right[t : t + TILE].T
+                if cosine.max() < floor:
+                    continue
+                p, q = np.divmod(np.flatnonzero(cosine >= floor), cosine.shape[1])
+                if own and s == t:
+                    p, q = p[p < q], q[p < q]
+                if len(p) > FEW:
+                    many(x[s : s + TILE], y[t : t + TILE], own and s == t)
+                elif len(p):
+                    few.append((x[s + p], y[t + q]))
+                    if len(few) == MOST:
+                        decide()
+
+    def many(i: np.ndarray, j: np.ndarray, own: bool) -> None:
+        """Links of a tile that holds many."""
+        linked = a.points[i] @ b.points[j].T >= threshold
+        if own:
+            linked = np.triu(linked, 1)
+        links_a[i] += linked @ b.weights[j]
+        links_b[j] += a.weights[i] @ linked
+        left, right = _labels(linked, a.ids[i], b.ids[j])
+        edges.update((p, q) for p, q in zip(np.concatenate([a.ids[i], b.ids[j]]).tolist(), np.concatenate([left, right]).tolist()) if p != q)
+
+    def decide() -> None:
+        """Links of the tiles that hold few."""
+        p, q = (np.concatenate(x) for x in zip(*few))
+        few.clear()
+        step = max(1, (1 << 22) // width)
+        linked = np.concatenate([np.einsum("ij,ij->i", a.points[p[k : k + step]], b.points[q[k : k + step]]) for k in range(0, len(p), step)]) >= threshold
+        p, q = p[linked], q[linked]
+        np.add.at(links_a, p, b.weights[q])
+        np.add.at(links_b, q, a.weights[p])
+        ids, at = np.unique(np.concatenate([a.ids[p], b.ids[q]]), return_inverse=True)
+        root = _roots(at[: len(p)], at[len(p) :], len(ids))
+        out = root != np.arange(len(ids))
+        edges.update(zip(ids[out].tolist(), ids[root[out]].tolist()))
 
     def accept(x: slice, y: slice) -> None:
         ids_a, ids_b = a.ids[x], b.ids[y]
-        count(ids_a, np.full(len(ids_a), b.weights[y].sum()))
-        count(ids_b, np.full(len(ids_b), a.weights[x].sum()))
+        links_a[x] += b.weights[y].sum()
+        links_b[y] += a.weights[x].sum()
         root = int(min(ids_a.min(), ids_b.min()))
         edges.update((i, root) for i in [*ids_a.tolist(), *ids_b.tolist()] if i != root)
 
     def walk(level: int, in_a: np.ndarray, in_b: np.ndarray, mirrored: bool) -> None:
-        """Pairs of the given nodes of a level; ``mirrored``: the same nodes twice, each pair once."""
-        (start_a, end_a, centre_a, radius_a), (start_b, end_b, centre_b, radius_b) = a.levels[level], b.levels[level]
+        """Pairs of the given neighbouring nodes of a level; ``mirrored``: the same nodes twice, each pair once."""
+        cuts_a, cuts_b = a.bounds[level], b.bounds[level]
+        x, y = (np.arange(cuts[some[0]], cuts[some[-1] + 1]) for cuts, some in ((cuts_a, in_a), (cuts_b, in_b)))
+        if MEMBERS * len(in_a) > len(x) or MEMBERS * len(in_b) > len(y):  # nodes of so few points exclude less than they cost
+            compare(x, y, mirrored)
+            return
+        (start_a, end_a, centre_a, radius_a), (start_b, end_b, centre_b, radius_b) = a.level(level), b.level(level)
         for rows, cols in _by_radius(in_a, radius_a[in_a], in_b, radius_b[in_b]):
             # a node pair survives if its centres are within reach and both radii: first by the widest radii of all
             cosine = centre_a[rows] @ centre_b[cols].T
@@ -198,25 +253,30 @@ def dual_traversal(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -
             apart = np.sqrt(np.maximum(0, 2 - 2 * cosine[some, other]))
             self_pair = (p == q) & same
             whole = ~self_pair & (size > 64) & (apart + radius_a[p] + radius_b[q] <= reach - _SLACK)
-            deep = ~whole & (size > DIRECT) & (level + 1 < len(a.levels))
+            deep = ~whole & (size > DIRECT) & (level + 1 < len(a.bounds))
             for k in np.flatnonzero(whole | deep | self_pair):
                 x, y = slice(int(start_a[p[k]]), int(end_a[p[k]])), slice(int(start_b[q[k]]), int(end_b[q[k]]))
                 if whole[k]:
                     accept(x, y)
                 elif deep[k]:
-                    below_a, below_b = a.levels[level + 1][0], b.levels[level + 1][0]
+                    below_a, below_b = a.bounds[level + 1], b.bounds[level + 1]
                     walk(level + 1, np.arange(*np.searchsorted(below_a, [x.start, x.stop])), np.arange(*np.searchsorted(below_b, [y.start, y.stop])), bool(self_pair[k]))
                 elif size[k] > 1:
-                    compare(x, np.arange(y.start, y.stop), True)
+                    compare(np.arange(x.start, x.stop), np.arange(y.start, y.stop), True)
             rest = np.flatnonzero(~(whole | deep | self_pair))
             starts = np.flatnonzero(np.append(True, some[rest][1:] != some[rest][:-1])) if len(rest) else rest
             for first, last in zip(starts, [*starts[1:], len(rest)]):
                 k = rest[first:last]
-                x = slice(int(start_a[p[k[0]]]), int(end_a[p[k[0]]]))
+                x = np.arange(start_a[p[k[0]]], end_a[p[k[0]]])
                 compare(x, np.concatenate([np.arange(s, e) for s, e in zip(start_b[q[k]], end_b[q[k]])]), False)
 
     if len(a.ids) and len(b.ids):
-        walk(0, np.arange(len(a.levels[0][0])), np.arange(len(b.levels[0][0])), same)
+        walk(0, np.arange(len(a.bounds[0]) - 1), np.arange(len(b.bounds[0]) - 1), same)
+        if few:
+            decide()
+    links: dict[int, int] = {}
+    for ids, n in ((a.ids, links_a),) if same else ((a.ids, links_a), (b.ids, links_b)):
+        links.update(zip(ids[n > 0].tolist(), n[n > 0].tolist()))
     return links, list(edges)
 
 

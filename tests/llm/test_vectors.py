@@ -1,5 +1,7 @@
 """Exact search and vector near-duplicates against full matrices."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -150,3 +152,32 @@ def test_near_duplicates_moves_vectors_a_fixed_number_of_times(spark):
     got = sorted(map(tuple, embed_dedup.near_duplicates(table(spark, rows), block=60).collect()))
     assert moved() - before < 6 * vectors.nbytes
     assert got == brute_links(rows)
+
+
+def test_unclustered_blocks_cost_about_one_product():
+    """Where nodes exclude nothing, a pair of blocks takes less time than its cosines in double precision do twice."""
+    rng = np.random.default_rng(8)
+    points = embed_dedup._normal(rng.normal(size=(8192, 64)))
+    points[5000:5040] = points[:40]
+    ids, weights = np.arange(8192), np.ones(8192, np.int64)
+    a, b = (embed_dedup.Tree.build(points[k : k + 4096], ids[k : k + 4096], weights[k : k + 4096]) for k in (0, 4096))
+
+    def seconds(run):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            run()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    links, edges = embed_dedup.dual_traversal(a, b, False)
+    assert links == {i: 1 for i in [*range(40), *range(5000, 5040)]} and {(max(e), min(e)) for e in edges} == {(5000 + i, i) for i in range(40)}
+    assert seconds(lambda: embed_dedup.dual_traversal(a, b, False)) < 2 * seconds(lambda: np.nonzero(a.points @ b.points.T >= 0.95))
+
+
+@pytest.mark.parametrize("few,most", [(0, 512), (1 << 30, 1), (3, 2)])
+def test_links_of_tiles_with_few_and_many(monkeypatch, few, most):
+    monkeypatch.setattr(embed_dedup, "FEW", few)
+    monkeypatch.setattr(embed_dedup, "MOST", most)
+    monkeypatch.setattr(embed_dedup, "TILE", 16)
+    test_dual_traversal(7)
