@@ -126,3 +126,54 @@ def test_rows_of_one_id_add_up(spark, tmp_path):
     best = text_index.Search(spark, str(tmp_path / "i"), asked, k=1).top().collect()
     idf, part = math.log(1 + (80 - 2 + 0.5) / 2.5), 1 / (1 + 0.9 * (1 - 0.4 + 0.4 * 2 / 2))
     assert [(r.doc, r.score) for r in best] == [(1, pytest.approx(2 * idf * part))]
+
+
+def test_documents_are_indexed_once(spark, tmp_path):
+    """Writing an index reads the documents once: no second pass finds ranges of its rows."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(corpus(), "doc int, text string").repartition(3).mapInArrow(read, "doc int, text string")
+    text_index.write_index(docs, str(tmp_path / "i"), "doc", "text")
+    assert reads.value == len(corpus())
+
+
+def test_rows_of_many_blocks_at_a_time(spark, tmp_path, monkeypatch):
+    asked = text_index.query_terms(spark.createDataFrame(QUERIES, "q int, text string"), "q", "text")
+    for words, vocabulary in ((1, 5), (1 << 18, 1 << 18)):
+        monkeypatch.setattr(text_index, "WORDS", words)
+        monkeypatch.setattr(text_index, "VOCABULARY", vocabulary)
+        path = str(tmp_path / str(words))
+        rows = text_index.index_rows(spark.createDataFrame(corpus(), "doc int, text string").coalesce(1), "doc", "text", stems=words > 1)
+        got = {(r.block, r.term): [(p.doc, p.tf, p.len, list(p.positions)) for p in r.postings] for r in rows.where("term is not null").collect()}
+        want = {}
+        for n, (d, text) in enumerate(corpus()):
+            found, places = analysis.analyse(text or "", words > 1), {}
+            for at, term in found:
+                places.setdefault(term, []).append(at)
+            for term, p in places.items():
+                want.setdefault((n // 32, term), []).append((d, len(p), analysis.coded_length_of(len(found)), p))
+        assert got == want
+        impacts = {(r.block, r.term): [tuple(i) for i in r.impacts] for r in rows.where("term is not null").collect()}
+        assert impacts == {k: [(tf, n) for tf, n in sorted({(p[1], p[2]) for p in ps}, key=lambda x: (-x[0], x[1])) if not any(p[1] >= tf and p[2] <= n and (p[1], p[2]) != (tf, n) for p in ps)] for k, ps in want.items()}
+
+
+def test_postings_stay_where_they_are_for_the_first_scores(spark, tmp_path):
+    """What read_share moves grows with the asked terms' blocks, not with postings and their positions."""
+    moved = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices(["red", "wool", "coat", *map(str, range(3000))], [200, 200, 200, *[1] * 3000], k=2000))) for i in range(600)]
+    text_index.write_index(spark.createDataFrame(docs, "doc int, text string"), str(tmp_path / "i"), "doc", "text")
+    queries = [(i, f"red wool coat {i} {i + 1} {i + 2}") for i in range(40)]
+    before, limit = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        search = text_index.Search(spark, str(tmp_path / "i"), text_index.query_terms(spark.createDataFrame(queries, "q int, text string"), "q", "text"), k=3)
+        assert search.read_share().count() == 40
+        assert moved() - before < 1_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
